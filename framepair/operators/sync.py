@@ -96,8 +96,10 @@ def _offers(frames: DataFrame, by: Sequence[str], spec: SyncSpec) -> DataFrame:
     from_k = F.greatest(F.col("_c") + 1, F.lit(0).cast("bigint"))
     before = F.transform(span(from_k, hi), lambda k: F.struct(k.alias("k"), F.col("_last").alias("f")))
     offers = cells.select(*by, F.inline(F.concat(after, before)))
-    dt = F.abs(F.col("f.t_us") - (F.lit(start) + F.col("k") * p))
-    return offers.select(*by, "k", F.struct(dt.alias("dt"), F.col("f.t_us").alias("t_us"), F.col("f.id").alias("id")).alias("f"))
+    gap = F.col("f.t_us") - (F.lit(start) + F.col("k") * p)
+    # Distance first, the earlier side on a tie: one LONG orders all offers.
+    rank = F.abs(gap) * 2 + F.when(gap > 0, F.lit(1)).otherwise(F.lit(0))
+    return offers.select(*by, "k", rank.alias("rank"), F.col("f.id").alias("id"))
 
 
 def nearest_on_grid(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpec) -> DataFrame:
@@ -112,17 +114,19 @@ def nearest_on_grid(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: Sync
     if spec.tolerance > MAX_REACH * spec.period_us:
         return _nearest_by_sort(rgb, ir, by, spec)
     tagged = _offers(rgb, by, spec).withColumn("_m", F.lit(0)).unionByName(_offers(ir, by, spec).withColumn("_m", F.lit(1)))
-    pick = lambda m: F.min(F.when(F.col("_m") == m, F.col("f")))
-    best = tagged.groupBy(*by, "k").agg(pick(0).alias("_r"), pick(1).alias("_i"))
-    tol = spec.tolerance
-    best = best.where((F.col("_r.dt") <= tol) & (F.col("_i.dt") <= tol))
+    # Offers of one stream to one sample have distinct times, so the rank has
+    # no ties and plain numbers keep this a hash aggregation.
+    mine = lambda m, c: F.when(F.col("_m") == m, F.col(c))
+    pick = lambda m: (F.min(mine(m, "rank")).alias(f"_d{m}"), F.min_by("id", mine(m, "rank")).alias(f"_i{m}"))
+    best = tagged.groupBy(*by, "k").agg(*pick(0), *pick(1))
+    best = best.where((F.col("_d0") <= 2 * spec.tolerance + 1) & (F.col("_d1") <= 2 * spec.tolerance + 1))
     if spec.duration_us is not None:
         best = best.where(F.col("k") * spec.period_us <= spec.duration_us)
     t = F.lit(spec.start_us) + F.col("k") * spec.period_us
+    time_of = lambda m: t + F.shiftright(f"_d{m}", 1) * F.when(F.col(f"_d{m}") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
     return best.select(
         *by, "k", t.alias("t"),
-        F.col("_r.id").alias("rgb_id"), F.col("_r.t_us").alias("rgb_t"),
-        F.col("_i.id").alias("ir_id"), F.col("_i.t_us").alias("ir_t"),
+        F.col("_i0").alias("rgb_id"), time_of(0).alias("rgb_t"), F.col("_i1").alias("ir_id"), time_of(1).alias("ir_t"),
     )
 
 

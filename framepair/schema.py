@@ -1,23 +1,21 @@
-"""Declared schemas of the tables the library reads and writes."""
+"""Declared schemas (DDL) of the tables the library reads and writes."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "rec_id STRING, modality STRING, name STRING, stem STRING, idx BIGINT, t_us BIGINT, "
     "height INT, width INT, channels INT, dtype STRING, px ARRAY<FLOAT>"
 )
-TEMPERATURES = T.StructType.fromDDL("filename STRING, celsius STRING")
-POINTS = T.StructType.fromDDL(
+TEMPERATURES = "filename STRING, celsius STRING"
+POINTS = (
     "rgb ARRAY<ARRAY<DOUBLE>>, thermal ARRAY<ARRAY<DOUBLE>>, "
     "_frame STRING, _rgb_size ARRAY<INT>, _thermal_size ARRAY<INT>"
 )
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "frame STRING, split STRING, width INT, height INT, thermal_dtype STRING, thermal_mean DOUBLE, "
     "thermal_std DOUBLE, thermal_min INT, thermal_max INT, rgb_mean DOUBLE, rgb_sha256 STRING, thermal_sha256 STRING"
 )
-SPLIT_REPORT = T.StructType.fromDDL(
+SPLIT_REPORT = (
     "root STRING, sessions MAP<STRING, STRUCT<split: STRING, pairs: BIGINT>>, val_sessions ARRAY<STRING>, "
     "skipped ARRAY<STRING>, counts STRUCT<train: BIGINT, val: BIGINT>"
 )
@@ -32,7 +30,7 @@ _KLV = (
     f"precision_timestamp_us_last: BIGINT, timestamp_span_s: DOUBLE, sensor_first: {_POSITION}, sensor_last: {_POSITION}>"
 )
 STREAM = f"STRUCT<file: STRING, bytes: BIGINT, sha256: STRING, video: {_VIDEO}, klv: {_KLV}>"
-PACKETS = T.StructType.fromDDL("stream STRING, seq BIGINT, pts_s DOUBLE, klv_us BIGINT")
-REGISTRATION = T.StructType.fromDDL(
+PACKETS = "stream STRING, seq BIGINT, pts_s DOUBLE, klv_us BIGINT"
+REGISTRATION = (
     "mode STRING, H ARRAY<ARRAY<DOUBLE>>, ecc_cc DOUBLE, crop ARRAY<INT>, thermal_size ARRAY<INT>, rgb_size ARRAY<INT>"
 )

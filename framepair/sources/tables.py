@@ -49,7 +49,7 @@ def temperatures(lines: DataFrame) -> DataFrame:
     Lines with fewer than two fields or a blank name are ignored; a value that
     is not a number raises.
     """
-    row = F.from_csv("value", F.lit(schema.TEMPERATURES.simpleString()[7:-1].replace(":", " ")))
+    row = F.from_csv("value", F.lit(schema.TEMPERATURES))
     rows = lines.withColumn("_f", row).where(F.col("value").contains(","))
     rows = rows.select(F.trim("_f.filename").alias("name"), F.trim("_f.celsius").cast("double").alias("c"), "line_no")
     rows = rows.where(F.col("name").isNotNull() & (F.col("name") != ""))
