@@ -14,7 +14,7 @@ from framepair.operators import sync
 def frame_profile(df: DataFrame, px: str, prefix: str = "", digits: int = 3) -> DataFrame:
     """Adds ``mean, std`` (population, rounded) and ``min, max`` of a pixel array."""
     whole = lambda k: F.col(f"_s.{k}").cast("int").alias(f"{prefix}{k}")
-    real = lambda k: F.round(f"_s.{k}", digits).alias(f"{prefix}{k}")
+    real = lambda k: F.bround(f"_s.{k}", digits).alias(f"{prefix}{k}")
     return df.withColumn("_s", statistics(px)).select("*", real("mean"), real("std"), whole("min"), whole("max")).drop("_s")
 
 

@@ -17,7 +17,7 @@ def build(pairs: DataFrame) -> DataFrame:
         F.col("ir_w").cast("int").alias("width"), F.col("ir_h").cast("int").alias("height"),
         F.concat(F.lit("uint"), F.col("ir_depth")).alias("thermal_dtype"),
         "thermal_mean", "thermal_std", "thermal_min", "thermal_max",
-        F.round(array_mean("rgb_px"), 3).alias("rgb_mean"),
+        F.bround(array_mean("rgb_px"), 3).alias("rgb_mean"),
         profile.digest("rgb_content").alias("rgb_sha256"), profile.digest("ir_content").alias("thermal_sha256"),
     )
 
