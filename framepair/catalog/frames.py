@@ -9,6 +9,7 @@ from framepair.catalog.base import (
 )
 from framepair.functions import kernels
 from framepair.functions import pixels as px_ops
+from framepair.functions.hashing import hash_uniform
 from framepair.functions.norm import ThermalNorm
 from framepair.operators import ordered, profile, scores
 from framepair.plans.evaluate import evaluate, score_pairs
@@ -78,20 +79,20 @@ def pyramid_level(spark, sf):
 
 
 @query("padded_frames", f"""WITH {PIX}
-SELECT o.vec_id, (y * 25 + x2) AS i, round(p.x, 6) AS v, CASE WHEN y < 8 AND x2 < 8 THEN 1 ELSE 0 END AS inside
-FROM (SELECT vec_id, y, x2 FROM frames, range(25) a(y), range(25) b(x2)) o
+SELECT o.vec_id, (y * 18 + x2) AS i, round(p.x, 6) AS v, CASE WHEN y < 8 AND x2 < 8 THEN 1 ELSE 0 END AS inside
+FROM (SELECT vec_id, y, x2 FROM frames, range(18) a(y), range(18) b(x2)) o
 JOIN pix p ON p.vec_id = o.vec_id AND p.r = 7 - abs(y % 14 - 7) AND p.c = 7 - abs(x2 % 14 - 7)""")
 def padded_frames(spark, sf):
     """Padding far beyond the frame: reflection repeats."""
-    f = frames(spark, sf).withColumn("p", px_ops.pad_reflect("b", *EIGHT, multiple=25))
-    inside = ((F.col("i") % 25 < SIDE) & (F.col("i") < 25 * SIDE)).cast("bigint")
+    f = frames(spark, sf).withColumn("p", px_ops.pad_reflect("b", *EIGHT, multiple=18))
+    inside = ((F.col("i") % 18 < SIDE) & (F.col("i") < 18 * SIDE)).cast("bigint")
     return pixels(f, "p", "vec_id").select("vec_id", "i", r6("v").alias("v"), inside.alias("inside"))
 
 
 @query("unpadded_frames", f"WITH {PIX} SELECT vec_id, i, round(x, 6) AS v FROM pix")
 def unpadded_frames(spark, sf):
-    f = frames(spark, sf).withColumn("p", px_ops.pad_reflect("b", *EIGHT, multiple=25))
-    f = f.withColumn("u", px_ops.unpad("p", 25, 25, *EIGHT))
+    f = frames(spark, sf).withColumn("p", px_ops.pad_reflect("b", *EIGHT, multiple=18))
+    f = f.withColumn("u", px_ops.unpad("p", 18, 18, *EIGHT))
     return pixels(f, "u", "vec_id").select("vec_id", "i", r6("v").alias("v"))
 
 
@@ -107,7 +108,7 @@ def augmented_windows(spark, sf):
     f = frames(spark, sf).withColumn("bgr", colour("px"))
     x, y = px_ops.window_origin(F.lit(SIDE), F.lit(SIDE), 5, *seed)
     f = f.withColumn("a", px_ops.crop("bgr", *EIGHT, x, y, 5, 5, 3, "int"))
-    flip = F.expr("true") & (px_ops.hash_uniform(*seed, F.lit("flip")) < 0.5)
+    flip = hash_uniform(*seed, F.lit("flip")) < 0.5
     f = f.withColumn("a", px_ops.flip("a", 5, 5, 3, flip, "int"))
     f = f.withColumn("a", px_ops.jitter("a", *px_ops.jitter_terms(*seed)))
     return pixels(f, "a", "vec_id").select("vec_id", "i", F.col("v").cast("bigint").alias("v"))

@@ -111,25 +111,25 @@ def fit_homography(points: DataFrame, by: Sequence[str], hypotheses: int = 256,
     usable = points.join(check_points(points, by).select(*by), by, "left_anti")
     pts = ordered.dense_index(usable.select(*by, "i", "x", "y", "u", "v"), by, ["i"], "idx", total="n")
     groups = pts.groupBy(*by).agg(F.max("n").alias("n"))
-    draws = groups.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    draws = groups.withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
     # Hypothesis 0 is evenly spaced, so even four points give one valid sample.
-    slot = lambda j: F.when(F.col("h") == 0, even_pick(F.lit(j), F.col("n"), F.lit(4))).otherwise(
-        hash_choice(F.col("n"), *by, F.col("h"), j, seed)
+    slot = lambda j: F.when(F.col("hyp") == 0, even_pick(F.lit(j), F.col("n"), F.lit(4))).otherwise(
+        hash_choice(F.col("n"), *by, F.col("hyp"), j, seed)
     )
     draws = draws.withColumn("_p", F.array(*[slot(j) for j in range(4)])).where(F.size(F.array_distinct("_p")) == 4)
-    picks = draws.select(*by, "h", F.posexplode("_p").alias("j", "idx"))
+    picks = draws.select(*by, "hyp", F.posexplode("_p").alias("j", "idx"))
     four = picks.join(pts.select(*by, "idx", "x", "y", "u", "v"), [*by, "idx"])
-    four = four.groupBy(*by, "h").agg(F.sort_array(F.collect_list(F.struct("j", "x", "y", "u", "v"))).alias("_s"))
+    four = four.groupBy(*by, "hyp").agg(F.sort_array(F.collect_list(F.struct("j", "x", "y", "u", "v"))).alias("_s"))
     flat = F.flatten(F.transform("_s", lambda s: F.array(s.x, s.y, s.u, s.v)))
-    solved = four.select(*by, "h", _matrix_udf(_from_four)(flat).alias("H")).where("H is not null")
+    solved = four.select(*by, "hyp", _matrix_udf(_from_four)(flat).alias("H")).where("H IS NOT NULL")
     # At most ``hypotheses`` matrices per recording.
-    packed = solved.groupBy(*by).agg(F.collect_list(F.struct("h", "H")).alias("_hs"))
+    packed = solved.groupBy(*by).agg(F.collect_list(F.struct("hyp", "H")).alias("_hs"))
     tried = lookup(pts, packed, by, ["idx"]).select(*by, "x", "y", "u", "v", F.inline("_hs"))
     err = reprojection_error(F.col("H"), "x", "y", "u", "v")
     near = err <= INLIER_PX
-    scored = tried.groupBy(*by, "h").agg(F.count_if(near).alias("n_in"), F.sum(F.when(near, err)).alias("e"))
-    best = scored.groupBy(*by).agg(F.max(F.struct("n_in", -F.round("e", 9), -F.col("h"))).alias("_b"))
-    best = best.select(*by, (-F.col("_b.col3")).alias("h")).join(solved, [*by, "h"]).drop("h")
+    scored = tried.groupBy(*by, "hyp").agg(F.count_if(near).alias("n_in"), F.sum(F.when(near, err)).alias("e"))
+    best = scored.groupBy(*by).agg(F.max(F.struct("n_in", -F.round("e", 9), -F.col("hyp"))).alias("_b"))
+    best = best.select(*by, (-F.col("_b.col3")).alias("hyp")).join(solved, [*by, "hyp"]).drop("hyp")
     return _refit(pts, best, by)
 
 
