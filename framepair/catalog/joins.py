@@ -55,43 +55,47 @@ def matched_by_stem(spark, sf):
     return pairing.match_scores(pred, gt).select("stem", "pred_file", "pred_n_chars", "gt_file")
 
 
-_TREE = """
-tree AS (SELECT doc_id, '/data/' || (CASE WHEN doc_id % 20 < 10 THEN 'north/' ELSE '' END) || source || '/' ||
-  CASE WHEN (doc_id // 20) % 2 = 0 THEN CASE lang WHEN 'en' THEN 'RGB' WHEN 'fr' THEN 'RGB-1' WHEN 'de' THEN 'RGB_2' ELSE 'RGB-3' END
-  ELSE CASE lang WHEN 'en' THEN 'NIR' WHEN 'fr' THEN 'NIR-1' WHEN 'de' THEN 'NIR_2' ELSE 'NIR_3' END END
-  || '/' || doc_id || '.png' AS path FROM documents)"""
+# Half of each block of 40 documents are RGB files and half their IR twins;
+# every fourth block uses folder suffixes that do not match.
+TREE = """
+doc AS (SELECT doc_id, source, lang, doc_id // 40 AS k, doc_id % 40 < 20 AS rgb FROM documents),
+tree AS (SELECT *, '/data/' || {top} || source || '/' || CASE WHEN rgb THEN 'RGB' ELSE 'NIR' END ||
+  CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '-1' WHEN 2 THEN '_2' ELSE CASE WHEN rgb THEN '-3' ELSE '_3' END END || '/' ||
+  CASE WHEN k % 5 = 4 THEN 'x' ELSE '' END || k || CASE WHEN NOT rgb AND lang = 'es' THEN '.txt' ELSE '.png' END AS path,
+  CASE WHEN rgb OR lang <> 'fr' THEN 100 + k % 5 + CASE WHEN rgb THEN 0 ELSE doc_id % 9 END END AS height, 120 - doc_id % 3 AS width FROM doc)"""
+_NORTH = "CASE WHEN doc_id % 20 < 10 THEN 'north/' ELSE '' END"
+
+
+def tree(spark, sf, top=None):
+    d = table(spark, sf, "documents")
+    k, rgb = F.floor(F.col("doc_id") / 40), F.col("doc_id") % 40 < 20
+    top = F.when(F.col("doc_id") % 20 < 10, F.lit("north/")).otherwise(F.lit("")) if top is None else top
+    suffix = F.when(k % 4 == 0, "").when(k % 4 == 1, "-1").when(k % 4 == 2, "_2").otherwise(F.when(rgb, "-3").otherwise("_3"))
+    file = F.concat(F.when(k % 5 == 4, "x").otherwise(""), k.cast("string"), F.when(~rgb & (F.col("lang") == "es"), ".txt").otherwise(".png"))
+    path = F.concat(F.lit("/data/"), top, F.col("source"), F.lit("/"), F.when(rgb, "RGB").otherwise("NIR"), suffix, F.lit("/"), file)
+    height = 100 + k % 5 + F.when(rgb, F.lit(0)).otherwise(F.col("doc_id") % 9)
+    return d.select(
+        "doc_id", path.alias("path"), F.when(rgb | (F.col("lang") != "fr"), height.cast("int")).alias("height"),
+        (120 - F.col("doc_id") % 3).cast("int").alias("width"),
+    )
 
 
-def tree(spark, sf):
-    pick = lambda m: (
-        F.when(F.col("lang") == "en", m).when(F.col("lang") == "fr", f"{m}-1").when(F.col("lang") == "de", f"{m}_2")
-        .otherwise("RGB-3" if m == "RGB" else "NIR_3")
-    )
-    child = F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, pick("RGB")).otherwise(pick("NIR"))
-    top = F.when(F.col("doc_id") % 20 < 10, F.lit("north/")).otherwise(F.lit(""))
-    path = F.concat(F.lit("/data/"), top, F.col("source"), F.lit("/"), child, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png"))
-    return _docs(spark, sf, "lang", "source").select("doc_id", path.alias("path"))
+# Folder pairs of the tree.
+FOLDERS = """
+fold AS (SELECT *, regexp_extract(path, '^(.*)/([^/]*)/[^/]*$', 1) AS parent, regexp_extract(path, '^(.*)/([^/]*)/[^/]*$', 2)[4:] AS suffix FROM tree),
+sess AS (SELECT parent, suffix, regexp_extract(parent, '([^/]*)$', 1) AS session FROM fold WHERE path LIKE '%.png' GROUP BY ALL HAVING bool_or(rgb) AND bool_or(NOT rgb))"""
 
 
-@query("session_folders", f"""
-WITH {_TREE},
-p AS (SELECT regexp_extract(path, '^(.*)/([^/]*)/[^/]*$', 1) AS parent, regexp_extract(path, '^(.*)/([^/]*)/[^/]*$', 2) AS child FROM tree),
-s AS (SELECT DISTINCT parent, child[1:3] AS m, child[4:] AS suffix FROM p)
-SELECT regexp_extract(a.parent, '([^/]*)$', 1) AS session, a.parent, a.suffix FROM s a JOIN s b USING (parent, suffix) WHERE a.m = 'RGB' AND b.m = 'NIR'""")
+@query("session_folders", f"WITH {TREE.format(top=_NORTH)}, {FOLDERS} SELECT session, parent, suffix FROM sess")
 def session_folders(spark, sf):
     return images.discover_sessions(tree(spark, sf).select("path")).select("session", "parent", "suffix")
 
 
-@query("duplicate_sessions", f"""
-WITH {_TREE.replace("'/data/'", "'/data/' || lang || '/'")},
-p AS (SELECT regexp_extract(path, '^(.*)/([^/]*)/[^/]*$', 1) AS parent, regexp_extract(path, '^(.*)/([^/]*)/[^/]*$', 2) AS child FROM tree),
-s AS (SELECT DISTINCT parent, child[1:3] AS m, child[4:] AS suffix FROM p),
-d AS (SELECT DISTINCT regexp_extract(a.parent, '([^/]*)$', 1) AS session, a.parent FROM s a JOIN s b USING (parent, suffix) WHERE a.m = 'RGB' AND b.m = 'NIR')
-SELECT session FROM d GROUP BY 1 HAVING count(*) > 1""")
+@query("duplicate_sessions", f"""WITH {TREE.format(top="(k // 2 % 2) || '/'")}, {FOLDERS}
+SELECT session FROM sess GROUP BY 1 HAVING count(DISTINCT parent) > 1""")
 def duplicate_sessions(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang")
-    paths = tree(spark, sf).join(d, "doc_id").select(F.regexp_replace("path", "^/data/", F.concat(F.lit("/data/"), F.col("lang"), F.lit("/"))).alias("path"))
-    return images.duplicate_sessions(images.discover_sessions(paths))
+    top = F.concat((F.floor(F.floor(F.col("doc_id") / 40) / 2) % 2).cast("string"), F.lit("/"))
+    return images.duplicate_sessions(images.discover_sessions(tree(spark, sf, top).select("path")))
 
 
 _TEMPS = """

@@ -41,9 +41,9 @@ def written_pairs(spark, sf):
 
 
 @query("written_conditions", f"""WITH {PIX}
-SELECT vec_id, 'T' || c || 'C' AS cond_label, b AS bit_depth, printf('%06d', vec_id) || CASE b WHEN 16 THEN '_16bit' ELSE '' END || '.png' AS file,
-  round(avg(CASE b WHEN 8 THEN v ELSE floor(greatest(0e0, least(65535e0, ((x + 1e0) / 2e0 * 100e0 + -20e0 - -273.15e0) / 0.04e0))) END), 4) AS mean
-FROM pix, (VALUES (0), (15), (30)) t(c), (VALUES (8), (16)) u(b) GROUP BY ALL""")
+SELECT vec_id, 'T' || cond || 'C' AS cond_label, bits AS bit_depth, printf('%06d', vec_id) || CASE bits WHEN 16 THEN '_16bit' ELSE '' END || '.png' AS file,
+  round(avg(CASE bits WHEN 8 THEN v ELSE floor(greatest(0e0, least(65535e0, ((x + 1e0) / 2e0 * 100e0 + -20e0 - -273.15e0) / 0.04e0))) END), 4) AS mean
+FROM pix, (VALUES (0), (15), (30)) t(cond), (VALUES (8), (16)) u(bits) GROUP BY ALL""")
 def written_conditions(spark, sf):
     f = pairing.sweep(frames(spark, sf).select("vec_id", F.format_string("%06d", "vec_id").alias("stem"), F.col("b").alias("px")), [0.0, 15.0, 30.0])
     both = sinks.with_16bit(f.withColumn("cond_label", condition(ABS16, "cond")[1]), ABS16)

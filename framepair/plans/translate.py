@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framepair.functions import color, kernels
-from framepair.functions.arrow import Frames, groups
+from framepair.functions.arrow import Frames, dtype_of, groups
 from framepair.functions.names import condition
 from framepair.functions.norm import ThermalNorm
 from framepair.functions.pixels import reflect_positions
@@ -35,9 +35,11 @@ def _run_model(model, a: np.ndarray, t: float) -> np.ndarray:
     return model(a, cond)
 
 
-def _translator(factory: Callable, multiple: int):
+def _translator(factory: Callable, multiple: int, precision: str):
     """UDF ``(bgr, h, w, conditions) -> one frame per condition``: pixels cross once per frame."""
 
+    dtype = dtype_of(precision)
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = factory()
         for px, h, w, conds in batches:
@@ -55,10 +57,10 @@ def _translator(factory: Callable, multiple: int):
                     for t in wanted[r]:
                         if t not in made:
                             made[t] = _run_model(model, planes, t)[:, :height, :width].reshape(len(rows), -1)
-                    out[r] = [made[t][i].astype(np.float32) for t in wanted[r]]
-            yield pa.array(out, pa.list_(pa.list_(pa.float32())))
+                    out[r] = [made[t][i].astype(dtype) for t in wanted[r]]
+            yield pa.array(out, pa.list_(pa.list_(pa.from_numpy_dtype(dtype))))
 
-    return F.arrow_udf(run, "array<array<float>>")
+    return F.arrow_udf(run, f"array<array<{precision}>>")
 
 
 def translate(
@@ -68,6 +70,7 @@ def translate(
     conditions: Sequence[float] | None = None,
     max_size: int = 0,
     multiple: int = 1,
+    precision: str = "float",
 ) -> DataFrame:
     """One prediction row per frame and condition: ``..., cond, cond_label, height, width, px``.
 
@@ -86,7 +89,7 @@ def translate(
         condition(norm, F.lit(c).cast("double"))[1].alias("label"),
     ) for c in (conditions or [None])])
     df = frames.withColumn("_c", wanted)
-    made = _translator(factory, multiple)("px", "height", "width", F.transform("_c", lambda c: c.t))
+    made = _translator(factory, multiple, precision)("px", "height", "width", F.transform("_c", lambda c: c.t))
     df = df.select(*keep, "height", "width", F.explode(F.arrays_zip(F.col("_c").alias("c"), made.alias("px"))).alias("_z"))
     return df.select(
         *keep, F.col("_z.c.cond").alias("cond"), F.col("_z.c.label").alias("cond_label"), "height", "width", F.col("_z.px").alias("px")

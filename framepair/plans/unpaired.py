@@ -25,14 +25,14 @@ def prepare(rgb: DataFrame, ir: DataFrame, width: int = 0, skip: int = 0, channe
     meta = lookup(rgb_meta.select(*by, "name", "idx"), target, by, ["name"])
     if width > 0:
         meta = meta.withColumn("new_w", F.lit(width))
-    frames = rgb.where(F.col("height").isNotNull()).join(meta, [*by, "name"])
+    frames = rgb.where(F.col("height").isNotNull()).drop("idx").join(meta, [*by, "name"])
     frames = frames.withColumn("new_h", kernels.height_for_width("height", "width", "new_w"))
     px = kernels.resize("px", "height", "width", "new_h", "new_w", "area", channels)
     small = frames.select(
         *by, "name", "idx", F.col("new_h").alias("height"), F.col("new_w").alias("width"),
         F.transform(px, lambda v: F.rint(v).cast("int")).alias("px"),
     )
-    kept = ir.join(ir_meta.select(*by, "name", "idx"), [*by, "name"])
+    kept = ir.drop("idx").join(ir_meta.select(*by, "name", "idx"), [*by, "name"])
     return small, kept
 
 
