@@ -1 +1,64 @@
-"""Queries."""
+"""Structured Streaming queries, each held to its batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from framepair.catalog.base import BGR, REL8, colour, frames, micros, query, r6, table, with_size
+from framepair.catalog.jobs import SINGLE
+from framepair.catalog.timing import HOUR, SPEC, _sync_sql, stream
+from framepair.session import materialise, staging_path
+from framepair.streaming import pairing, runs
+
+
+def _staged(spark, df, tag):
+    """Write a table as a stream source folder and open it as a stream."""
+    path = staging_path(spark, tag)
+    df.write.parquet(path)
+    return runs.frame_stream(spark, path, df.schema)
+
+
+def _with_end(df):
+    """A closing row far ahead moves the watermark past every open sample."""
+    end = df.agg((F.max("t_us") + 90 * 24 * HOUR).alias("t_us"))
+    closing = end.select(F.lit(None).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("id"), "t_us")
+    return df.unionByName(closing)
+
+
+@query("streamed_pairs", f"WITH {_sync_sql(SPEC)} SELECT user_id, k, t, rgb_id, rgb_t, ir_id, ir_t FROM acc")
+def streamed_pairs(spark, sf):
+    sides = [_staged(spark, _with_end(stream(spark, sf, k).drop("value")), k) for k in ("view", "click")]
+    out = runs.drain(pairing.pair_streams(*sides, ["user_id"], SPEC, "8 hours"))
+    return out.where("user_id is not null")
+
+
+@query("streamed_resampling", f"""WITH fr AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t FROM events),
+s AS (SELECT user_id, id, t, unnest([x for x in range(greatest(0, ceil((t - {SPEC.start_us} - {4 * HOUR}) / {HOUR}e0)::BIGINT), floor((t - {SPEC.start_us} + {4 * HOUR}) / {HOUR}e0)::BIGINT + 1)]) AS k FROM fr),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY abs(t - ({SPEC.start_us} + k * {HOUR})), t, id) AS rn FROM s)
+SELECT user_id, k, id, t AS frame_t FROM n WHERE rn = 1""")
+def streamed_resampling(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), micros("ts").alias("t_us"))
+    out = runs.drain(pairing.resample(_staged(spark, _with_end(e), "events"), ["user_id"], SPEC, "8 hours"))
+    return out.where("user_id is not null").select("user_id", "k", "id", "frame_t")
+
+
+@query("streamed_static_frames", """
+WITH s AS (SELECT user_id, event_id AS k, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events)
+SELECT user_id, k, round(value, 6) AS level, coalesce(abs(d) < 5e0, false) AS static FROM s""")
+def streamed_static_frames(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("k"), F.col("value").alias("level"))
+    out = runs.drain(pairing.mark_static_stream(_staged(spark, e, "levels"), "user_id", 5.0))
+    return out.select("user_id", "k", r6("level").alias("level"), "static")
+
+
+@query("streamed_translation", f"""WITH {BGR},
+rgbn AS (SELECT vec_id, i, max(v / 127.5e0 - 1e0) FILTER (ch = 2) AS r, max(v / 127.5e0 - 1e0) FILTER (ch = 1) AS g, max(v / 127.5e0 - 1e0) FILTER (ch = 0) AS b FROM bgr GROUP BY 1, 2)
+SELECT vec_id, count(*) AS pixels, round(avg(0.4e0 * r + 0.3e0 * g + 0.2e0 * b - 0.1e0), 6) AS mean FROM rgbn GROUP BY 1""")
+def streamed_translation(spark, sf):
+    f = materialise(with_size(frames(spark, sf)).select("vec_id", "height", "width", colour().alias("px")), "frames")
+    path = staging_path(spark, "translated")
+    source = runs.frame_stream(spark, f.inputFiles()[0].rsplit("/", 1)[0], f.schema)
+    runs.translate_folder(source, lambda: SINGLE, REL8, f"{path}/out", f"{path}/checkpoint", precision="double")
+    back = spark.read.parquet(f"{path}/out")
+    total = F.aggregate("px", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return back.select("vec_id", F.size("px").cast("bigint").alias("pixels"), F.round(total / F.size("px"), 6).alias("mean"))

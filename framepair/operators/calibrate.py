@@ -20,6 +20,7 @@ from framepair.functions.hashing import hash_choice
 from framepair.functions.picks import even_pick
 from framepair.operators import ordered
 from framepair.operators.lookup import lookup
+from framepair.session import materialise
 
 INLIER_PX = 3.0
 FLAG_PX = 5.0
@@ -122,6 +123,8 @@ def fit_homography(points: DataFrame, by: Sequence[str], hypotheses: int = 256,
     four = four.groupBy(*by, "hyp").agg(F.sort_array(F.collect_list(F.struct("j", "x", "y", "u", "v"))).alias("_s"))
     flat = F.flatten(F.transform("_s", lambda s: F.array(s.x, s.y, s.u, s.v)))
     solved = four.select(*by, "hyp", _matrix_udf(_from_four)(flat).alias("H")).where("H IS NOT NULL")
+    # Used twice below: solve once.
+    solved = materialise(solved, "hypotheses")
     # At most ``hypotheses`` matrices per recording.
     packed = solved.groupBy(*by).agg(F.collect_list(F.struct("hyp", "H")).alias("_hs"))
     tried = lookup(pts, packed, by, ["idx"]).select(*by, "x", "y", "u", "v", F.inline("_hs"))
@@ -130,7 +133,7 @@ def fit_homography(points: DataFrame, by: Sequence[str], hypotheses: int = 256,
     scored = tried.groupBy(*by, "hyp").agg(F.count_if(near).alias("n_in"), F.sum(F.when(near, err)).alias("e"))
     best = scored.groupBy(*by).agg(F.max(F.struct("n_in", -F.round("e", 9), -F.col("hyp"))).alias("_b"))
     best = best.select(*by, (-F.col("_b.col3")).alias("hyp")).join(solved, [*by, "hyp"]).drop("hyp")
-    return _refit(pts, best, by)
+    return _refit(pts, materialise(best, "winners"), by)
 
 
 def _refit(pts: DataFrame, best: DataFrame, by: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framepair.functions import color, names, pixels
 from framepair.operators import pairing, split
 from framepair.operators.lookup import lookup
+from framepair.session import materialise
 from framepair.sources import images
 
 
@@ -39,28 +40,31 @@ def plan_sessions(
     and counts every twin, including ones a real run would reject.
     """
     dry = dry_run or "height" not in listing.columns
-    sessions = images.discover_sessions(listing, rgb_prefix, ir_prefix)
+    # One row per folder pair, used by every step below.
+    sessions = materialise(images.discover_sessions(listing, rgb_prefix, ir_prefix), "sessions")
     twice = [r.session for r in images.duplicate_sessions(sessions).limit(20).collect()]
     if twice:
         raise ValueError(f"duplicate session names: {sorted(twice)}")
     folder = ["parent", "session", "suffix"]
-    files = images.session_files(listing, rgb_prefix, ir_prefix).join(sessions, folder, "left_semi")
-    rgb = files.where(F.col("modality") == "rgb").select(*folder, "file", F.col("path").alias("rgb_path"))
-    ir = files.where(F.col("modality") == "ir").select(*folder, "file", F.col("path").alias("ir_path"))
+    sizes = [] if dry else ["height", "width"]
+    files = images.session_files(listing.select("path", *sizes), rgb_prefix, ir_prefix).join(sessions, folder, "left_semi")
+    side = lambda m: files.where(F.col("modality") == m).select(
+        *folder, "file", F.col("path").alias(f"{m}_path"), *[F.col(c).alias(f"{m}_{c[0]}") for c in sizes]
+    )
+    rgb, ir = side("rgb"), side("ir")
     order = names.numeric_order("file")
     keyed = rgb.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     indexed = pairing.index_within(keyed, folder, [f"_o{i}" for i in range(len(order))]).drop(*[f"_o{i}" for i in range(len(order))])
     joined = indexed.join(ir, [*folder, "file"], "left")
     if not dry:
-        sizes = lambda p: listing.select(F.col("path").alias(f"{p}_path"), F.col("height").alias(f"{p}_h"), F.col("width").alias(f"{p}_w"))
-        joined = joined.join(sizes("rgb"), "rgb_path", "left").join(sizes("ir"), "ir_path", "left")
         joined = pairing.size_check(joined, max_size_diff)
     else:
         joined = joined.withColumn("reason", F.lit(None).cast("string"))
     reason = F.when(F.col("ir_path").isNull(), F.lit("no IR twin")).otherwise(F.col("reason"))
     joined = joined.withColumn("reason", reason).withColumn("suffix", names.clean_suffix("suffix"))
     assigned = split.choose_sessions(sessions, val_sessions, val_frac)
-    joined = lookup(joined, assigned, ["session"], ["file"])
+    # Names and sizes only; pairs, rejects and counts all read it.
+    joined = materialise(lookup(joined, assigned, ["session"], ["file"]), "session-plan")
     named = names.session_frame_name("session", "suffix", F.col("idx"))
     pairs = joined.where(F.col("reason").isNull()).withColumn("out_name", named).drop("reason", "parent")
     text = pairing.reject_text(F.col("session"), F.col("suffix"), F.col("file"), F.col("reason"))

@@ -83,12 +83,13 @@ def timed_frames(spark: SparkSession, path: str, fps: float) -> DataFrame:
 def session_files(paths: DataFrame, rgb_prefix: str = "RGB", ir_prefix: str = "NIR") -> DataFrame:
     """Files that lie in a modality folder: ``parent, session, modality, suffix, file``.
 
-    ``paths`` has a ``path`` column like ``.../<session>/<prefix><suffix>/<file>``.
+    ``paths`` has a ``path`` column like ``.../<session>/<prefix><suffix>/<file>``;
+    its other columns pass through.
     Files under an outer modality folder belong to that folder's session, so
     they are not searched for inner sessions.
     """
     parts = F.regexp_extract("path", r"^(.*)/([^/]*)/([^/]*)$", 1), F.regexp_extract("path", r"^(.*)/([^/]*)/([^/]*)$", 2)
-    df = paths.select("path", parts[0].alias("parent"), parts[1].alias("child"), names.base_name("path").alias("file"))
+    df = paths.select("*", parts[0].alias("parent"), parts[1].alias("child"), names.base_name("path").alias("file"))
     is_rgb, is_ir = F.col("child").startswith(rgb_prefix), F.col("child").startswith(ir_prefix)
     cut = lambda p: F.substring("child", len(p) + 1, 1_000_000)
     # A folder may match both prefixes; then it stands on both sides.
@@ -96,7 +97,7 @@ def session_files(paths: DataFrame, rgb_prefix: str = "RGB", ir_prefix: str = "N
         F.when(is_rgb, F.struct(F.lit("rgb").alias("modality"), cut(rgb_prefix).alias("suffix"))),
         F.when(is_ir, F.struct(F.lit("ir").alias("modality"), cut(ir_prefix).alias("suffix"))),
     ))
-    df = df.select("path", "parent", "file", F.inline(sides))
+    df = df.select(*paths.columns, "parent", "file", F.inline(sides))
     return df.withColumn("session", names.base_name("parent")).where(names.is_image("file"))
 
 
@@ -105,7 +106,7 @@ def discover_sessions(paths: DataFrame, rgb_prefix: str = "RGB", ir_prefix: str
 
     Folders pair by the raw suffix (``RGB-1`` with ``NIR-1``, not ``NIR_1``).
     """
-    files = session_files(paths, rgb_prefix, ir_prefix)
+    files = session_files(paths.select("path"), rgb_prefix, ir_prefix)
     sides = files.groupBy("parent", "session", "suffix").agg(
         F.bool_or(F.col("modality") == "rgb").alias("_r"), F.bool_or(F.col("modality") == "ir").alias("_i")
     )

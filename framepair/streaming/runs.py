@@ -34,7 +34,7 @@ def frame_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 def translate_folder(
-    frames: DataFrame, factory: Callable, norm: ThermalNorm, path: str, checkpoint: str, conditions: Sequence[float] | None = None
+    frames: DataFrame, factory: Callable, norm: ThermalNorm, path: str, checkpoint: str, conditions: Sequence[float] | None = None, **options
 ) -> None:
     """Translate what has arrived since the last run; the checkpoint replaces re-listing."""
-    catch_up(translate(frames, factory, norm, conditions), path, checkpoint)
+    catch_up(translate(frames, factory, norm, conditions, **options), path, checkpoint)
