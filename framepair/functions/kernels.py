@@ -121,28 +121,26 @@ def pool_stack(x: np.ndarray) -> np.ndarray:
     return sums(x) / sums(ones)
 
 
-def warp_frame(x: np.ndarray, matrix: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Inverse-mapped bilinear warp of one ``[h, w, c]`` frame, black outside."""
+def warp_stack(x: np.ndarray, matrix: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Inverse-mapped bilinear warp of a stack by one matrix, black outside."""
     inv = np.linalg.inv(matrix)
     v, u = np.mgrid[0:h, 0:w].astype(float)
     q = np.tensordot(inv, np.stack([u, v, np.ones_like(u)]), axes=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         sx, sy = q[0] / q[2], q[1] / q[2]
-    far = max(x.shape) + 2.0
-    sx, sy = (np.clip(np.nan_to_num(s, nan=-2.0), -2.0, far) for s in (sx, sy))
+    sh, sw = x.shape[1:3]
+    sx, sy = (np.clip(np.nan_to_num(s, nan=-2.0), -2.0, n + 2.0) for s, n in ((sx, sw), (sy, sh)))
     # Snap rounding noise so whole-pixel maps stay exact.
     sx, sy = (np.where(np.abs(s - np.rint(s)) < 1e-9, np.rint(s), s) for s in (sx, sy))
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-
-    def at(yy, xx):
-        inside = (yy >= 0) & (yy < x.shape[0]) & (xx >= 0) & (xx < x.shape[1])
-        picked = x[np.clip(yy, 0, x.shape[0] - 1), np.clip(xx, 0, x.shape[1] - 1)]
-        return np.where(inside[..., None], picked, 0.0)
-
-    top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
-    low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
-    return top * (1 - fy) + low * fy
+    fx, fy = sx - x0, sy - y0
+    out = np.zeros((len(x), h, w, x.shape[3]))
+    for dy, wy in ((0, 1 - fy), (1, fy)):
+        for dx, wx in ((0, 1 - fx), (1, fx)):
+            yy, xx = y0 + dy, x0 + dx
+            weight = wy * wx * ((yy >= 0) & (yy < sh) & (xx >= 0) & (xx < sw))
+            out += x[:, np.clip(yy, 0, sh - 1), np.clip(xx, 0, sw - 1)] * weight[..., None]
+    return out
 
 
 # -- Column builders ------------------------------------------------------
@@ -183,14 +181,15 @@ def warp(px, h, w, matrix, out_h, out_w, channels: int = 1, precision: str = "fl
 
     def run(px: pa.Array, h: pa.Array, w: pa.Array, m: pa.Array, oh: pa.Array, ow: pa.Array) -> pa.Array:
         f, th, tw = Frames(px, h, w, channels), ints(oh), ints(ow)
-        mats = m.to_pylist()
         ok = f.ok & np.asarray(m.is_valid()) & (th > 0) & (tw > 0)
+        mats = np.tile(np.eye(3).ravel(), (len(px), 1))
+        mats[ok] = m.filter(pa.array(ok)).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 9)
+        # Frames of one recording share a matrix: map pixels once per distinct matrix.
+        _, which = np.unique(mats, axis=0, return_inverse=True)
         parts = []
-        for rows in groups(ok, f.h, f.w, th, tw):
-            stack = f.stack(rows)
-            out = np.stack([
-                warp_frame(stack[i], np.array(mats[r], float), int(th[r]), int(tw[r])) for i, r in enumerate(rows)
-            ])
+        for rows in groups(ok, f.h, f.w, th, tw, which.ravel()):
+            r = rows[0]
+            out = warp_stack(f.stack(rows), mats[r].reshape(3, 3), int(th[r]), int(tw[r]))
             parts.append((rows, out.reshape(len(rows), -1)))
         return lists(len(px), parts, dtype)
 
@@ -260,11 +259,7 @@ def alignment_scores(rgb_edges, rh, rw, ir_edges, ih, iw, candidates: list[tuple
         parts = []
         for rows in groups(x.ok & y.ok, x.h, x.w, y.h, y.w):
             src, dst = x.stack(rows), y.stack(rows)[..., 0]
-            h, w = dst.shape[1:]
-            # Frames ride along as channels: one warp per candidate and shape.
-            planes = np.moveaxis(src[..., 0], 0, 2)
-            cover = np.ones((*planes.shape[:2], 1))
-            scores = [_edge_agreement(planes, cover, dst, placement_matrix(planes.shape[:2], (h, w), *c)) for c in candidates]
+            scores = [_edge_agreement(src, dst, placement_matrix(src.shape[1:3], dst.shape[1:], *c)) for c in candidates]
             parts.append((rows, np.stack(scores, axis=1)))
         out = lists(len(a), parts, np.float64)
         flat = pa.array(out.values.to_numpy(zero_copy_only=False), from_pandas=True)
@@ -280,12 +275,12 @@ def placement_matrix(src_hw, dst_hw, scale: float, dx: float, dy: float) -> np.n
     return np.array([[k, 0, (w - k * sw) / 2 + dx], [0, k, (h - k * sh) / 2 + dy], [0, 0, 1]])
 
 
-def _edge_agreement(planes, cover, dst, matrix) -> np.ndarray:
+def _edge_agreement(src, dst, matrix) -> np.ndarray:
     h, w = dst.shape[1:]
-    inside = warp_frame(cover, matrix, h, w)[..., 0] > 0.999
+    inside = warp_stack(np.ones((1, *src.shape[1:])), matrix, h, w)[0, ..., 0] > 0.999
     if inside.sum() < 16:
         return np.full(len(dst), np.nan)
-    p, q = warp_frame(planes, matrix, h, w)[inside].T, dst[:, inside]
+    p, q = warp_stack(src, matrix, h, w)[:, inside, 0], dst[:, inside]
     p, q = p - p.mean(1, keepdims=True), q - q.mean(1, keepdims=True)
     size = np.sqrt((p * p).sum(1) * (q * q).sum(1))
     with np.errstate(divide="ignore", invalid="ignore"):

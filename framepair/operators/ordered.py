@@ -111,16 +111,14 @@ def fill_around(seg: DataFrame, by: Sequence[str], value: Column, before: str, a
     ends = seg.groupBy(*by, PART).agg(
         F.max_by("_v", present).alias("_l"), F.min_by("_v", present).alias("_f")
     )
-    w = _across(by)
+    # Looking ahead is a running window in reverse order: a frame that reaches
+    # to the end of the partition would be rescanned for every row.
+    latest = lambda c, w, end: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
+    reverse = lambda cols, key: Window.partitionBy(*cols).orderBy(F.desc(key))
     carry = ends.select(
-        *by,
-        PART,
-        F.last("_l", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"),
-        F.first("_f", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_cf"),
+        *by, PART, latest("_l", _across(by), -1).alias("_cl"), latest("_f", reverse(by, PART), -1).alias("_cf")
     )
-    inner = _within(by)
-    back = F.last("_v", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_v", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = latest("_v", _within(by), 0), latest("_v", reverse([*by, PART], POS), 0)
     out = seg.withColumn("_b", back).withColumn("_a", ahead).join(carry, [*by, PART])
     out = out.withColumn(before, F.coalesce("_b", "_cl")).withColumn(after, F.coalesce("_a", "_cf"))
     return out.drop("_v", "_b", "_a", "_cl", "_cf")
