@@ -20,6 +20,7 @@ from framepair.operators import ordered
 # Beyond this many grid points per tolerance the range-sort form is cheaper
 # than offering every frame to every sample it could serve.
 MAX_REACH = 32
+GRID_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -73,10 +74,17 @@ def grid_sizes(spec: SyncSpec, rgb: DataFrame, ir: DataFrame, by: Sequence[str])
 
 
 def sample_grid(spec: SyncSpec, rgb: DataFrame, ir: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The samples ``(by, k, t)`` themselves, generated on executors from the bounds."""
+    """The samples ``(by, k, t)`` themselves, generated on executors from the bounds.
+
+    Blocks first, spread over tasks, then the samples of each block: a very
+    long recording is neither one array nor one task.
+    """
     sizes = grid_sizes(spec, rgb, ir, by).where("n_grid > 0")
-    ks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_grid") - 1))
-    return sizes.select(*by, ks.alias("k")).withColumn("t", F.lit(spec.start_us) + F.col("k") * spec.period_us)
+    last_block = F.floor((F.col("n_grid") - 1) / GRID_BLOCK).cast("bigint")
+    blocks = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block))).repartition(*by, "_b")
+    low = F.col("_b") * GRID_BLOCK
+    ks = F.explode(F.sequence(low, F.least(low + GRID_BLOCK, F.col("n_grid")) - 1))
+    return blocks.select(*by, ks.alias("k")).withColumn("t", F.lit(spec.start_us) + F.col("k") * spec.period_us)
 
 
 def _offers(frames: DataFrame, by: Sequence[str], spec: SyncSpec) -> DataFrame:

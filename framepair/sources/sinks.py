@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +45,16 @@ def with_16bit(predictions: DataFrame, norm: ThermalNorm, px: str = "px") -> Dat
 def append_missing(frames: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Resumable write: only rows whose keys are not there yet are appended."""
     spark = frames.sparkSession
-    if _exists(spark, path):
-        frames = pairing.not_yet_written(frames, spark.read.parquet(path), keys)
+    try:
+        done = spark.read.schema(frames.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        frames = pairing.not_yet_written(frames, done, keys)
     frames.write.mode("append").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_record(record: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A small report (calibration, metrics, configuration, split) as JSON lines."""
     record.write.mode(mode).option("ignoreNullFields", "false").json(path)
