@@ -64,8 +64,10 @@ def grid_sizes(spec: SyncSpec, rgb: DataFrame, ir: DataFrame, by: Sequence[str])
 
     ``ir`` is already on the RGB clock.
     """
-    ends = lambda df, name: df.groupBy(*by).agg(F.max("t_us").alias(name))
-    bounds = ends(rgb, "_r").join(ends(ir, "_i"), list(by))
+    tagged = lambda df, m: df.select(*by, "t_us", F.lit(m).alias("_m"))
+    end = lambda m: F.max(F.when(F.col("_m") == m, F.col("t_us")))
+    both = tagged(rgb, 0).unionByName(tagged(ir, 1))
+    bounds = both.groupBy(*by).agg(end(0).alias("_r"), end(1).alias("_i")).where("_r IS NOT NULL AND _i IS NOT NULL")
     stop = F.least("_r", "_i") + spec.tolerance
     if spec.duration_us is not None:
         stop = F.least(stop, F.lit(spec.start_us + spec.duration_us))

@@ -31,6 +31,10 @@ def extract_pairs(
     times only.
     """
     by = list(by)
+    if not by:
+        one = lambda df: df.withColumn("_rec", F.lit(0)) if df is not None else None
+        out = extract_pairs(one(rgb), one(ir), ["_rec"], spec, level, one(pixels))
+        return Extraction(out.pairs.drop("_rec"), out.counters.drop("_rec"))
     accepted = sync.nearest_on_grid(rgb, ir, by, spec)
     if level:
         values = ir.select(*by, F.col("id").alias("ir_id"), level)
