@@ -32,19 +32,32 @@ def ints(a: pa.Array) -> np.ndarray:
 
 
 class Frames:
-    """The pixel lists of one batch, sliceable into equal-shape stacks."""
+    """The pixel lists of one batch, sliceable into equal-shape stacks.
+
+    ``channels = 0`` takes each row's channel count from its length. A row
+    whose length does not fit its size is left out, like a missing frame.
+    """
 
     def __init__(self, px: pa.Array, h: pa.Array, w: pa.Array, channels: int = 1):
-        self.offsets = np.asarray(px.offsets)[:-1]
+        ends = np.asarray(px.offsets)
+        self.offsets, length = ends[:-1], np.diff(ends)
         values = px.values
         self.values = (values.fill_null(np.nan) if values.null_count else values).to_numpy(zero_copy_only=False)
-        self.h, self.w, self.c = ints(h), ints(w), channels
+        self.h, self.w = ints(h), ints(w)
+        area = self.h * self.w
         self.ok = np.asarray(px.is_valid()) & (self.h > 0) & (self.w > 0)
+        self.c = np.where(self.ok, length // np.maximum(area, 1), 0) if channels == 0 else np.full(len(px), channels)
+        self.ok &= (length == area * self.c) & (self.c > 0)
+
+    @property
+    def shape(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Grouping keys of equal-shape rows."""
+        return self.h, self.w, self.c
 
     def stack(self, rows: np.ndarray) -> np.ndarray:
-        h, w = int(self.h[rows[0]]), int(self.w[rows[0]])
-        take = self.offsets[rows][:, None] + np.arange(h * w * self.c)
-        return self.values[take].astype(np.float64).reshape(len(rows), h, w, self.c)
+        h, w, c = (int(k[rows[0]]) for k in self.shape)
+        take = self.offsets[rows][:, None] + np.arange(h * w * c)
+        return self.values[take].astype(np.float64).reshape(len(rows), h, w, c)
 
 
 def groups(ok: np.ndarray, *keys: np.ndarray):
@@ -92,7 +105,7 @@ def frame_udf(fn: Callable[[np.ndarray], np.ndarray], channels: int, precision:
 
     def run(px: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         f = Frames(px, h, w, channels)
-        parts = [(rows, fn(f.stack(rows)).reshape(len(rows), -1)) for rows in groups(f.ok, f.h, f.w)]
+        parts = [(rows, fn(f.stack(rows)).reshape(len(rows), -1)) for rows in groups(f.ok, *f.shape)]
         return lists(len(px), parts, dtype)
 
     return kernel(run, f"array<{precision}>")

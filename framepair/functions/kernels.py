@@ -98,7 +98,10 @@ def resize_stack(x: np.ndarray, h: int, w: int, method: str) -> np.ndarray:
         build = linear_matrix
     else:
         build = area_matrix if h <= x.shape[1] and w <= x.shape[2] else cell_matrix
-    return np.einsum("yi,nijc,xj->nyxc", build(x.shape[1], h), x, build(x.shape[2], w), optimize=True)
+    # One product per frame, so a frame's result does not depend on its batch.
+    n, src_h, src_w, c = x.shape
+    tall = np.matmul(build(src_h, h), x.reshape(n, src_h, src_w * c)).reshape(n, h, src_w, c)
+    return np.matmul(build(src_w, w), tall)
 
 
 def ssim_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,7 +170,7 @@ def resize(px, h, w, new_h, new_w, method: str = "linear", channels: int = 1, pr
     def run(px: pa.Array, h: pa.Array, w: pa.Array, nh: pa.Array, nw: pa.Array) -> pa.Array:
         f, th, tw = Frames(px, h, w, channels), ints(nh), ints(nw)
         parts = []
-        for rows in groups(f.ok & (th > 0) & (tw > 0), f.h, f.w, th, tw):
+        for rows in groups(f.ok & (th > 0) & (tw > 0), *f.shape, th, tw):
             out = resize_stack(f.stack(rows), int(th[rows[0]]), int(tw[rows[0]]), method)
             parts.append((rows, out.reshape(len(rows), -1)))
         return lists(len(px), parts, dtype)
@@ -176,7 +179,10 @@ def resize(px, h, w, new_h, new_w, method: str = "linear", channels: int = 1, pr
 
 
 def warp(px, h, w, matrix, out_h, out_w, channels: int = 1, precision: str = "float") -> Column:
-    """Warp into ``out_h x out_w`` by each row's matrix (source to target)."""
+    """Warp into ``out_h x out_w`` by each row's matrix (source to target).
+
+    ``channels = 0`` reads the channel count off each frame.
+    """
     dtype = dtype_of(precision)
 
     def run(px: pa.Array, h: pa.Array, w: pa.Array, m: pa.Array, oh: pa.Array, ow: pa.Array) -> pa.Array:
@@ -187,7 +193,7 @@ def warp(px, h, w, matrix, out_h, out_w, channels: int = 1, precision: str = "fl
         # Frames of one recording share a matrix: map pixels once per distinct matrix.
         _, which = np.unique(mats, axis=0, return_inverse=True)
         parts = []
-        for rows in groups(ok, f.h, f.w, th, tw, which.ravel()):
+        for rows in groups(ok, *f.shape, th, tw, which.ravel()):
             r = rows[0]
             out = warp_stack(f.stack(rows), mats[r].reshape(3, 3), int(th[r]), int(tw[r]))
             parts.append((rows, out.reshape(len(rows), -1)))
@@ -205,7 +211,7 @@ def score_frames(pred, ph, pw, truth, gh, gw) -> Column:
     def run(pred: pa.Array, ph: pa.Array, pw: pa.Array, truth: pa.Array, gh: pa.Array, gw: pa.Array) -> pa.Array:
         p, g = Frames(pred, ph, pw), Frames(truth, gh, gw)
         n, parts = len(pred), {k: [] for k in ("l1", "rmse", "psnr", "ssim")}
-        for rows in groups(p.ok & g.ok, p.h, p.w, g.h, g.w):
+        for rows in groups(p.ok & g.ok, *p.shape, *g.shape):
             b = g.stack(rows)
             a = resize_stack(p.stack(rows), b.shape[1], b.shape[2], "linear")
             d = a - b
@@ -222,7 +228,7 @@ def score_frames(pred, ph, pw, truth, gh, gw) -> Column:
 def ssim(a, b, h, w) -> Column:
     def run(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         x, y = Frames(a, h, w), Frames(b, h, w)
-        return numbers(len(a), [(r, ssim_stack(x.stack(r), y.stack(r))) for r in groups(x.ok & y.ok, x.h, x.w)])
+        return numbers(len(a), [(r, ssim_stack(x.stack(r), y.stack(r))) for r in groups(x.ok & y.ok, *x.shape)])
 
     return kernel(run, "double")(a, b, h, w)
 
@@ -257,7 +263,7 @@ def alignment_scores(rgb_edges, rh, rw, ir_edges, ih, iw, candidates: list[tuple
     def run(a: pa.Array, ah: pa.Array, aw: pa.Array, b: pa.Array, bh: pa.Array, bw: pa.Array) -> pa.Array:
         x, y = Frames(a, ah, aw), Frames(b, bh, bw)
         parts = []
-        for rows in groups(x.ok & y.ok, x.h, x.w, y.h, y.w):
+        for rows in groups(x.ok & y.ok, *x.shape, *y.shape):
             src, dst = x.stack(rows), y.stack(rows)[..., 0]
             scores = [_edge_agreement(src, dst, placement_matrix(src.shape[1:3], dst.shape[1:], *c)) for c in candidates]
             parts.append((rows, np.stack(scores, axis=1)))

@@ -26,7 +26,10 @@ def _i(x) -> Column:
 
 # -- windows --------------------------------------------------------------
 def crop(px, height, width, x, y, w, h, channels: int = 1, kind: str = "double") -> Column:
-    """Window ``[x, y, w, h]`` of each frame, clamped to the frame like a slice."""
+    """Window ``[x, y, w, h]`` of each frame, clamped to the frame like a slice.
+
+    ``channels = 0`` reads the channel count off each frame.
+    """
     dtype = dtype_of(kind)
 
     def run(px: pa.Array, fh: pa.Array, fw: pa.Array, x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
@@ -35,11 +38,12 @@ def crop(px, height, width, x, y, w, h, channels: int = 1, kind: str = "double")
         cw, ch = np.clip(ints(w), 0, f.w - x0), np.clip(ints(h), 0, f.h - y0)
         ok = f.ok & np.asarray(x.is_valid())
         parts = []
-        for rows in groups(ok, f.h, f.w, cw, ch):
+        for rows in groups(ok, *f.shape, cw, ch):
             # One gather per shape; the window's corner differs by row.
             ys = y0[rows][:, None, None, None] + np.arange(ch[rows[0]])[:, None, None]
             xs = x0[rows][:, None, None, None] + np.arange(cw[rows[0]])[:, None]
-            at = (ys * f.w[rows[0]] + xs) * channels + np.arange(channels)
+            depth = f.c[rows[0]]
+            at = (ys * f.w[rows[0]] + xs) * depth + np.arange(depth)
             parts.append((rows, f.values[(at + f.offsets[rows][:, None, None, None]).reshape(len(rows), -1)]))
         return lists(len(px), parts, dtype)
 
@@ -60,7 +64,7 @@ def flip(px, height, width, channels: int = 1, when=True, kind: str = "double")
         f = Frames(px, h, w, channels)
         mirrored = ints(on)
         parts = []
-        for rows in groups(f.ok, f.h, f.w, mirrored):
+        for rows in groups(f.ok, *f.shape, mirrored):
             stack = f.stack(rows)
             parts.append((rows, (stack[:, :, ::-1] if mirrored[rows[0]] else stack).reshape(len(rows), -1)))
         return lists(len(px), parts, dtype)

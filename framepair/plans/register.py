@@ -67,7 +67,8 @@ def calibration_pairs(rgb: DataFrame, ir: DataFrame, frames: Sequence[int]) -> D
     last = rgb.groupBy("rec_id").agg(F.max("idx").alias("_last"))
     asked = F.explode(F.array(*[F.lit(int(i)).cast("bigint") for i in frames]))
     wanted = last.withColumn("_f", asked).select("rec_id", F.least("_f", "_last").alias("idx")).distinct()
-    grey = F.when(F.col("channels") == 3, luma("px")).otherwise(F.transform("px", lambda v: v.cast("double")))
+    colour = F.when(F.col("channels") == 3, F.col("px"))
+    grey = F.coalesce(luma(colour), F.col("px").cast("array<double>"))
     side = lambda df, m: df.select(
         "rec_id", "name", "idx", grey.alias(f"{m}_px"), F.col("height").alias(f"{m}_h"), F.col("width").alias(f"{m}_w")
     )
@@ -89,17 +90,18 @@ def register(
     re_idx = lambda df: df.drop("idx").join(placed.select(*keys, "idx"), keys)
     records = calibration_records(re_idx(rgb), re_idx(ir), mode, **calibration)
     meta = lookup(placed, records.select("rec_id", "H", "crop"), ["rec_id"], ["name"])
-    a = rgb.select(*keys, F.col("px").alias("_a"), F.col("height").alias("_ah"), F.col("width").alias("_aw"), F.col("channels").alias("_ac"))
+    a = rgb.select(*keys, F.col("px").alias("_a"), F.col("height").alias("_ah"), F.col("width").alias("_aw"))
     b = ir.select(*keys, F.col("px").alias("_b"), F.col("height").alias("ir_h"), F.col("width").alias("ir_w"))
     joined = meta.join(a, keys).join(b, keys)
-    warped = lambda c: kernels.warp("_a", "_ah", "_aw", "H", "ir_h", "ir_w", channels=c)
-    joined = joined.withColumn("_w", F.when(F.col("_ac") == 3, warped(3)).otherwise(warped(1)))
-    x, y, w, h = (F.col("crop")[i] for i in range(4))
-    cut = lambda px, c: F.when(F.col("crop").isNull(), px).otherwise(pixels.crop(px, "ir_h", "ir_w", x, y, w, h, c, "float"))
-    rgb_px = F.when(F.col("_ac") == 3, cut(F.col("_w"), 3)).otherwise(cut(F.col("_w"), 1))
-    side = lambda full, k: F.when(F.col("crop").isNull(), F.col(full)).otherwise(F.col("crop")[k])
+    joined = joined.withColumn("_w", kernels.warp("_a", "_ah", "_aw", "H", "ir_h", "ir_w", channels=0))
+    # Without a crop the window is the whole frame: both branches of a
+    # conditional around a Python kernel would run for every row.
+    whole = F.array(F.lit(0), F.lit(0), F.col("ir_w").cast("int"), F.col("ir_h").cast("int"))
+    joined = joined.withColumn("_box", F.coalesce("crop", whole))
+    x, y, w, h = (F.col("_box")[i] for i in range(4))
+    cut = lambda px: pixels.crop(px, "ir_h", "ir_w", x, y, w, h, 0, "float")
     aligned = joined.select(
-        *keys, "idx", "chunk_id", "split", rgb_px.alias("rgb_px"), cut(F.col("_b"), 1).alias("ir_px"),
-        side("ir_h", 3).cast("int").alias("height"), side("ir_w", 2).cast("int").alias("width"),
+        *keys, "idx", "chunk_id", "split", cut("_w").alias("rgb_px"), cut("_b").alias("ir_px"),
+        h.alias("height"), w.alias("width"),
     )
     return Registration(aligned, records)

@@ -81,9 +81,11 @@ def convert_pairs(pairs: DataFrame) -> DataFrame:
     Adds ``rgb_px`` and ``ir_px`` from interleaved ``rgb_px, ir_px, ir_channels,
     ir_depth``; IR colour is averaged, deeper IR is stretched before cropping.
     """
-    grey = F.when(F.col("ir_channels") == 3, color.gray_mean("ir_px")).otherwise(F.transform("ir_px", lambda v: v.cast("int")))
-    out = pairs.withColumn("_g", grey)
-    out = out.withColumn("_g", F.when(F.col("ir_depth") > 8, color.minmax_stretch("_g", "ir_h", "ir_w")).otherwise(F.col("_g")))
+    # Kernels see NULL for the frames they do not apply to.
+    colour = F.when(F.col("ir_channels") == 3, F.col("ir_px"))
+    out = pairs.withColumn("_g", F.coalesce(color.gray_mean(colour), F.col("ir_px").cast("array<int>")))
+    deep = F.when(F.col("ir_depth") > 8, F.col("_g"))
+    out = out.withColumn("_g", F.coalesce(color.minmax_stretch(deep, "ir_h", "ir_w"), F.col("_g")))
     sizes = lambda a, b: (f"{a}_h", f"{a}_w", f"{b}_h", f"{b}_w")
     return out.select(
         *[c for c in pairs.columns if c not in ("rgb_px", "ir_px")],

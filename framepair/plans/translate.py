@@ -46,7 +46,7 @@ def _translator(factory: Callable, multiple: int, precision: str):
             f = Frames(px, h, w, 3)
             wanted = conds.to_pylist()
             out: list = [None] * len(px)
-            for rows in groups(f.ok, f.h, f.w):
+            for rows in groups(f.ok, *f.shape):
                 bgr = f.stack(rows)
                 height, width = bgr.shape[1:3]
                 planes = np.moveaxis(bgr[..., ::-1], 3, 1) / 127.5 - 1.0

@@ -69,8 +69,8 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def read_thermal(spark: SparkSession, path: str) -> DataFrame:
     """Single-channel frames at full bit depth; colour files become weighted grey."""
     f = read_frames(spark, path)
-    bgr = color.drop_alpha("px", F.col("channels"))
-    grey = F.when(F.col("channels") > 1, color.luma_uint8(bgr)).otherwise(F.col("px"))
+    bgr = F.when(F.col("channels") > 1, color.drop_alpha("px", F.col("channels")))
+    grey = F.coalesce(color.luma_uint8(bgr), F.col("px"))
     return f.select("name", "stem", "height", "width", F.when(F.col("height") > 0, F.lit(1)).alias("channels"), "depth", grey.alias("px"))
 
 
