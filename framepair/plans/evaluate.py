@@ -8,24 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framepair.functions import kernels
+from framepair.functions.names import score_stem
 from framepair.functions.norm import ThermalNorm, to_unit
-from framepair.operators import pairing, scores
+from framepair.operators import scores
 
 
 def score_pairs(pred: DataFrame, truth: DataFrame, norm: ThermalNorm, depth: int = 8) -> DataFrame:
     """Per-stem ``l1, rmse, psnr, ssim`` on [0, 1] from raw frames ``file, height, width, px``.
 
-    The deduplicating match runs on names; each side's pixels are then joined
-    once by its chosen file.
+    Both sides meet in one aggregation by cleaned stem that also keeps only
+    the last file name of each side, so every frame is shuffled once and as
+    stored; normalising happens after.
     """
-    names = pairing.match_scores(pred.select("file"), truth.select("file"))
+    frame = F.struct("height", "width", "px")
+    side = lambda df, m: df.select(score_stem("file").alias("stem"), "file", F.lit(m).alias("_m"), frame.alias("_f"))
+    both = side(pred, 0).unionByName(side(truth, 1))
+    last = lambda m: F.max_by("_f", F.when(F.col("_m") == m, F.col("file")))
+    met = both.groupBy("stem").agg(last(0).alias("_p"), last(1).alias("_g"))
+    met = met.where(F.col("_p").isNotNull() & F.col("_g").isNotNull())
     unit = lambda c: to_unit(norm.normalise(c, depth))
-    side = lambda df, p: df.select(
-        F.col("file").alias(f"{p}_file"), F.col("height").alias(f"{p}_h"), F.col("width").alias(f"{p}_w"), unit("px").alias(f"{p}_px")
-    )
-    both = names.join(side(pred, "pred"), "pred_file").join(side(truth, "gt"), "gt_file")
-    score = kernels.score_frames("pred_px", "pred_h", "pred_w", "gt_px", "gt_h", "gt_w")
-    return both.select("stem", score.alias("_s")).select("stem", "_s.*")
+    score = kernels.score_frames(unit("_p.px"), "_p.height", "_p.width", unit("_g.px"), "_g.height", "_g.width")
+    return met.select("stem", score.alias("_s")).select("stem", "_s.*")
 
 
 def evaluate(pred: DataFrame, truth: DataFrame, norm: ThermalNorm, depth: int = 8, by: Sequence[str] = ()) -> DataFrame:

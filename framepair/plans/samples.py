@@ -97,26 +97,29 @@ def unpaired_samples(
 ) -> DataFrame:
     """Decoupled samples: each RGB frame with a drawn (or cyclic) IR partner, ``t = 0``.
 
-    Partners are matched on names alone; pixels join afterwards. Windows,
-    mirrors and jitter of the two sides are independent.
+    Partners are matched on names alone. Each side is cut to its window
+    before the sides meet: full RGB frames are never shuffled, full IR frames
+    once.
     """
-    partners = pairing.decoupled(rgb, ir, train, epoch, seed).select("rgb_name", "ir_name")
-    a = rgb.select(F.col("name").alias("rgb_name"), F.col("px").alias("_a"), F.col("height").alias("_ah"), F.col("width").alias("_aw"))
+    partners = pairing.decoupled(rgb, ir, train, epoch, seed).select(F.col("rgb_name").alias("name"), "ir_name")
+    ids = lambda tag: (F.col("name"), F.lit(epoch), F.lit(seed), F.lit(tag))
+    a = rgb.select("name", F.col("px").alias("_a"), F.col("height").alias("_ah"), F.col("width").alias("_aw"))
+    a = a.withColumn("_nh", kernels.height_for_width("_ah", "_aw", rgb_width)).withColumn("_nw", F.lit(rgb_width))
+    a = a.withColumn("_a", _whole(kernels.resize("_a", "_ah", "_aw", "_nh", "_nw", "area", 3)))
+    a = _jittered(_grown_window(a, "_a", "_nh", "_nw", crop_size, 3, "a", ids("a"), train), "_a", ids("a"), train)
     b = ir.select(F.col("name").alias("ir_name"), F.col("px").alias("_b"), F.col("height").alias("_bh"), F.col("width").alias("_bw"))
-    df = partners.join(a, "rgb_name").join(b, "ir_name")
-    df = df.withColumn("_nh", kernels.height_for_width("_ah", "_aw", rgb_width)).withColumn("_nw", F.lit(rgb_width))
-    df = df.withColumn("_a", _whole(kernels.resize("_a", "_ah", "_aw", "_nh", "_nw", "area", 3)))
-    df = df.withColumn("_b", norm.normalise("_b", depth))
-    for px, h, w, c in (("_a", "_nh", "_nw", 3), ("_b", "_bh", "_bw", 1)):
-        gh, gw = kernels.at_least(h, w, crop_size)
-        df = df.withColumn("_gh", gh).withColumn("_gw", gw)
-        grown = kernels.resize(px, h, w, "_gh", "_gw", "linear", c, "double")
-        df = df.withColumn(px, _whole(grown) if c == 3 else grown)
-        ids = (F.col("rgb_name"), F.lit(epoch), F.lit(seed), F.lit("a" if c == 3 else "b"))
-        df = _window(df, px, "_gh", "_gw", crop_size, c, "a" if c == 3 else "b", ids, train)
-        if c == 3:
-            df = _jittered(df, px, ids, train)
-    return df.select(
-        stem("rgb_name").alias("name"), stem("ir_name").alias("ir_name"), F.lit(epoch).alias("epoch"),
+    b = partners.join(b, "ir_name").withColumn("_b", norm.normalise("_b", depth))
+    b = _grown_window(b, "_b", "_bh", "_bw", crop_size, 1, "b", ids("b"), train)
+    return a.select("name", "_a").join(b.select("name", "ir_name", "_b"), "name").select(
+        stem("name").alias("name"), stem("ir_name").alias("ir_name"), F.lit(epoch).alias("epoch"),
         interleaved_to_planes("_a", F.lit(crop_size), F.lit(crop_size)).alias("a"), F.col("_b").alias("b"), F.lit(0.0).alias("t"),
     )
+
+
+def _grown_window(df: DataFrame, px: str, h: str, w: str, size: int, channels: int, tag: str, seed: tuple, train: bool) -> DataFrame:
+    """Enlarge frames smaller than the window, then cut it."""
+    gh, gw = kernels.at_least(h, w, size)
+    df = df.withColumn("_gh", gh).withColumn("_gw", gw)
+    grown = kernels.resize(px, h, w, "_gh", "_gw", "linear", channels, "double")
+    df = df.withColumn(px, _whole(grown) if channels == 3 else grown)
+    return _window(df, px, "_gh", "_gw", size, channels, tag, seed, train)
