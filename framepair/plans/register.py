@@ -13,6 +13,7 @@ from framepair.functions.color import luma
 from framepair.functions.geometry import auto_crop, letterbox
 from framepair.operators import calibrate, pairing, split
 from framepair.operators.lookup import lookup
+from framepair.session import materialise
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,8 @@ def register(
     """
     keys = ["rec_id", "name"]
     common = pairing.common_names(rgb, ir, keys)
-    placed = split.chunk_split(common, ["rec_id"], ["name"], val_frac, chunk)
+    # Names and positions only, read three times below.
+    placed = materialise(split.chunk_split(common, ["rec_id"], ["name"], val_frac, chunk), "placed")
     re_idx = lambda df: df.drop("idx").join(placed.select(*keys, "idx"), keys)
     records = calibration_records(re_idx(rgb), re_idx(ir), mode, **calibration)
     meta = lookup(placed, records.select("rec_id", "H", "crop"), ["rec_id"], ["name"])
