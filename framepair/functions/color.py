@@ -21,9 +21,9 @@ def luma_uint8(px: Column | str) -> Column:
     return flat_udf(lambda v: np.rint(v @ np.array(LUMA_BGR)), 3, "int")(px)
 
 
-def gray_mean(px: Column | str) -> Column:
+def gray_mean(px: Column | str, channels: int = 3) -> Column:
     """Channel mean rounded half to even: exact for replicated grey."""
-    return flat_udf(lambda v: np.rint(v.sum(axis=1) / 3.0), 3, "int")(px)
+    return flat_udf(lambda v: np.rint(v.sum(axis=1) / channels), channels, "int")(px)
 
 
 def channel_mean(px: Column | str) -> Column:

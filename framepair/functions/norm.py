@@ -65,13 +65,19 @@ class ThermalNorm:
     def norm_to_celsius(self, n: Column) -> Column:
         return (n.cast("double") + 1.0) / 2.0 * self.celsius_span + self.tmin
 
-    def norm_value(self, raw: Column, depth: int = 8) -> Column:
-        """Raw count to [-1, 1]; 16-bit counts in rel8 drop to 8 bits first."""
+    def norm_value(self, raw: Column, depth: int | Column = 8) -> Column:
+        """Raw count to [-1, 1]; 16-bit counts in rel8 drop to 8 bits first.
+
+        ``depth`` may be a column, for tables that mix bit depths.
+        """
         x = raw.cast("double")
         if self.mode == "abs16":
             return clip(self.celsius_to_norm(x * self.raw_scale + self.raw_offset), -1, 1)
-        if depth == 16:
-            x = F.floor(x / 257.0).cast("double")
+        low = F.floor(x / 257.0).cast("double")
+        if isinstance(depth, Column):
+            x = F.when(depth > 8, low).otherwise(x)
+        elif depth > 8:
+            x = low
         return clip(x / 127.5 - 1.0, -1, 1)
 
     def uint8_value(self, n: Column) -> Column:
@@ -85,7 +91,7 @@ class ThermalNorm:
         return F.floor((clip(n.cast("double"), -1, 1) + 1.0) * 32767.5).cast("int")
 
     # -- pixel arrays -----------------------------------------------------
-    def normalise(self, px: Column | str, depth: int = 8) -> Column:
+    def normalise(self, px: Column | str, depth: int | Column = 8) -> Column:
         return _each(px, lambda x: self.norm_value(x, depth))
 
     def to_uint8(self, px: Column | str) -> Column:

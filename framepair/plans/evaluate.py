@@ -16,18 +16,20 @@ from framepair.operators import scores
 def score_pairs(pred: DataFrame, truth: DataFrame, norm: ThermalNorm, depth: int = 8) -> DataFrame:
     """Per-stem ``l1, rmse, psnr, ssim`` on [0, 1] from raw frames ``file, height, width, px``.
 
+    A ``depth`` column, when a side has one, overrides the argument per frame.
     Both sides meet in one aggregation by cleaned stem that also keeps only
     the last file name of each side, so every frame is shuffled once and as
     stored; normalising happens after.
     """
-    frame = F.struct("height", "width", "px")
-    side = lambda df, m: df.select(score_stem("file").alias("stem"), "file", F.lit(m).alias("_m"), frame.alias("_f"))
+    bits = lambda df: (F.col("depth") if "depth" in df.columns else F.lit(depth)).cast("int").alias("depth")
+    frame = lambda df: F.struct("height", "width", bits(df), "px")
+    side = lambda df, m: df.select(score_stem("file").alias("stem"), "file", F.lit(m).alias("_m"), frame(df).alias("_f"))
     both = side(pred, 0).unionByName(side(truth, 1))
     last = lambda m: F.max_by("_f", F.when(F.col("_m") == m, F.col("file")))
     met = both.groupBy("stem").agg(last(0).alias("_p"), last(1).alias("_g"))
     met = met.where(F.col("_p").isNotNull() & F.col("_g").isNotNull())
-    unit = lambda c: to_unit(norm.normalise(c, depth))
-    score = kernels.score_frames(unit("_p.px"), "_p.height", "_p.width", unit("_g.px"), "_g.height", "_g.width")
+    unit = lambda c: to_unit(norm.normalise(f"{c}.px", F.col(f"{c}.depth")))
+    score = kernels.score_frames(unit("_p"), "_p.height", "_p.width", unit("_g"), "_g.height", "_g.width")
     return met.select("stem", score.alias("_s")).select("stem", "_s.*")
 
 

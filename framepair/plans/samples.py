@@ -89,7 +89,7 @@ def unpaired_samples(
     ir: DataFrame,
     norm: ThermalNorm,
     crop_size: int,
-    rgb_width: int,
+    rgb_width: int = 0,
     train: bool = True,
     epoch: int = 0,
     seed: int = 0,
@@ -97,6 +97,8 @@ def unpaired_samples(
 ) -> DataFrame:
     """Decoupled samples: each RGB frame with a drawn (or cyclic) IR partner, ``t = 0``.
 
+    ``rgb_width = 0`` scales RGB to the width of the first IR frame.
+
     Partners are matched on names alone. Each side is cut to its window
     before the sides meet: full RGB frames are never shuffled, full IR frames
     once.
@@ -104,7 +106,8 @@ def unpaired_samples(
     partners = pairing.decoupled(rgb, ir, train, epoch, seed).select(F.col("rgb_name").alias("name"), "ir_name")
     ids = lambda tag: (F.col("name"), F.lit(epoch), F.lit(seed), F.lit(tag))
     a = rgb.select("name", F.col("px").alias("_a"), F.col("height").alias("_ah"), F.col("width").alias("_aw"))
-    a = a.withColumn("_nh", kernels.height_for_width("_ah", "_aw", rgb_width)).withColumn("_nw", F.lit(rgb_width))
+    width = F.lit(rgb_width) if rgb_width > 0 else ir.agg(F.min_by("width", "name").alias("w")).scalar()
+    a = a.withColumn("_nw", width.cast("int")).withColumn("_nh", kernels.height_for_width("_ah", "_aw", "_nw"))
     a = a.withColumn("_a", _whole(kernels.resize("_a", "_ah", "_aw", "_nh", "_nw", "area", 3)))
     a = _jittered(_grown_window(a, "_a", "_nh", "_nw", crop_size, 3, "a", ids("a"), train), "_a", ids("a"), train)
     b = ir.select(F.col("name").alias("ir_name"), F.col("px").alias("_b"), F.col("height").alias("_bh"), F.col("width").alias("_bw"))

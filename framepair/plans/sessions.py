@@ -82,8 +82,8 @@ def convert_pairs(pairs: DataFrame) -> DataFrame:
     ir_depth``; IR colour is averaged, deeper IR is stretched before cropping.
     """
     # Kernels see NULL for the frames they do not apply to.
-    colour = F.when(F.col("ir_channels") == 3, F.col("ir_px"))
-    out = pairs.withColumn("_g", F.coalesce(color.gray_mean(colour), F.col("ir_px").cast("array<int>")))
+    deeper = [color.gray_mean(F.when(F.col("ir_channels") == c, F.col("ir_px")), c) for c in (3, 4)]
+    out = pairs.withColumn("_g", F.coalesce(*deeper, F.col("ir_px").cast("array<int>")))
     deep = F.when(F.col("ir_depth") > 8, F.col("_g"))
     out = out.withColumn("_g", F.coalesce(color.minmax_stretch(deep, "ir_h", "ir_w"), F.col("_g")))
     sizes = lambda a, b: (f"{a}_h", f"{a}_w", f"{b}_h", f"{b}_w")

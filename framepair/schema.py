@@ -27,9 +27,13 @@ _VIDEO = (
 _POSITION = "STRUCT<lat: DOUBLE, lon: DOUBLE, alt_m: DOUBLE>"
 _KLV = (
     "STRUCT<standard: STRING, packets: BIGINT, rate_hz: DOUBLE, precision_timestamp_us_first: BIGINT, "
-    f"precision_timestamp_us_last: BIGINT, timestamp_span_s: DOUBLE, sensor_first: {_POSITION}, sensor_last: {_POSITION}>"
+    f"precision_timestamp_us_last: BIGINT, timestamp_span_s: DOUBLE, timestamp_epoch: STRING, sensor_first: {_POSITION}, sensor_last: {_POSITION}>"
 )
-STREAM = f"STRUCT<file: STRING, bytes: BIGINT, sha256: STRING, video: {_VIDEO}, klv: {_KLV}>"
+SYNC = (
+    "STRUCT<evidence_shared_clock: STRING, extract_frames_offset_ms: STRUCT<value: DOUBLE, at_end_of_recording: DOUBLE, "
+    "drift_ms_over_recording: DOUBLE, definition: STRING, meaning: STRING, status: STRING>>"
+)
+STREAM = f"STRUCT<file: STRING, role: STRING, container: STRING, bytes: BIGINT, sha256: STRING, video: {_VIDEO}, klv: {_KLV}>"
 PACKETS = "stream STRING, seq BIGINT, pts_s DOUBLE, klv_us BIGINT"
 REGISTRATION = (
     "mode STRING, H ARRAY<ARRAY<DOUBLE>>, ecc_cc DOUBLE, crop ARRAY<INT>, thermal_size ARRAY<INT>, rgb_size ARRAY<INT>"

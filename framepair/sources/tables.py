@@ -51,8 +51,11 @@ def temperatures(lines: DataFrame) -> DataFrame:
     """
     row = F.from_csv("value", F.lit(schema.TEMPERATURES))
     rows = lines.withColumn("_f", row).where(F.col("value").contains(","))
-    rows = rows.select(F.trim("_f.filename").alias("name"), F.trim("_f.celsius").cast("double").alias("c"), "line_no")
-    rows = rows.where(F.col("name").isNotNull() & (F.col("name") != ""))
+    rows = rows.withColumn("name", F.trim("_f.filename")).where(F.col("name").isNotNull() & (F.col("name") != ""))
+    # A quoted name may hold the only comma; an empty second field is an error.
+    rows = rows.where(F.col("_f.celsius").isNotNull() | F.col("value").rlike(r'^[^"]*,'))
+    wrong = F.raise_error(F.concat(F.lit("not a temperature: "), F.col("value"))).cast("double")
+    rows = rows.select("name", F.coalesce(F.trim("_f.celsius").try_cast("double"), wrong).alias("c"), "line_no")
     return rows.groupBy(names.stem("name").alias("stem")).agg(F.max_by("c", "line_no").alias("celsius"))
 
 
@@ -87,6 +90,16 @@ def read_streams(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("streams").alias("stream", "s")).select("stream", "s.*")
 
 
+def read_sync(spark: SparkSession, path: str) -> DataFrame:
+    """The recorded clock offset of a stream manifest, in milliseconds."""
+    raw = spark.read.schema(f"sync {schema.SYNC}").option("multiLine", "true").json(path)
+    offset = F.col("sync.extract_frames_offset_ms")
+    return raw.select(
+        offset["value"].alias("offset_ms"), offset["at_end_of_recording"].alias("end_offset_ms"),
+        offset["drift_ms_over_recording"].alias("drift_ms"), offset["status"].alias("status"),
+    )
+
+
 def read_split_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.SPLIT_REPORT).option("multiLine", "true").json(path)
 

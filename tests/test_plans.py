@@ -40,6 +40,18 @@ def test_duplicate_session_is_an_error(spark):
         sessions.plan_sessions(listing(spark, e))
 
 
+def test_converted_depths(spark):
+    """Deep IR is stretched before cropping; colour IR, with or without alpha, is averaged."""
+    cols = "id int, rgb_h int, rgb_w int, rgb_px array<int>, ir_h int, ir_w int, ir_channels int, ir_depth int, ir_px array<int>"
+    rgb = list(range(12))
+    df = spark.createDataFrame([
+        (0, 2, 2, rgb, 2, 3, 1, 16, [1000, 1500, 9000, 2000, 3000, 5000]), (1, 2, 2, rgb, 2, 2, 3, 8, [1, 2, 6] * 4), (2, 2, 2, rgb, 2, 2, 4, 8, [1, 2, 6, 255] * 4),
+    ], cols)
+    got = {r.id: r for r in sessions.convert_pairs(df).collect()}
+    assert got[0].ir_px == [0, 15, 31, 63] and got[0].rgb_px == rgb and (got[0].height, got[0].width) == (2, 2)
+    assert got[1].ir_px == [3] * 4 and got[2].ir_px == [66] * 4
+
+
 # -- scoring --------------------------------------------------------------
 def score_frame(name, value, side=12):
     return (name, side, side, [int(value)] * side * side)
@@ -53,6 +65,8 @@ def test_evaluation(spark):
     assert r.n == 2 and r.L1 == pytest.approx(25 / 255 / 2) and r.RMSE == pytest.approx(25 / 255 / 2)
     per = {x.stem: x for x in evaluate.score_pairs(pred, truth, REL8).collect()}
     assert per["x"].psnr == pytest.approx(120) and per["x"].ssim == pytest.approx(1)
+    deep = spark.createDataFrame([("x_16bit.png", 12, 12, 16, [51 * 257 + 200] * 144)], "file string, height int, width int, depth int, px array<int>")
+    assert evaluate.evaluate(deep, truth, REL8).first().L1 == pytest.approx(0)
     with pytest.raises(Exception, match="no matching names"):
         evaluate.evaluate(pred, truth.where("false"), REL8).collect()
 
@@ -133,6 +147,15 @@ def test_samples_are_reproducible(spark):
     assert (val.crop.x, val.crop.y, val.crop.flip) == (0, 1, False)
 
 
+def test_unpaired_width_defaults_to_ir(spark):
+    rgb = spark.createDataFrame([(f"{i}.png", 6, 12, [i] * 216) for i in range(5)], FRAME)
+    ir = spark.createDataFrame([(f"{i}.png", 4, 6, [i] * 24) for i in range(2)], FRAME)
+    got = rows(samples.unpaired_samples(rgb, ir, REL8, crop_size=3, train=False), "name", "ir_name")
+    assert got == [("0", "0"), ("1", "1"), ("2", "0"), ("3", "1"), ("4", "0")]
+    train = samples.unpaired_samples(rgb, ir, REL8, crop_size=9)
+    assert {(len(r.a), len(r.b), r.t) for r in train.collect()} == {(243, 81, 0.0)}
+
+
 def test_translation_keeps_geometry(spark):
     frames = spark.createDataFrame([("a", 5, 7, RNG.integers(0, 256, 105).tolist()), ("b", 4, 4, [0] * 48)], FRAME)
 

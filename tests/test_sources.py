@@ -114,7 +114,7 @@ def test_temperatures(spark, tmp_path):
     t = tables.read_temperatures(spark, str(tmp_path / "t.csv"))
     assert rows(t) == [("a", 3.0), ("c", 2.0)]
     (tmp_path / "h.csv").write_text("filename,celsius\na.png,1\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="not a temperature"):
         tables.read_temperatures(spark, str(tmp_path / "h.csv")).collect()
 
 
@@ -135,9 +135,11 @@ def test_log_lines(spark):
 
 def test_stream_manifest_and_report(spark, tmp_path):
     day = {"file": "day.ts", "bytes": 5, "video": {"width": 3840, "measured_frames": 21348, "pts_delta_ms": {"min": 18.8, "note": "x"}}, "klv": {"packets": 3}}
-    (tmp_path / "m.json").write_text(json.dumps({"_comment": "c", "streams": {"day": day, "ir": {"file": "ir.ts"}}}, indent=1))
+    clock = {"extract_frames_offset_ms": {"value": 893, "at_end_of_recording": 897, "drift_ms_over_recording": 4, "status": "derived"}}
+    (tmp_path / "m.json").write_text(json.dumps({"_comment": "c", "sync": clock, "streams": {"day": day, "ir": {"file": "ir.ts"}}}, indent=1))
     s = tables.read_streams(spark, str(tmp_path / "m.json"))
     assert rows(s, "stream", "video.measured_frames", "video.pts_delta_ms.min") == [("day", 21348, 18.8), ("ir", None, None)]
+    assert rows(tables.read_sync(spark, str(tmp_path / "m.json"))) == [(893.0, 897.0, 4.0, "derived")]
     report = {"root": "/d", "sessions": {"a": {"split": "val", "pairs": 3}}, "val_sessions": ["a"], "skipped": ["t"], "counts": {"train": 0, "val": 3}}
     (tmp_path / "r.json").write_text(json.dumps(report))
     assert rows(tables.report_sessions(tables.read_split_report(spark, str(tmp_path / "r.json")))) == [("a", "val", 3)]
