@@ -38,7 +38,7 @@ def conv_sql(src: str, out: str, taps: str, cols: str = "x") -> str:
 GAUSS1 = taps_sql("g1", "exp(-(d * d) / 2e0)", 3)
 
 
-@query("gaussian_blur", f"WITH {PIX}, {GAUSS1}, {conv_sql('pix', 'b', 'g1')} SELECT vec_id, r * 8 + c AS i, round(x, 6) AS v FROM b")
+@query("gaussian_blur", f"WITH {PIX}, {GAUSS1}, {conv_sql('pix', 'b', 'g1')} SELECT vec_id, r * 8 + c AS i, round(x, 6) + 0e0 AS v FROM b")
 def gaussian_blur(spark, sf):
     f = frames(spark, sf).withColumn("s", kernels.gaussian_blur("b", *EIGHT, sigma=1.0, precision="double"))
     return pixels(f, "s", "vec_id").select("vec_id", "i", r6("v").alias("v"))
@@ -64,14 +64,14 @@ k AS (SELECT dy, dx, dx * CASE dy WHEN 0 THEN 2e0 ELSE 1e0 END AS wx, dy * CASE
 m AS (SELECT o.vec_id, o.r, o.c, sqrt(sum(wx * s.x) ** 2 + sum(wy * s.x) ** 2) AS m FROM g o CROSS JOIN k
   JOIN g s ON s.vec_id = o.vec_id AND s.r = {refl('o.r + k.dy')} AND s.c = {refl('o.c + k.dx')} GROUP BY 1, 2, 3),
 z AS (SELECT *, min(m) OVER (PARTITION BY vec_id) AS lo, max(m) OVER (PARTITION BY vec_id) AS hi FROM m)
-SELECT vec_id, r * 8 + c AS i, round(coalesce((m - lo) / nullif(hi - lo, 0), 0), 6) AS v FROM z""")
+SELECT vec_id, r * 8 + c AS i, round(coalesce((m - lo) / nullif(hi - lo, 0), 0), 6) + 0e0 AS v FROM z""")
 def edge_map(spark, sf):
     f = frames(spark, sf).withColumn("e", kernels.edge_map("px", *EIGHT, precision="double"))
     return pixels(f, "e", "vec_id").select("vec_id", "i", r6("v").alias("v"))
 
 
 @query("pyramid_level", f"""WITH {PIX}
-SELECT o.vec_id, (y * 4 + x2) AS i, round(avg(p.x), 6) AS v FROM (SELECT vec_id, y, x2 FROM frames, range(4) a(y), range(4) b(x2)) o
+SELECT o.vec_id, (y * 4 + x2) AS i, round(avg(p.x), 6) + 0e0 AS v FROM (SELECT vec_id, y, x2 FROM frames, range(4) a(y), range(4) b(x2)) o
 JOIN pix p ON p.vec_id = o.vec_id AND abs(p.r - 2 * y) <= 1 AND abs(p.c - 2 * x2) <= 1 GROUP BY 1, 2""")
 def pyramid_level(spark, sf):
     f = frames(spark, sf).withColumn("p", kernels.pool2("b", *EIGHT, precision="double"))
@@ -79,7 +79,7 @@ def pyramid_level(spark, sf):
 
 
 @query("padded_frames", f"""WITH {PIX}
-SELECT o.vec_id, (y * 18 + x2) AS i, round(p.x, 6) AS v, CASE WHEN y < 8 AND x2 < 8 THEN 1 ELSE 0 END AS inside
+SELECT o.vec_id, (y * 18 + x2) AS i, round(p.x, 6) + 0e0 AS v, CASE WHEN y < 8 AND x2 < 8 THEN 1 ELSE 0 END AS inside
 FROM (SELECT vec_id, y, x2 FROM frames, range(18) a(y), range(18) b(x2)) o
 JOIN pix p ON p.vec_id = o.vec_id AND p.r = 7 - abs(y % 14 - 7) AND p.c = 7 - abs(x2 % 14 - 7)""")
 def padded_frames(spark, sf):
@@ -89,7 +89,7 @@ def padded_frames(spark, sf):
     return pixels(f, "p", "vec_id").select("vec_id", "i", r6("v").alias("v"), inside.alias("inside"))
 
 
-@query("unpadded_frames", f"WITH {PIX} SELECT vec_id, i, round(x, 6) AS v FROM pix")
+@query("unpadded_frames", f"WITH {PIX} SELECT vec_id, i, round(x, 6) + 0e0 AS v FROM pix")
 def unpadded_frames(spark, sf):
     f = frames(spark, sf).withColumn("p", px_ops.pad_reflect("b", *EIGHT, multiple=18))
     f = f.withColumn("u", px_ops.unpad("p", 18, 18, *EIGHT))
@@ -136,7 +136,7 @@ _AREA = """aw AS (SELECT d, s, greatest(0e0, least((d + 1) * 1.6e0, s + 1e0) - g
 
 
 def _resize_sql(w: str, n: int) -> str:
-    return f"""SELECT p.vec_id, y.d * {n} + x.d AS i, round(sum(y.w * x.w * p.x), 6) AS v FROM pix p JOIN {w} y ON y.s = p.r JOIN {w} x ON x.s = p.c
+    return f"""SELECT p.vec_id, y.d * {n} + x.d AS i, round(sum(y.w * x.w * p.x), 6) + 0e0 AS v FROM pix p JOIN {w} y ON y.s = p.r JOIN {w} x ON x.s = p.c
 WHERE y.w <> 0 AND x.w <> 0 GROUP BY 1, 2"""
 
 
@@ -173,7 +173,7 @@ q AS (SELECT vec_id, y, x2, CASE WHEN abs(sx - round_even(sx, 0)) < 1e-9 THEN ro
   CASE WHEN abs(sy - round_even(sy, 0)) < 1e-9 THEN round_even(sy, 0) ELSE sy END AS sy FROM o),
 n AS (SELECT vec_id, y, x2, floor(sy) + dy AS r, floor(sx) + dx AS c,
   abs(1 - dy - (sy - floor(sy))) * abs(1 - dx - (sx - floor(sx))) AS w FROM q, range(2) a(dy), range(2) b(dx))
-SELECT n.vec_id, y * 9 + x2 AS i, round(sum(w * coalesce(p.x, 0)), 6) AS v FROM n LEFT JOIN pix p ON p.vec_id = n.vec_id AND p.r = n.r AND p.c = n.c GROUP BY 1, 2""")
+SELECT n.vec_id, y * 9 + x2 AS i, round(sum(w * coalesce(p.x, 0)), 6) + 0e0 AS v FROM n LEFT JOIN pix p ON p.vec_id = n.vec_id AND p.r = n.r AND p.c = n.c GROUP BY 1, 2""")
 def warped_frames(spark, sf):
     s, z = F.lit(1.0) + F.col("label") * 0.05, F.lit(0.0)
     h = F.array(F.array(s, z, F.col("label") * 0.3 - 1.0), F.array(z, s, F.lit(0.5)), F.array(z, z, F.lit(1.0)))
@@ -260,13 +260,13 @@ def _correlated(spark, sf):
     return f.join(mean, "label").select("vec_id", "label", kernels.correlation("x", "m").alias("r"))
 
 
-@query("frame_correlation", f"WITH {_CORR} SELECT vec_id, round(coalesce(r, -9), 6) AS r FROM k")
+@query("frame_correlation", f"WITH {_CORR} SELECT vec_id, round(coalesce(r, -9), 6) + 0e0 AS r FROM k")
 def frame_correlation(spark, sf):
     return _correlated(spark, sf).select("vec_id", r6(F.coalesce("r", F.lit(-9.0))).alias("r"))
 
 
 @query("correlation_verdict", f"""WITH {_CORR}, a AS (SELECT label, avg(r * (1 + label / 4e0)) AS m FROM k GROUP BY 1)
-SELECT label, round(m, 6) AS mean_r, CASE WHEN m > 0.75 THEN 'shortcut' WHEN m > 0.5 THEN 'partial' ELSE 'decoupled' END AS verdict FROM a""")
+SELECT label, round(m, 6) + 0e0 AS mean_r, CASE WHEN m > 0.75 THEN 'shortcut' WHEN m > 0.5 THEN 'partial' ELSE 'decoupled' END AS verdict FROM a""")
 def correlation_verdict(spark, sf):
     a = _correlated(spark, sf).groupBy("label").agg(F.avg(F.col("r") * (1 + F.col("label") / 4.0)).alias("m"))
     return a.select("label", r6("m").alias("mean_r"), scores.verdict(F.col("m")).alias("verdict"))

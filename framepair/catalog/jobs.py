@@ -155,7 +155,7 @@ a AS (SELECT vec_id, sum(((CASE WHEN wj THEN floor(greatest(0e0, least(255e0, v
   WHERE r >= wy AND r < wy + 5 AND c >= wx AND c < wx + 5 GROUP BY 1),
 b AS (SELECT vec_id, avg(v / 127.5e0 - 1e0) AS t, sum((v / 127.5e0 - 1e0) * ((r - wy) * 5 + CASE WHEN wf THEN 4 - (c - wx) ELSE c - wx END + 1)) AS b
   FROM pix JOIN w USING (vec_id) WHERE r >= wy AND r < wy + 5 AND c >= wx AND c < wx + 5 GROUP BY 1)
-SELECT printf('%06d', vec_id) AS name, round(a, 5) AS a, round(b, 5) AS b, round(t, 6) AS t, wx AS x, wy AS y, wf AS flip FROM w JOIN a USING (vec_id) JOIN b USING (vec_id)""")
+SELECT printf('%06d', vec_id) AS name, round(a, 5) + 0e0 AS a, round(b, 5) + 0e0 AS b, round(t, 6) + 0e0 AS t, wx AS x, wy AS y, wf AS flip FROM w JOIN a USING (vec_id) JOIN b USING (vec_id)""")
 def paired_samples(spark, sf):
     f = with_size(frames(spark, sf)).select(name_of().alias("name"), "height", "width", colour().alias("rgb_px"), F.col("px").alias("ir_px"))
     s = samples.paired_samples(f, REL8, load_size=0, crop_size=5, epoch=2, seed=11)
@@ -168,7 +168,7 @@ lw AS (SELECT d, s, sum(w) AS w FROM (
   SELECT d, floor(d * 0.8e0)::BIGINT AS s, 1e0 - p AS w FROM (SELECT d, greatest(0e0, d + 1 - (floor(d * 0.8e0) + 1) / 0.8e0) - floor(greatest(0e0, d + 1 - (floor(d * 0.8e0) + 1) / 0.8e0)) AS p FROM range(10) t(d))
   UNION ALL SELECT d, least(7, floor(d * 0.8e0)::BIGINT + 1), p FROM (SELECT d, greatest(0e0, d + 1 - (floor(d * 0.8e0) + 1) / 0.8e0) - floor(greatest(0e0, d + 1 - (floor(d * 0.8e0) + 1) / 0.8e0)) AS p FROM range(10) t(d))) GROUP BY 1, 2),
 big AS (SELECT vec_id, y.d AS r, x.d AS c, sum(y.w * x.w * (p.v / 127.5e0 - 1e0)) AS v FROM pix p JOIN lw y ON y.s = p.r JOIN lw x ON x.s = p.c GROUP BY 1, 2, 3)
-SELECT printf('%06d', vec_id) AS name, round(sum(v * ((r - 1) * 8 + c - 1 + 1)), 5) AS b, round(avg(v), 6) AS t FROM big WHERE r BETWEEN 1 AND 8 AND c BETWEEN 1 AND 8 GROUP BY 1""")
+SELECT printf('%06d', vec_id) AS name, round(sum(v * ((r - 1) * 8 + c - 1 + 1)), 5) AS b, round(avg(v), 6) + 0e0 AS t FROM big WHERE r BETWEEN 1 AND 8 AND c BETWEEN 1 AND 8 GROUP BY 1""")
 def resized_samples(spark, sf):
     """Validation samples: squash-resize to 10 x 10, then the centre 8 x 8."""
     f = with_size(frames(spark, sf)).select(name_of().alias("name"), "height", "width", colour().alias("rgb_px"), F.col("px").alias("ir_px"))
@@ -184,7 +184,7 @@ a AS (SELECT vec_id, sum(((CASE WHEN aj THEN floor(greatest(0e0, least(255e0, v
   WHERE r >= ay AND r < ay + 5 AND c >= ax AND c < ax + 5 GROUP BY 1),
 b AS (SELECT w.vec_id, sum((v / 127.5e0 - 1e0) * ((r - qy) * 5 + CASE WHEN qf THEN 4 - (c - qx) ELSE c - qx END + 1)) AS b
   FROM pix JOIN w ON pix.vec_id = w.ir_id WHERE r >= qy AND r < qy + 5 AND c >= qx AND c < qx + 5 GROUP BY 1)
-SELECT printf('%06d', vec_id) AS name, printf('T%06d', ir_id) AS ir_name, round(a, 5) AS a, round(b, 5) AS b, 0e0 AS t FROM w JOIN a USING (vec_id) JOIN b USING (vec_id)""")
+SELECT printf('%06d', vec_id) AS name, printf('T%06d', ir_id) AS ir_name, round(a, 5) + 0e0 AS a, round(b, 5) + 0e0 AS b, 0e0 AS t FROM w JOIN a USING (vec_id) JOIN b USING (vec_id)""")
 def unpaired_samples(spark, sf):
     f = with_size(frames(spark, sf))
     rgb = f.select(name_of().alias("name"), "height", "width", colour().alias("px"))
@@ -201,7 +201,7 @@ _RGB = f"""{BGR},
 rgbn AS (SELECT vec_id, label, i, max(v / 127.5e0 - 1e0) FILTER (ch = 2) AS r, max(v / 127.5e0 - 1e0) FILTER (ch = 1) AS g, max(v / 127.5e0 - 1e0) FILTER (ch = 0) AS b, max(level) AS level FROM bgr GROUP BY 1, 2, 3)"""
 
 
-@query("translated_frames", f"WITH {_RGB} SELECT vec_id, i, round(0.4e0 * r + 0.3e0 * g + 0.2e0 * b - 0.1e0, 6) AS v FROM rgbn")
+@query("translated_frames", f"WITH {_RGB} SELECT vec_id, i, round(0.4e0 * r + 0.3e0 * g + 0.2e0 * b - 0.1e0, 6) + 0e0 AS v FROM rgbn")
 def translated_frames(spark, sf):
     f = with_size(frames(spark, sf)).select("vec_id", "height", "width", colour().alias("px"))
     made = translate.translate(f, lambda: SINGLE, REL8, multiple=16, precision="double")

@@ -121,7 +121,7 @@ def temperature_log(spark, sf):
 
 @query("temperature_condition", f"""
 WITH {PIX}, {_TEMPS}, m AS (SELECT vec_id, avg(x) AS m FROM pix GROUP BY 1)
-SELECT vec_id, 'u' || vec_id AS stem, round(coalesce((celsius - -20e0) / 100e0 * 2e0 - 1e0, m), 6) AS t FROM m LEFT JOIN temps ON stem = 'u' || vec_id""")
+SELECT vec_id, 'u' || vec_id AS stem, round(coalesce((celsius - -20e0) / 100e0 * 2e0 - 1e0, m), 6) + 0e0 AS t FROM m LEFT JOIN temps ON stem = 'u' || vec_id""")
 def temperature_condition(spark, sf):
     f = frames(spark, sf).select("vec_id", F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("stem"), array_mean("b").alias("m"))
     out = pairing.attach_temperature(f, _temps(spark, sf), ABS16, F.col("m"))
@@ -204,8 +204,8 @@ def skip_first(spark, sf):
 
 
 @query("points_exploded", """
-SELECT vec_id, i::BIGINT AS i, round(embedding[4 * i + 1]::DOUBLE, 6) AS x, round(embedding[4 * i + 2]::DOUBLE, 6) AS y,
-  round(embedding[4 * i + 3]::DOUBLE, 6) AS u, round(embedding[4 * i + 4]::DOUBLE, 6) AS v FROM embeddings, range(16) t(i)""")
+SELECT vec_id, i::BIGINT AS i, round(embedding[4 * i + 1]::DOUBLE, 6) + 0e0 AS x, round(embedding[4 * i + 2]::DOUBLE, 6) + 0e0 AS y,
+  round(embedding[4 * i + 3]::DOUBLE, 6) + 0e0 AS u, round(embedding[4 * i + 4]::DOUBLE, 6) + 0e0 AS v FROM embeddings, range(16) t(i)""")
 def points_exploded(spark, sf):
     e = table(spark, sf, "embeddings")
     pair = lambda off: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array(*[F.col("embedding")[i * 4 + off + k].cast("double") for k in (0, 1)]))

@@ -121,7 +121,7 @@ def manifest_file(spark, sf):
 
 
 @query("points_file", f"""WITH {FRAMES}
-SELECT label, i::BIGINT AS i, count(*) AS n, round(sum(b[2 * i + 1]), 4) AS x, round(sum(b[2 * i + 2]), 4) AS v FROM frames, range(16) t(i) GROUP BY ALL""")
+SELECT label, i::BIGINT AS i, count(*) AS n, round(sum(b[2 * i + 1]), 4) + 0e0 AS x, round(sum(b[2 * i + 2]), 4) + 0e0 AS v FROM frames, range(16) t(i) GROUP BY ALL""")
 def points_file(spark, sf):
     """Correspondence records written as JSON lines and read with the declared schema."""
     pair = lambda off: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array(*[F.get(F.col("b"), i * 2 + (k + off) % 32) for k in (0, 1)]))
@@ -134,7 +134,7 @@ def points_file(spark, sf):
     )
 
 
-@query("points_packed", f"""WITH {FRAMES} SELECT vec_id, 16 AS n, round(b[1], 6) AS x0, round(b[32], 6) AS v15 FROM frames""")
+@query("points_packed", f"""WITH {FRAMES} SELECT vec_id, 16 AS n, round(b[1], 6) + 0e0 AS x0, round(b[32], 6) + 0e0 AS v15 FROM frames""")
 def points_packed(spark, sf):
     pair = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array(F.get(F.col("b"), i * 2), F.get(F.col("b"), i * 2 + 1)))
     exploded = tables.explode_points(frames(spark, sf).select("vec_id", pair.alias("rgb"), pair.alias("thermal")), ["vec_id"])

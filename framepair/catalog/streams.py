@@ -53,7 +53,7 @@ def streamed_static_frames(spark, sf):
 
 @query("streamed_translation", f"""WITH {BGR},
 rgbn AS (SELECT vec_id, i, max(v / 127.5e0 - 1e0) FILTER (ch = 2) AS r, max(v / 127.5e0 - 1e0) FILTER (ch = 1) AS g, max(v / 127.5e0 - 1e0) FILTER (ch = 0) AS b FROM bgr GROUP BY 1, 2)
-SELECT vec_id, count(*) AS pixels, round(avg(0.4e0 * r + 0.3e0 * g + 0.2e0 * b - 0.1e0), 6) AS mean FROM rgbn GROUP BY 1""")
+SELECT vec_id, count(*) AS pixels, round(avg(0.4e0 * r + 0.3e0 * g + 0.2e0 * b - 0.1e0), 6) + 0e0 AS mean FROM rgbn GROUP BY 1""")
 def streamed_translation(spark, sf):
     f = materialise(with_size(frames(spark, sf)).select("vec_id", "height", "width", colour().alias("px")), "frames")
     path = staging_path(spark, "translated")

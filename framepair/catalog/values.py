@@ -14,7 +14,7 @@ from framepair.functions.sql import lr_at
 
 @query("normalise_rel8", f"""
 WITH {PIX}
-SELECT vec_id, i, v AS level, round(greatest(-1e0, least(1e0, v / 127.5e0 - 1)), 6) AS norm,
+SELECT vec_id, i, v AS level, round(greatest(-1e0, least(1e0, v / 127.5e0 - 1)), 6) + 0e0 AS norm,
   floor((greatest(-1e0, least(1e0, v / 127.5e0 - 1)) + 1) * 127.5e0)::BIGINT AS back,
   round((greatest(-1e0, least(1e0, v / 127.5e0 - 1)) + 1) / 2, 6) AS unit
 FROM pix""")
@@ -40,7 +40,7 @@ WITH {_COUNTS},
 c AS (SELECT event_id, raw, raw * 0.04e0 + -273.15e0 AS celsius FROM counts),
 n AS (SELECT *, (celsius - -20e0) / 100e0 * 2e0 - 1e0 AS free,
   greatest(-1e0, least(1e0, (celsius - -20e0) / 100e0 * 2e0 - 1e0)) AS norm FROM c)
-SELECT event_id, raw, round(celsius, 6) AS celsius, round(free, 6) AS unclipped, round(norm, 6) AS norm,
+SELECT event_id, raw, round(celsius, 6) AS celsius, round(free, 6) + 0e0 AS unclipped, round(norm, 6) + 0e0 AS norm,
   round((norm + 1e0) / 2e0 * 100e0 + -20e0, 6) AS celsius_back,
   floor(greatest(0e0, least(65535e0, ((norm + 1e0) / 2e0 * 100e0 + -20e0 - -273.15e0) / 0.04e0)) + 0.1e0)::BIGINT AS counts_back
 FROM n""")
@@ -60,7 +60,7 @@ def normalise_abs16(spark, sf):
 WITH {_COUNTS},
 w AS (SELECT event_id, least(65535, raw * 4) AS raw FROM counts),
 n AS (SELECT event_id, raw, greatest(-1e0, least(1e0, floor(raw / 257e0) / 127.5e0 - 1e0)) AS norm FROM w)
-SELECT event_id, raw, round(norm, 6) AS norm, floor((norm + 1e0) * 32767.5e0)::BIGINT AS stretched FROM n""")
+SELECT event_id, raw, round(norm, 6) + 0e0 AS norm, floor((norm + 1e0) * 32767.5e0)::BIGINT AS stretched FROM n""")
 def normalise_16_to_8(spark, sf):
     c = _counts(spark, sf).select("event_id", F.least(F.lit(65535), F.col("raw") * 4).cast("bigint").alias("raw"))
     c = c.withColumn("n", REL8.norm_value(F.col("raw"), depth=16))
@@ -69,7 +69,7 @@ def normalise_16_to_8(spark, sf):
 
 @query("channel_planes", f"""
 WITH {BGR},
-planes AS (SELECT vec_id, (2 - ch) * 64 + i AS i, round(v / 127.5e0 - 1e0, 6) AS plane FROM bgr),
+planes AS (SELECT vec_id, (2 - ch) * 64 + i AS i, round(v / 127.5e0 - 1e0, 6) + 0e0 AS plane FROM bgr),
 inter AS (SELECT vec_id, i * 3 + (2 - ch) AS i, floor((greatest(-1e0, least(1e0, v / 127.5e0 - 1e0)) + 1e0) * 127.5e0)::BIGINT AS rgb FROM bgr)
 SELECT vec_id, i, plane, rgb FROM planes JOIN inter USING (vec_id, i)""")
 def channel_planes(spark, sf):
@@ -104,7 +104,7 @@ chw AS (SELECT vec_id, label, (2 - ch) * 64 + i AS i, v / 127.5e0 - 1e0 AS x FRO
 t AS (SELECT vec_id, 192 + i AS i, label / 10e0 - 0.5e0 AS x FROM pix),
 mono AS (SELECT vec_id, ch * 64 + i AS i, avg(x) OVER (PARTITION BY vec_id, i) AS m FROM
   (SELECT vec_id, i % 64 AS i, i // 64 AS ch, x FROM chw))
-SELECT a.vec_id, a.i, round(a.x, 6) AS x, round(coalesce(m.m, -9e0), 6) AS mean3
+SELECT a.vec_id, a.i, round(a.x, 6) + 0e0 AS x, round(coalesce(m.m, -9e0), 6) + 0e0 AS mean3
 FROM (SELECT vec_id, i, x FROM chw UNION ALL SELECT vec_id, i, x FROM t) a LEFT JOIN mono m USING (vec_id, i)""")
 def condition_plane(spark, sf):
     f = frames(spark, sf).withColumn("chw", interleaved_to_planes(colour("px"), *EIGHT))
@@ -153,8 +153,8 @@ def session_names(spark, sf):
 
 @query("condition_labels", """
 WITH p AS (SELECT p_partkey, p_size, p_size * 3 AS c, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size / 50e0 END AS t FROM part)
-SELECT p_partkey, round(coalesce((c - -20e0) / 100e0 * 2e0 - 1e0, 0), 6) AS t_abs, 'T' || c || 'C' AS label_abs,
-  round(coalesce(t * 2e0 - 1e0, 0), 6) AS t_rel,
+SELECT p_partkey, round(coalesce((c - -20e0) / 100e0 * 2e0 - 1e0, 0), 6) + 0e0 AS t_abs, 'T' || c || 'C' AS label_abs,
+  round(coalesce(t * 2e0 - 1e0, 0), 6) + 0e0 AS t_rel,
   CASE WHEN t IS NULL THEN '' WHEN t = 1 THEN 'T1' ELSE 'T' || rtrim(rtrim(printf('%.2f', t), '0'), '.') END AS label_rel,
   (c // 2 + c)::BIGINT AS parsed_sum
 FROM p""")
@@ -193,7 +193,7 @@ h AS (SELECT *, (tw - s * rw) / 2 AS tx, (th - s * rh) / 2 AS ty FROM m),
 q AS (SELECT *, s * 10 + tx AS px, s * 20 + ty AS py,
   greatest(0, ceil(tx)::BIGINT + 2) AS x0, greatest(0, ceil(ty)::BIGINT + 2) AS y0,
   least(tw::BIGINT, floor(s * (rw - 1) + tx)::BIGINT - 2) AS x1, least(th::BIGINT, floor(s * (rh - 1) + ty)::BIGINT - 2) AS y1 FROM h)
-SELECT p_partkey, round(s, 6) AS scale, round(tx, 6) AS tx, round(ty, 6) AS ty, round(px, 6) AS px, round(py, 6) AS py,
+SELECT p_partkey, round(s, 6) AS scale, round(tx, 6) + 0e0 AS tx, round(ty, 6) + 0e0 AS ty, round(px, 6) + 0e0 AS px, round(py, 6) + 0e0 AS py,
   CASE WHEN x1 - x0 < 16 OR y1 - y0 < 16 THEN 'none' ELSE x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) END AS crop,
   ((16 - rw::BIGINT % 16) % 16)::BIGINT AS pad_w, round(1444e0 * 0.1e0 / rw, 6) AS parallax
 FROM q""")
@@ -211,7 +211,7 @@ def letterbox_and_crop(spark, sf):
 
 @query("projected_points", """
 WITH m AS (SELECT c_custkey, (c_custkey % 640)::DOUBLE AS x, (c_custkey * 7 % 480)::DOUBLE AS y, c_nationkey / 1000e0 AS p FROM customer)
-SELECT c_custkey, round((0.5e0 * x + -8) / (p * 0.01e0 * x + 1), 6) AS u, round((0.5e0 * y + -6) / (p * 0.01e0 * x + 1), 6) AS v FROM m""")
+SELECT c_custkey, round((0.5e0 * x + -8) / (p * 0.01e0 * x + 1), 6) + 0e0 AS u, round((0.5e0 * y + -6) / (p * 0.01e0 * x + 1), 6) + 0e0 AS v FROM m""")
 def projected_points(spark, sf):
     c = table(spark, sf, "customer")
     lit = F.lit

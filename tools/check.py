@@ -22,12 +22,25 @@ TABLES = (
 ).split()
 
 
+def text(v) -> str:
+    if v is None or v != v:
+        return "null"
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return repr(round(float(v), 9))
+    return str(v)
+
+
 def canonical(rows, columns):
+    """Rows as sorted text with columns in name order."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    text = lambda v: "null" if v is None or v != v else (repr(round(float(v), 9) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
     return sorted(tuple(text(r[i]) for i in order) for r in rows), [columns[i] for i in order]
 
 
+def kinds(rows, columns):
+    """Python value types seen in each column."""
+    return {c: {type(r[i]).__name__ for r in rows} - {"NoneType"} for i, c in enumerate(columns)}
+
+
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
@@ -44,7 +57,8 @@ def main() -> int:
         start = time.time()
         try:
             df = QUERIES[name](spark, sf_dir)
-            got, cols = canonical([tuple(r) for r in df.collect()], df.columns)
+            found = [tuple(r) for r in df.collect()]
+            got, cols = canonical(found, df.columns)
         except Exception as e:  # noqa: BLE001 - report and go on
             bad.append(name)
             print(f"FAIL  {name}: {type(e).__name__}: {str(e)[:1500]}")
@@ -57,18 +71,23 @@ def main() -> int:
         try:
             cur = con.execute(ORACLES[name])
             ocols = [d[0] for d in cur.description]
-            want, wcols = canonical(cur.fetchall(), ocols)
+            wanted = cur.fetchall()
+            want, wcols = canonical(wanted, ocols)
         except Exception as e:  # noqa: BLE001
             bad.append(name)
             print(f"SQL   {name}: {str(e)[:1500]}")
             continue
         same = got == want and cols == wcols
+        a, b = kinds(found, df.columns), kinds(wanted, ocols)
+        odd = {c: (a[c], b.get(c)) for c in a if a[c] != b.get(c)}
+        if odd:
+            print(f"types {name}: {odd}")
         print(f"{'ok   ' if same else 'DIFF '} {name}: {len(got)}/{len(want)} rows {took:.1f}s sql {time.time() - start:.1f}s", flush=True)
         if not same:
             bad.append(name)
             print("   columns", cols, wcols)
-            a, b = set(got), set(want)
-            print("   only spark", sorted(a - b)[:4], "\n   only sql  ", sorted(b - a)[:4], len(a - b), len(b - a))
+            x, y = set(got), set(want)
+            print("   only spark", sorted(x - y)[:4], "\n   only sql  ", sorted(y - x)[:4], len(x - y), len(y - x))
     print("bad:", bad)
     return 1 if bad else 0
 
