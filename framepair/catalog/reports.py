@@ -94,7 +94,7 @@ def best_calibration(spark, sf):
 
 
 _POINTS = """
-pts AS (SELECT c_nationkey AS rec, c_custkey AS i, (c_custkey * 37 % 640)::DOUBLE AS x, (c_custkey * 53 % 480)::DOUBLE AS y,
+pts AS (SELECT c_nationkey % 5 AS rec, c_custkey AS i, (c_custkey * 37 % 640)::DOUBLE AS x, (c_custkey * 53 % 480)::DOUBLE AS y,
   0.5e0 * (c_custkey * 37 % 640) + -8e0 + CASE WHEN c_acctbal < 1000 THEN 25e0 + c_custkey % 40 ELSE 0e0 END AS u,
   0.5e0 * (c_custkey * 53 % 480) + -6e0 + CASE WHEN c_acctbal < 500 THEN 17e0 ELSE 0e0 END AS v FROM customer)"""
 
@@ -105,7 +105,7 @@ def _points(spark, sf):
     u = x * 0.5 - 8.0 + F.when(bal < 1000, F.lit(25.0) + k % 40).otherwise(F.lit(0.0))
     v = y * 0.5 - 6.0 + F.when(bal < 500, F.lit(17.0)).otherwise(F.lit(0.0))
     return table(spark, sf, "customer").select(
-        F.col("c_nationkey").alias("rec"), k.alias("i"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v")
+        (F.col("c_nationkey") % 5).alias("rec"), k.alias("i"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v")
     )
 
 
