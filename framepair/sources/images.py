@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framepair.functions import color, names
+from framepair.functions.arrow import kernel
 from framepair.operators import sync
 
 _DECODED = "struct<height int, width int, channels int, depth int, px array<int>>"
@@ -26,9 +28,7 @@ def read_rgb(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
     raw = raw.withColumn("name", names.base_name("origin")).where(names.is_image("name"))
     ok = F.col("height") > 0
-    # BINARY to values: two hex digits per byte.
-    pairs = F.regexp_extract_all(F.hex("data"), F.lit("(..)"), F.lit(1))
-    px = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    px = byte_values("data")
     return raw.select(
         "name", names.stem("name").alias("stem"),
         F.when(ok, F.col("height")).alias("height"), F.when(ok, F.col("width")).alias("width"),
@@ -36,27 +36,33 @@ def read_rgb(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def byte_values(data: Column | str) -> Column:
+    """BINARY to an array of 0..255 values, straight from the Arrow buffer."""
+
+    def run(data: pa.Array) -> pa.Array:
+        _, ends, body = data.buffers()
+        offsets = np.frombuffer(ends, np.int32)[data.offset : data.offset + len(data) + 1]
+        raw = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+        values = raw[offsets[0] : offsets[-1]].astype(np.int32)
+        mask = data.is_null() if data.null_count else None
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(values), mask=mask)
+
+    return kernel(run, "array<int>")(data)
+
+
 def decode_frames(content: Column | str) -> Column:
     """``struct(height, width, channels, depth, px)`` of PNG bytes, NULL when unreadable."""
     from framepair.sources import png
 
     def run(content: pa.Array) -> pa.Array:
-        out = []
-        for blob in content:
-            image = png.decode(blob.as_py()) if blob.is_valid else None
-            if image is None:
-                out.append(None)
-                continue
-            c = 1 if image.ndim == 2 else image.shape[2]
-            h, w = image.shape[:2]
-            out.append({"height": h, "width": w, "channels": c, "depth": image.itemsize * 8, "px": image.ravel()})
-        kind = pa.struct([
-            ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()),
-            ("depth", pa.int32()), ("px", pa.list_(pa.int32())),
-        ])
-        return pa.array(out, kind)
-
-    return F.arrow_udf(run, _DECODED)(content)
+        found = [png.decode(blob.as_py()) if blob.is_valid else None for blob in content]
+        sizes = [(i.shape[0], i.shape[1], 1 if i.ndim == 2 else i.shape[2], i.itemsize * 8) if i is not None else (None,) * 4 for i in found]
+        columns = [pa.array(list(c), pa.int32()) for c in zip(*sizes)] if sizes else [pa.array([], pa.int32())] * 4
+        px = pa.array([i.ravel().astype(np.int32) if i is not None else None for i in found], pa.list_(pa.int32()))
+        gone = pa.array([i is None for i in found], pa.bool_())
+        return pa.StructArray.from_arrays([*columns, px], names=["height", "width", "channels", "depth", "px"], mask=gone)
+
+    return kernel(run, _DECODED)(content)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
