@@ -33,9 +33,10 @@ def segment(df: DataFrame, by: Sequence[str], order: Sequence[str], parts: int |
     ``order`` should make rows distinct (end it with an id): equal keys always
     share a segment. Pass metadata columns only and join payloads back by key.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*by, *order]
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without a fixed count, adaptive execution joins small neighbouring ranges.
+    ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys)
     placed = ranged.withColumn(POS, F.monotonically_increasing_id())
     return materialise(placed.withColumn(PART, F.shiftright(POS, 33).cast("int")), "segment")
 
