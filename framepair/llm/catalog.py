@@ -4,7 +4,7 @@ import importlib
 
 from framepair.llm.common import ORACLES, QUERIES
 
-MODULES = ("chat", "rules")
+MODULES = ("urls", "decontaminate", "rules", "chat")
 
 for _name in MODULES:
     importlib.import_module(f"framepair.llm.{_name}")
