@@ -4,7 +4,7 @@ import importlib
 
 from framepair.llm.common import ORACLES, QUERIES
 
-MODULES = ("urls", "decontaminate", "rules", "packing", "chat")
+MODULES = ("urls", "decontaminate", "rules", "packing", "language", "chat")
 
 for _name in MODULES:
     importlib.import_module(f"framepair.llm.{_name}")
