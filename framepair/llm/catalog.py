@@ -4,7 +4,7 @@ import importlib
 
 from framepair.llm.common import ORACLES, QUERIES
 
-MODULES = ("urls", "decontaminate", "rules", "substrings", "minhash", "packing", "language", "chat")
+MODULES = ("urls", "decontaminate", "warc", "rules", "substrings", "minhash", "packing", "language", "chat")
 
 for _name in MODULES:
     importlib.import_module(f"framepair.llm.{_name}")
