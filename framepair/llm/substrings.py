@@ -238,8 +238,12 @@ def merged(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``docs`` with ``removed_spans`` (maximal byte runs), ``n_bytes, n_removed`` and ``kept_bytes``."""
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``removed_spans`` (maximal byte runs), ``n_bytes, n_removed`` and ``kept_bytes``.
+
+    With ``as_text`` the text itself is replaced by what is kept (a character of
+    which only some bytes are left goes) and only ``n_bytes, n_removed`` are added.
+    """
     spans = repeated_spans(docs, text, length, gram, hot)
     names = unused(docs, "removed_spans", "n_bytes", "n_removed", "kept_bytes")
     old = docs.columns
@@ -259,9 +263,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                     kept.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
                     gone.append(len(raw) - len(kept[-1]))
                     cuts.append([{"lo": a, "hi": b} for a, b in runs])
-                made = [pa.array(cuts, spans_type), pa.array(size.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in old], *made], names=[*old, *names])
-
+                sizes = [pa.array(size.astype(np.int64)), pa.array(gone, pa.int64())]
+                if as_text:
+                    left = [None if none else k.decode("utf-8", "ignore") for k, none in zip(kept, part.column(text).is_null().to_pylist(), strict=True)]
+                    columns = [pa.array(left, pa.string()) if c == text else part.column(c) for c in old]
+                    yield pa.RecordBatch.from_arrays([*columns, *sizes], names=[*old, *names[1:3]])
+                else:
+                    made = [pa.array(cuts, spans_type), *sizes, pa.array(kept, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in old], *made], names=[*old, *names])
+
+    if as_text:
+        return joined.mapInArrow(run, f"{ddl(docs)}, `{names[1]}` long, `{names[2]}` long")
     kinds = ["array<struct<lo:bigint,hi:bigint>>", "long", "long", "binary"]
     return joined.mapInArrow(run, f"{ddl(docs)}, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
