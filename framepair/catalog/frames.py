@@ -232,15 +232,13 @@ def score_summary_degrees(spark, sf):
 
 
 @query("score_by_session", f"""WITH {PIX}, pq AS (SELECT vec_id, label, (v // 16 * 16) / 255e0 AS a, v / 255e0 AS b FROM pix),
-per AS (SELECT vec_id, label, avg(abs(a - b)) AS l1, sqrt(avg((a - b) ** 2)) AS rmse FROM pq GROUP BY 1, 2)
-SELECT label, count(*) AS n, round(avg(l1), 6) AS l1, round(avg(rmse), 6) AS rmse FROM per GROUP BY 1""")
+per AS (SELECT vec_id, label, avg(abs(a - b)) AS l1, sqrt(avg((a - b) ** 2)) AS rmse, 10 * log10(1 / greatest(avg((a - b) ** 2), 1e-12)) AS psnr FROM pq GROUP BY 1, 2)
+SELECT label, count(*) AS n, round(avg(l1), 6) AS l1, round(avg(rmse), 6) AS rmse, round(avg(psnr), 6) AS psnr FROM per GROUP BY 1""")
 def score_by_session(spark, sf):
-    f = frames(spark, sf)
-    unit = lambda c: F.transform(c, lambda v: v / 255.0)
-    coarse = F.transform("px", lambda v: F.floor(v / 16) * 16)
-    per = f.select("label", scores.l1(unit(coarse), unit("px")).alias("l1"), F.sqrt(scores.mse(unit(coarse), unit("px"))).alias("rmse"))
-    out = scores.summarise(per, REL8, ["label"])
-    return out.select("label", "n", r6("L1").alias("l1"), r6("RMSE").alias("rmse"))
+    f = frames(spark, sf).select("label", name_of().alias("file"), F.lit(8).alias("height"), F.lit(8).alias("width"), "px")
+    coarse = f.withColumn("px", F.transform("px", lambda v: (F.floor(v / 16) * 16).cast("int")))
+    out = evaluate(coarse.drop("label"), f, REL8, by=["label"])
+    return out.select("label", "n", r6("L1").alias("l1"), r6("RMSE").alias("rmse"), r6("PSNR").alias("psnr"))
 
 
 _CORR = PIX + """,

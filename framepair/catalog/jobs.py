@@ -12,6 +12,8 @@ from framepair.operators.ordered import dense_index
 from framepair.plans import register as registration
 from framepair.plans import samples, sessions, translate, unpaired
 from framepair.plans.translate import LinearModel
+from framepair.session import staging_path
+from framepair.sources import sinks, tables
 
 
 def _weighted(px: str, digits: int = 5):
@@ -59,6 +61,20 @@ def registered_by_points(spark, sf):
     return done.aligned.withColumn("p", px).join(whole, "rec_id").select("rec_id", "name", F.round(_weighted("p", 2), 2).alias("rgb"), "whole")
 
 
+@query("registration_rejects", """
+SELECT label::BIGINT AS rec_id, CASE label % 3 WHEN 0 THEN 'aligned' WHEN 1 THEN 'fewer than 4 points' ELSE 'no points' END AS outcome, count(*) AS frames
+FROM embeddings GROUP BY 1, 2""")
+def registration_rejects(spark, sf):
+    """Every frame is aligned or rejected with its recording's reason."""
+    rgb, ir = _recordings(spark, sf)
+    x, y = (F.col("idx") * 37 % 101).cast("double"), (F.col("idx") * 53 % 97).cast("double")
+    points = ir.select("rec_id", F.col("idx").alias("i"), x.alias("x"), y.alias("y"), x.alias("u"), y.alias("v"))
+    few = points.where("rec_id % 3 = 1").join(points.groupBy("rec_id").agg(F.min("i").alias("i")), ["rec_id", "i"], "left_semi")
+    done = registration.register(rgb, ir, mode="manual", val_frac=0.2, chunk=9, points=points.where("rec_id % 3 = 0").unionByName(few))
+    both = done.aligned.select("rec_id", F.lit("aligned").alias("outcome")).unionByName(done.rejects.select("rec_id", F.col("reason").alias("outcome")))
+    return both.groupBy("rec_id", "outcome").agg(F.count(F.lit(1)).alias("frames"))
+
+
 @query("registration_by_search", f"""WITH {FRAMES} SELECT label AS rec_id, 'search' AS mode, true AS scored, count(*) AS frames, 8 AS width FROM frames GROUP BY 1""")
 def registration_by_search(spark, sf):
     rgb, ir = _recordings(spark, sf)
@@ -108,6 +124,16 @@ def session_counts(spark, sf):
     return _plan(spark, sf).counts.select("session", "split", "pairs", "skipped")
 
 
+@query("session_report_texts", f"WITH {_PLAN} SELECT session || '/' || suffix || '/' || file || ': ' || reason AS text, (SELECT count(*) FROM pl WHERE reason IS NULL AND split = 'val') AS val_pairs FROM pl WHERE reason IS NOT NULL")
+def session_report_texts(spark, sf):
+    """The nested report with the text of every reject, written and read back."""
+    plan = _plan(spark, sf)
+    path = staging_path(spark, "report")
+    sinks.write_record(sinks.split_report(plan.counts, "/data", plan.rejects), path)
+    report = tables.read_split_report(spark, path)
+    return report.select(F.explode("skipped").alias("text"), F.col("counts.val").alias("val_pairs"))
+
+
 @query("session_dry_run", f"WITH {_PLAN} SELECT split, count(DISTINCT session) AS sessions, count(*) FILTER (reason IS NULL OR reason <> 'no IR twin') AS pairs, count(*) FILTER (reason = 'no IR twin') AS skipped FROM pl GROUP BY 1")
 def session_dry_run(spark, sf):
     """Counts from names alone: size and readability are not looked at."""

@@ -90,10 +90,9 @@ k AS (SELECT session, CASE WHEN session IN ('src3', 'src11') THEN 'val' ELSE 'tr
 @query("split_report", f"{_SESS} SELECT session, split, pairs, sum(pairs) OVER (PARTITION BY split)::BIGINT AS split_total FROM k")
 def split_report(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("session"))
-    counts = profile.session_counts(split.session_split(d, ["doc_id"], ["src3", "src11"])).withColumn("skipped", F.lit(0))
+    counts = profile.session_counts(split.session_split(d, ["doc_id"], ["src3", "src11"]))
     path = staging_path(spark, "report")
-    # The reader expects reject texts where this report carries their count.
-    sinks.write_record(sinks.split_report(counts, "/data").drop("skipped"), path)
+    sinks.write_record(sinks.split_report(counts, "/data"), path)
     report = tables.read_split_report(spark, path)
     totals = report.select(F.inline(F.array(
         F.struct(F.lit("train").alias("split"), F.col("counts.train").alias("split_total")),

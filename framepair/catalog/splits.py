@@ -141,3 +141,16 @@ SELECT lang, count(*) AS n, round(avg(u), 6) AS mean, round(min(u), 6) AS low, r
 def uniform_moments(spark, sf):
     d = _docs(spark, sf, "lang").withColumn("u", hash_uniform("doc_id", "lang", 0))
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("u")).alias("mean"), r6(F.min("u")).alias("low"), r6(F.max("u")).alias("high"))
+
+
+_NULLS = "SELECT doc_id, n_chars, CASE WHEN doc_id % 3 > 0 THEN source END AS g FROM documents"
+
+
+@query("null_group_order", f"""WITH d AS ({_NULLS})
+SELECT doc_id, g, row_number() OVER w - 1 AS idx, lag(n_chars) OVER w AS before, lead(n_chars) OVER w AS after FROM d WINDOW w AS (PARTITION BY g ORDER BY doc_id)""")
+def null_group_order(spark, sf):
+    """Rows without a group form one group and keep their places and neighbours."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("g"))
+    seg = ordered.number(ordered.segment(d, ["g"], ["doc_id"]), ["g"])
+    seg = ordered.following(ordered.previous(seg, ["g"], ["n_chars"]), ["g"], ["n_chars"])
+    return seg.select("doc_id", "g", "idx", F.col("prev_n_chars").alias("before"), F.col("next_n_chars").alias("after"))

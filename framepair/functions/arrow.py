@@ -73,6 +73,13 @@ def groups(ok: np.ndarray, *keys: np.ndarray):
         yield part
 
 
+def offsets32(offsets: np.ndarray) -> pa.Array:
+    """List offsets of a batch; one that grew past what a list column holds is an error, not wrapped."""
+    if len(offsets) and offsets[-1] >= 1 << 31:
+        raise ValueError("a batch holds 2^31 values or more: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.array(offsets.astype(np.int32))
+
+
 def lists(n: int, parts: list[tuple[np.ndarray, np.ndarray]], dtype) -> pa.Array:
     """Assemble per-group 2-D results into one list array in row order."""
     lengths = np.zeros(n, np.int64)
@@ -84,7 +91,7 @@ def lists(n: int, parts: list[tuple[np.ndarray, np.ndarray]], dtype) -> pa.Array
     for rows, flat in parts:
         values[offsets[rows][:, None] + np.arange(flat.shape[1])] = flat
     mask = pa.array(missing) if missing.any() else None
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=mask)
+    return pa.ListArray.from_arrays(offsets32(offsets), pa.array(values), mask=mask)
 
 
 def numbers(n: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
@@ -123,6 +130,6 @@ def flat_udf(fn: Callable[[np.ndarray], np.ndarray], per: int, returns: str):
         values = px.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64)
         out = fn(values.reshape(-1, per)).astype(dtype)
         mask = px.is_null() if px.null_count else None
-        return pa.ListArray.from_arrays(pa.array(((offsets - offsets[0]) // per).astype(np.int32)), pa.array(out), mask=mask)
+        return pa.ListArray.from_arrays(offsets32((offsets - offsets[0]) // per), pa.array(out), mask=mask)
 
     return kernel(run, f"array<{returns}>")

@@ -30,20 +30,22 @@ def _convolve(x: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
     return sum(t * at(i) for i, t in enumerate(taps))
 
 
-def gaussian_taps(sigma: float, radius: int | None = None) -> np.ndarray:
-    radius = max(1, int(round(3.0 * sigma))) if radius is None else radius
-    x = np.arange(-radius, radius + 1)
-    k = np.exp(-(x**2) / (2.0 * sigma * sigma))
-    return k / k.sum()
+def bell(sigma: float, reach: int) -> np.ndarray:
+    """Weights of a normal density at whole steps up to ``reach`` from its centre, summing to 1."""
+    half = np.exp(-0.5 * np.square(np.arange(reach + 1) / sigma))
+    half /= half[0] + 2 * half[1:].sum()
+    return np.concatenate([half[:0:-1], half])
 
 
-def blur_stack(x: np.ndarray, sigma: float) -> np.ndarray:
-    if sigma <= 0:
-        return x
-    taps = gaussian_taps(sigma)
+def smooth(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The same taps along rows and columns."""
     return _convolve(_convolve(x, taps, 2), taps, 1)
 
 
+def blur_stack(x: np.ndarray, sigma: float) -> np.ndarray:
+    return smooth(x, bell(sigma, max(1, round(3 * sigma)))) if sigma > 0 else x
+
+
 def edge_stack(x: np.ndarray) -> np.ndarray:
     """Gradient magnitude of the smoothed frame, scaled to [0, 1] per frame."""
     taps = np.array(SMOOTH5)
@@ -105,13 +107,14 @@ def resize_stack(x: np.ndarray, h: int, w: int, method: str) -> np.ndarray:
 
 
 def ssim_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    taps = gaussian_taps(SSIM_SIGMA, SSIM_TAPS // 2)
-    blur = lambda z: _convolve(_convolve(z, taps, 2), taps, 1)
-    ma, mb = blur(a), blur(b)
-    va, vb, cov = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
-    top = (2 * ma * mb + SSIM_C1) * (2 * cov + SSIM_C2)
-    low = (ma * ma + mb * mb + SSIM_C1) * (va + vb + SSIM_C2)
-    return (top / low).mean(axis=(1, 2, 3))
+    """Mean structural similarity per frame, from one filtering of all five local moments."""
+    moments = np.concatenate([a, b, a * a, b * b, a * b], axis=3)
+    first, second, square_a, square_b, product = np.split(smooth(moments, bell(SSIM_SIGMA, SSIM_TAPS // 2)), 5, axis=3)
+    crossed = first * second
+    energy = first**2 + second**2
+    level = (2 * crossed + SSIM_C1) / (energy + SSIM_C1)
+    structure = (2 * (product - crossed) + SSIM_C2) / (square_a + square_b - energy + SSIM_C2)
+    return (level * structure).mean(axis=(1, 2, 3))
 
 
 def pool_stack(x: np.ndarray) -> np.ndarray:

@@ -101,7 +101,8 @@ def jitter(px, apply: Column, gain: Column, bias: Column) -> Column:
         each = lambda a: np.repeat(a.to_numpy(zero_copy_only=False), sizes)
         bent = np.floor(np.clip(v * each(gain) + each(bias), 0, 255))
         out = np.where(each(on), bent, v).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(out))
+        mask = px.is_null() if px.null_count else None
+        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(out), mask=mask)
 
     return kernel(run, "array<int>")(_c(px), apply, gain, bias)
 

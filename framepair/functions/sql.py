@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from framepair.functions.norm import ThermalNorm
 
@@ -20,32 +16,28 @@ _SCALARS = {
     "hash_uniform": ("key STRING", "DOUBLE", "cast(conv(substring(md5(key), 1, 8), 16, 10) AS DOUBLE) / 4294967296D"),
 }
 
+# Table functions: k evenly spaced positions on 0..n-1; a rate that is flat, then falls to zero.
+_TABLES = {
+    "even_picks": (
+        "n BIGINT, k BIGINT", "i BIGINT, pos BIGINT",
+        "SELECT i, CASE WHEN k <= 1 OR n <= 1 THEN 0 WHEN i = k - 1 THEN n - 1 "
+        "ELSE cast(floor(i * (cast(n - 1 AS DOUBLE) / (k - 1))) AS BIGINT) END "
+        "FROM (SELECT explode(CASE WHEN k > 0 THEN sequence(0L, k - 1) ELSE array() END) AS i)",
+    ),
+    "learning_rates": (
+        "flat INT, decay INT, lr DOUBLE", "epoch INT, lr DOUBLE",
+        "SELECT e, greatest(0D, 1D - greatest(0, e + 1 - flat) / cast(greatest(1, decay) AS DOUBLE)) * learning_rates.lr "
+        "FROM (SELECT explode(CASE WHEN flat + decay > 0 THEN sequence(0, flat + decay - 1) ELSE array() END) AS e)",
+    ),
+}
+
 
 def register(spark: SparkSession) -> None:
     """Temporary SQL functions for this session."""
     for name, (args, returns, body) in _SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
-    spark.udtf.register("even_picks", EvenPicks)
-    spark.udtf.register("learning_rates", LearningRates)
-
-
-@udtf(returnType="i BIGINT, pos BIGINT")
-class EvenPicks:
-    """``even_picks(n, k)``: k evenly spaced positions on ``0..n-1``."""
-
-    def eval(self, n: int, k: int) -> Iterator[tuple[int, int]]:
-        picks = np.linspace(0, n - 1, k, dtype=int) if k > 0 else []
-        for i, pos in enumerate(picks):
-            yield i, int(pos)
-
-
-@udtf(returnType="epoch INT, lr DOUBLE")
-class LearningRates:
-    """``learning_rates(flat, decay, lr)``: flat, then linear to zero."""
-
-    def eval(self, flat: int, decay: int, lr: float) -> Iterator[tuple[int, float]]:
-        for e in range(flat + decay):
-            yield e, max(0.0, 1.0 - max(0, e + 1 - flat) / max(1, decay)) * lr
+    for name, (args, returns, body) in _TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE({returns}) RETURN {body}")
 
 
 def lr_at(epoch, flat: int, decay: int, lr: float):

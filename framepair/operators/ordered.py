@@ -49,6 +49,14 @@ def _across(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by).orderBy(PART)
 
 
+def _beside(seg: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``seg`` with the columns of a table of one row per ``(by, segment)``; a NULL group is a group."""
+    keys = [*by, PART]
+    other = small.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by] + [F.col(PART) == F.col(f"_k_{PART}")]
+    return seg.join(other, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def number(seg: DataFrame, by: Sequence[str], name: str = "idx", total: str | None = None) -> DataFrame:
     """Dense 0-based position within ``by`` over an already segmented table.
 
@@ -60,7 +68,7 @@ def number(seg: DataFrame, by: Sequence[str], name: str = "idx", total: str | No
     cols = [*by, PART, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")]
     if total:
         cols.append(F.sum("_n").over(Window.partitionBy(*by)).alias(total))
-    out = seg.join(bounds.select(*cols), [*by, PART])
+    out = _beside(seg, bounds.select(*cols), by)
     return out.withColumn(name, (F.col(POS) + F.col("_base")).cast("bigint")).drop("_base")
 
 
@@ -69,7 +77,7 @@ def renumber(seg: DataFrame, by: Sequence[str], name: str = "idx") -> DataFrame:
     counts = seg.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_n"))
     before = _across(by).rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*by, PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    out = seg.withColumn("_rn", F.row_number().over(_within(by)) - 1).join(base, [*by, PART])
+    out = _beside(seg.withColumn("_rn", F.row_number().over(_within(by)) - 1), base, by)
     return out.withColumn(name, (F.col("_rn") + F.col("_base")).cast("bigint")).drop("_rn", "_base")
 
 
@@ -89,7 +97,7 @@ def previous(seg: DataFrame, by: Sequence[str], cols: Sequence[str], prefix: str
     packed = F.struct(*[F.col(c) for c in cols])
     last = seg.groupBy(*by, PART).agg(F.max_by(packed, POS).alias("_last"))
     carry = last.select(*by, PART, F.lag("_last").over(_across(by)).alias("_carry"))
-    out = seg.withColumn("_lag", F.lag(packed).over(_within(by))).join(carry, [*by, PART])
+    out = _beside(seg.withColumn("_lag", F.lag(packed).over(_within(by))), carry, by)
     # A lagged struct is NULL only on a segment's first row.
     out = out.withColumn("_lag", F.coalesce("_lag", "_carry"))
     return out.select("*", *[F.col(f"_lag.{c}").alias(f"{prefix}{c}") for c in cols]).drop("_lag", "_carry")
@@ -100,7 +108,7 @@ def following(seg: DataFrame, by: Sequence[str], cols: Sequence[str], prefix: st
     packed = F.struct(*[F.col(c) for c in cols])
     first = seg.groupBy(*by, PART).agg(F.min_by(packed, POS).alias("_first"))
     carry = first.select(*by, PART, F.lead("_first").over(_across(by)).alias("_carry"))
-    out = seg.withColumn("_lead", F.lead(packed).over(_within(by))).join(carry, [*by, PART])
+    out = _beside(seg.withColumn("_lead", F.lead(packed).over(_within(by))), carry, by)
     out = out.withColumn("_lead", F.coalesce("_lead", "_carry"))
     return out.select("*", *[F.col(f"_lead.{c}").alias(f"{prefix}{c}") for c in cols]).drop("_lead", "_carry")
 
@@ -120,7 +128,7 @@ def fill_around(seg: DataFrame, by: Sequence[str], value: Column, before: str, a
         *by, PART, latest("_l", _across(by), -1).alias("_cl"), latest("_f", reverse(by, PART), -1).alias("_cf")
     )
     back, ahead = latest("_v", _within(by), 0), latest("_v", reverse([*by, PART], POS), 0)
-    out = seg.withColumn("_b", back).withColumn("_a", ahead).join(carry, [*by, PART])
+    out = _beside(seg.withColumn("_b", back).withColumn("_a", ahead), carry, by)
     out = out.withColumn(before, F.coalesce("_b", "_cl")).withColumn(after, F.coalesce("_a", "_cf"))
     return out.drop("_v", "_b", "_a", "_cl", "_cf")
 

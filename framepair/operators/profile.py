@@ -34,10 +34,16 @@ def session_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("session", "split").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def histogram(frames: DataFrame, px: str, bins: int = 256, by: Sequence[str] = ()) -> DataFrame:
-    """Normalised intensity histogram; counts combine map-side to ``bins`` rows a task."""
-    ones = frames.select(*by, F.explode(px).alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < bins))
-    counts = ones.groupBy(*by, F.floor("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def histogram(frames: DataFrame, px: str, bins: int | None = None, by: Sequence[str] = (), depth: int = 8) -> DataFrame:
+    """Normalised intensity histogram over ``bins`` levels, by default all of ``depth`` bits.
+
+    Counts combine map-side to ``bins`` rows a task. Values outside are counted
+    under a NULL bin and are part of the total, so fractions show what is missing.
+    """
+    bins = bins or 1 << depth
+    level = F.when((F.col("bin") >= 0) & (F.col("bin") < bins), F.floor("bin").cast("int"))
+    ones = frames.select(*by, F.explode(px).alias("bin"))
+    counts = ones.groupBy(*by, level.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # At most ``bins`` rows per group reach this window.
     total = F.sum("n").over(Window.partitionBy(*by))
     return counts.select(*by, "bin", "n", (F.col("n") / total).alias("fraction"))

@@ -43,7 +43,8 @@ def choose_sessions(df: DataFrame, val_sessions: Sequence[str] | None = None, va
     """``(session, split)``: an explicit list, else evenly spaced in name order."""
     sessions = df.select("session").distinct()
     if val_sessions:
-        unknown = [r.session for r in missing_sessions(sessions, val_sessions).limit(20).collect()]
+        # At most as many as were asked for.
+        unknown = [r.session for r in missing_sessions(sessions, val_sessions).collect()]
         if unknown:
             raise ValueError(f"hold-out sessions not found: {sorted(unknown)}")
         held = F.col("session").isin(*val_sessions)

@@ -20,6 +20,8 @@ from framepair.session import materialise
 class Registration:
     aligned: DataFrame
     records: DataFrame
+    # Common frames of recordings without a calibration: ``rec_id, name, idx, reason``.
+    rejects: DataFrame
 
 
 def calibration_records(
@@ -83,7 +85,8 @@ def register(
     """Warp RGB into IR geometry, crop both sides and assign the chunk split.
 
     ``idx`` is renumbered over the common names. The calibration record joins
-    the *metadata*; each side's pixels are shuffled once, by name.
+    the *metadata*; each side's pixels are shuffled once, by name. Every common
+    frame is in ``aligned`` or in ``rejects``.
     """
     keys = ["rec_id", "name"]
     common = pairing.common_names(rgb, ir, keys)
@@ -106,4 +109,20 @@ def register(
         *keys, "idx", "chunk_id", "split", cut("_w").alias("rgb_px"), cut("_b").alias("ir_px"),
         h.alias("height"), w.alias("width"),
     )
-    return Registration(aligned, records)
+    return Registration(aligned, records, rejected(placed, records, mode, calibration.get("points")))
+
+
+FAILED = {"identity": "no frame size", "manual": "no solvable sample", "search": "no placement correlates"}
+
+
+def rejected(placed: DataFrame, records: DataFrame, mode: str, points: DataFrame | None) -> DataFrame:
+    """Frames whose recording has no calibration record, with the reason."""
+    usable = records.where(F.col("H").isNotNull()).select(F.col("rec_id").alias("_rec"))
+    left = placed.join(usable, F.col("rec_id") == F.col("_rec"), "left_anti").select("rec_id", "name", "idx")
+    if mode != "manual":
+        return left.withColumn("reason", F.lit(FAILED[mode]))
+    given = points.groupBy("rec_id").agg(F.count(F.lit(1)).alias("_n"))
+    why = given.join(calibrate.check_points(points, ["rec_id"]).select("rec_id", "reason"), "rec_id", "left")
+    found = lookup(left, why, ["rec_id"], ["name"], "left")
+    none = F.when(F.col("_n").isNull(), F.lit("no points"))
+    return found.select("rec_id", "name", "idx", F.coalesce("reason", none, F.lit(FAILED[mode])).alias("reason"))

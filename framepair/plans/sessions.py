@@ -42,9 +42,9 @@ def plan_sessions(
     dry = dry_run or "height" not in listing.columns
     # One row per folder pair, used by every step below.
     sessions = materialise(images.discover_sessions(listing, rgb_prefix, ir_prefix), "sessions")
-    twice = [r.session for r in images.duplicate_sessions(sessions).limit(20).collect()]
-    if twice:
-        raise ValueError(f"duplicate session names: {sorted(twice)}")
+    twice = images.duplicate_sessions(sessions).agg(F.count(F.lit(1)).alias("n"), F.min("session").alias("first")).first()
+    if twice.n:
+        raise ValueError(f"{twice.n} duplicate session names, {twice.first} first; images.duplicate_sessions lists them")
     folder = ["parent", "session", "suffix"]
     sizes = [] if dry else ["height", "width"]
     files = images.session_files(listing.select("path", *sizes), rgb_prefix, ir_prefix).join(sessions, folder, "left_semi")

@@ -60,21 +60,24 @@ def write_record(record: DataFrame, path: str, mode: str = "overwrite") -> None:
     record.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def split_report(sessions: DataFrame, root: str) -> DataFrame:
-    """One nested report row from ``session, split, pairs, skipped`` (one input row per session).
+def split_report(sessions: DataFrame, root: str, rejects: DataFrame | None = None) -> DataFrame:
+    """One nested report row from ``session, split, pairs`` (one row per session).
 
-    Reject texts grow with the data and stay a table of their own; the report
-    carries their count.
+    ``skipped`` lists the ``text`` of every reject, in order. The report is one
+    record by its format; for many rejects keep their table and pass none.
     """
     entry = F.struct("session", F.struct("split", "pairs"))
     count = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("pairs"))), F.lit(0)).cast("bigint")
-    return sessions.agg(
+    made = sessions.agg(
         F.lit(root).alias("root"),
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("sessions"),
         F.sort_array(F.collect_list(F.when(F.col("split") == "val", F.col("session")))).alias("val_sessions"),
-        F.sum("skipped").alias("skipped"),
         F.struct(count("train").alias("train"), count("val").alias("val")).alias("counts"),
     )
+    if rejects is None:
+        return made.withColumn("skipped", F.array().cast("array<string>"))
+    texts = rejects.agg(F.lit(root).alias("root"), F.sort_array(F.collect_list("text")).alias("skipped"))
+    return made.join(texts, "root")
 
 
 def run_record(spark: SparkSession, settings: dict, norm: ThermalNorm) -> DataFrame:

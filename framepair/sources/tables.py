@@ -39,8 +39,14 @@ def pack_points(points: DataFrame, by: list[str]) -> DataFrame:
 
 # -- temperatures ---------------------------------------------------------
 def read_temperatures(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless ``filename,celsius`` lines; the last line of a stem wins."""
-    return temperatures(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
+    """Headerless ``filename,celsius`` lines; the last line of a stem wins.
+
+    Over several files, "last" is by file path, then by place in the file.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # Ids rise within a block of a file, which one task reads.
+    place = F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("at"))
+    return temperatures(lines.select("value", place.alias("line_no")))
 
 
 def temperatures(lines: DataFrame) -> DataFrame:
