@@ -30,11 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     they are shuffled. Each round is written to the shared folder, so no lineage
     grows and lost executors cost one round at most.
     """
-    state = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
-    before = None
-    while (now := edges.agg(state.alias("s")).first()["s"]) != before:
-        before = now
+    # Done once no least node has a smaller neighbour, that is, all edges form stars.
+    while not edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() or not stars(edges):
         edges = materialise(small_star(large_star(edges)), "edges")
     return edges
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most towards a smaller node."""
+    return edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()

@@ -3,19 +3,20 @@
 1. One map gives every text its set of word shingles, as a 16-byte fingerprint of
    the set and 128 minima of universal hashes ``a*x + b`` (16 bits of each). Texts with
    equal sets are one *node*, so copies never meet as pairs.
-2. 32 bands of 4 minima put nodes into buckets. A bucket's star, each member
-   with the bucket's least node, gives the first candidate links.
-3. Links are verified: first by the share of equal minima, then by the exact
-   intersection of the full sets, which are made only for nodes in a candidate.
-4. Components by large-star and small-star rounds (``components.py``).
-5. A star can miss a link between two members that are unlike the bucket's
-   least node. So for every bucket whose members are still in several components, members
-   of different components are compared by their signatures, in cells of bounded size, and
-   what passes is verified and added. A pair inside one component cannot change anything. After
-   that no candidate pair is left untested: the answer is that of all pairs in all buckets.
+2. 32 bands of 4 minima put nodes into buckets. Inside a bucket all signatures are
+   compared, in cells of bounded size; of the pairs with enough equal minima only a
+   spanning forest leaves the task, never the pairs themselves.
+3. Connected components of those edges (large-star and small-star, ``components.py``)
+   are *neighbourhoods*: two texts that could be linked are in the same one. Each node's
+   full set is made once and sent to its neighbourhood.
+4. Inside a neighbourhood, again in cells of bounded size, pairs that pass the signature
+   test and are not yet in one component are verified by the exact intersection of their full
+   sets. Again only a spanning forest of the links leaves the task: a link inside one component
+   changes nothing. Its components are the answer, that of all pairs.
 
 A link needs ``100 * intersection >= percent * union``. Two texts at 0.8 share no
-band with probability (1 - 0.8^4)^32 < 1e-7.
+band with probability (1 - 0.8^4)^32 < 1e-7. A cell holds two chunks of ``CELL`` members, so a
+neighbourhood of m different texts costs m/CELL times its size in shuffled rows; no cap.
 
 Null and empty texts, and texts of white space, have an empty set, are linked with nothing and kept. A text
 of fewer words than a shingle is one shingle. Rows with equal ids and texts are all kept or all
@@ -24,13 +25,12 @@ dropped. A null id is never the least unless all ids of its component are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from framepair.llm.common import materialise, query, table
 from framepair.llm.components import components
@@ -42,7 +42,8 @@ BANDS = MINIMA // ROWS
 SHINGLE, PERCENT = 5, 80
 # A link at 0.8 has 102 of 128 equal minima on average, and fewer than 80 with probability 1e-6.
 LEAST_EQUAL = 80
-CELL = 2048  # members of a bucket that are compared at once
+CELL = 1024  # members in a chunk; a cell compares two chunks
+CELL_ROWS = 20_000  # members of small buckets that one call takes together
 
 _rng = np.random.default_rng(20240612)
 FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=U64) * U64(2) + U64(1)
@@ -133,84 +134,104 @@ def full_sets(docs: DataFrame, rows: DataFrame, key: str, text: str, k: int) ->
     return chosen.select(text).mapInArrow(run, "node binary, hashes binary")
 
 
-@F.pandas_udf(LongType())
-def common(a, b):
-    import pandas as pd
-
-    def one(x: bytes, y: bytes) -> int:
-        return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+def forest(n: int, others: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that join 0..n-1 as all the edges would.
 
+    ``others(x, can)`` gives the indices y among ``can`` that have an edge with x;
+    it is only asked for y > x that are not yet joined with x.
+    """
+    label, edges = np.arange(n), []
+    for x in range(n - 1):
+        can = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
+        if not len(can):
+            continue
+        at = others(x, can)
+        if len(at):
+            joined, first = np.unique(label[at], return_index=True)
+            edges += [(x, int(y)) for y in at[first]]
+            label[np.isin(label, joined)] = label[x]
+    return edges
 
-def equal_minima(a: Column, b: Column) -> Column:
-    @F.pandas_udf(LongType())
-    def count(x, y):
-        import pandas as pd
 
-        left = np.frombuffer(b"".join(x), np.uint16).reshape(-1, MINIMA)
-        right = np.frombuffer(b"".join(y), np.uint16).reshape(-1, MINIMA)
-        return pd.Series((left == right).sum(1), dtype="int64")
+def in_cells(members: DataFrame, group: str, size: str) -> DataFrame:
+    """Members with their cells ``i <= j``: chunk i meets chunk j of the same group."""
+    chunks = F.ceil(F.col(size) / CELL).cast("int")
+    dealt = members.withColumns({"_chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "_chunks": chunks})
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    cells = dealt.select("*", F.least("_chunk", "_other").alias("i"), F.greatest("_chunk", "_other").alias("j"))
+    # A chunk alone is a cell only if it is the only one: else the cells of two hold its pairs too.
+    return cells.where((F.col("_chunks") == 1) | (F.col("i") != F.col("j"))).drop("_chunk", "_other", "_chunks")
 
-    return count(a, b)
 
+def compared(minima: np.ndarray, n: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    def others(x: int, can: np.ndarray) -> np.ndarray:
+        can = can[100 * np.minimum(n[can], n[x]) >= PERCENT * np.maximum(n[can], n[x])]
+        return can[(minima[can] == minima[x]).sum(1) >= LEAST_EQUAL]
 
-def by_signature(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs ``(u, v)`` whose share of equal minima and set sizes allow a link."""
-    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("signature").alias("su"))
-    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("signature").alias("sv"))
-    both = pairs.join(left, "u").join(right, "v")
-    both = both.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT)
-    return both.where(equal_minima(F.col("su"), F.col("sv")) >= LEAST_EQUAL).select("u", "v", "nu", "nv")
+    return others
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu"))
-    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("both", common(F.col("hu"), F.col("hv")))
-    return both.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
+def edges_table(node: pa.ChunkedArray, edges: list[tuple[int, int]]) -> pa.Table:
+    u, v = ([e[k] for e in edges] for k in (0, 1))
+    return pa.table({"u": node.take(pa.array(u, pa.int64())), "v": node.take(pa.array(v, pa.int64()))})
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components that pass the signature test.
+def neighbours(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Spanning edges ``(u, v)`` of the pairs in a bucket that pass the signature test."""
+    cells = in_cells(members, "bucket", "size").join(nodes.select("node", "n", "signature"), "node")
+    groups = max(1, -(-members.count() // CELL_ROWS))
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
 
-    A bucket's members are dealt to chunks of about ``CELL``; a cell holds two
-    chunks, so no task compares more than that at once however large the bucket.
-    """
-    label = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = label.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where(F.col("a") != F.col("b")).select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
-    found = label.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = found.select("bucket", "node", "label", "chunk", other)
-    cells = cells.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "label", (F.col("chunk") <= F.col("other")).alias("first"))
-    cells = cells.join(nodes.select("node", "n", "signature"), "node")
+    def run(part: pa.Table) -> pa.Table:
+        bucket, i, j = (part.column(c).to_numpy() for c in ("bucket", "i", "j"))
+        order = np.lexsort((j, i, bucket))
+        n = part.column("n").to_numpy()[order]
+        minima = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, MINIMA)[order]
+        key = np.stack([bucket[order], i[order], j[order]], 1)
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
+        edges: list[tuple[int, int]] = []
+        size = np.diff(cut)
+        # Most buckets hold two nodes: all of them in one step.
+        a = cut[:-1][size == 2]
+        alike = (minima[a] == minima[a + 1]).sum(1) >= LEAST_EQUAL
+        alike &= 100 * np.minimum(n[a], n[a + 1]) >= PERCENT * np.maximum(n[a], n[a + 1])
+        edges += [(int(order[x]), int(order[x + 1])) for x in a[alike]]
+        for lo, m in zip(cut[:-1][size > 2], size[size > 2], strict=True):
+            some = slice(lo, lo + m)
+            edges += [(int(order[lo + x]), int(order[lo + y])) for x, y in forest(int(m), compared(minima[some], n[some]))]
+        return edges_table(part.column("node"), edges)
+
+    return cells.groupBy("task").applyInArrow(run, "u binary, v binary")
+
+
+def links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges of the verified links inside the neighbourhoods ``placed (node, place)``."""
+    sizes = placed.groupBy("place").agg(F.count(F.lit(1)).alias("size"))
+    cells = in_cells(placed.join(sizes, "place"), "place", "size")
+    cells = cells.join(nodes.select("node", "n", "signature"), "node").join(sets, "node")
 
     def run(part: pa.Table) -> pa.Table:
-        labels_ = part.column("label").to_pylist()
-        ids = {x: i for i, x in enumerate(dict.fromkeys(labels_))}
-        of = np.array([ids[x] for x in labels_])
         n = part.column("n").to_numpy()
         minima = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, MINIMA)
-        found_u, found_v = [], []
-        for x in range(len(of) - 1):
-            rest = slice(x + 1, None)
-            can = (of[rest] != of[x]) & (100 * np.minimum(n[rest], n[x]) >= PERCENT * np.maximum(n[rest], n[x]))
-            at = np.flatnonzero(can) + x + 1
-            at = at[(minima[at] == minima[x]).sum(1) >= LEAST_EQUAL]
-            found_u += [x] * len(at)
-            found_v += at.tolist()
-        node = part.column("node")
-        u, v = node.take(pa.array(found_u, pa.int64())), node.take(pa.array(found_v, pa.int64()))
-        return pa.table({"u": u, "v": v, "nu": pa.array(n[found_u] if found_u else [], pa.int64()), "nv": pa.array(n[found_v] if found_v else [], pa.int64())})
-
-    pairs = cells.groupBy("bucket", "i", "j").applyInArrow(run, "u binary, v binary, nu long, nv long")
-    swap = F.col("u") > F.col("v")
-    return pairs.select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"),
-        F.when(swap, F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(swap, F.col("nv")).otherwise(F.col("nu")).alias("nv"),
-    ).distinct()
+        # Shingles by their number in the cell, one set behind the other.
+        _, ids = np.unique(np.frombuffer(b"".join(part.column("hashes").to_pylist()), U64), return_inverse=True)
+        at = np.cumsum(n) - n
+        mark = np.zeros(int(ids.max()) + 1, bool)
+        near = compared(minima, n)
+
+        def others(x: int, can: np.ndarray) -> np.ndarray:
+            can = near(x, can)
+            if not len(can):
+                return can
+            mine = ids[at[x] : at[x] + n[x]]
+            mark[mine] = True
+            both = np.array([np.count_nonzero(mark[ids[at[y] : at[y] + n[y]]]) for y in can])
+            mark[mine] = False
+            return can[100 * both >= percent * (n[x] + n[can] - both)]
+
+        return edges_table(part.column("node"), forest(len(n), others))
+
+    return cells.groupBy("place", "i", "j").applyInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -220,36 +241,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     nodes = some.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     nodes = materialise(nodes, "nodes")
     bands = band_rows(nodes)
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"))
-    members = materialise(bands.join(buckets.where(F.col("size") > 1), "bucket").select("bucket", "node", "least"), "members")
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    members = materialise(bands.join(buckets.where(F.col("size") > 1), "bucket"), "members")
+
+    tied = components(neighbours(members, nodes))
+    placed = tied.select(F.col("u").alias("node"), F.col("v").alias("place"))
+    placed = placed.unionByName(tied.select(F.col("v").alias("node"), F.col("v").alias("place")).distinct())
+    chosen = nodes.join(placed.select("node"), "node", "left_semi").select("key")
+    sets = full_sets(docs, chosen, key, text, shingle).join(placed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = components(links(placed, nodes, sets, percent))
 
-    stars = members.where(F.col("node") != F.col("least")).select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    pairs = materialise(by_signature(stars, nodes), "candidates")
-    links = verify(pairs, docs, nodes, key, text, shingle, percent)
-    found = components(links)
     labels = found.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    more = materialise(cross_pairs(members, labels, nodes), "candidates")
-    if not more.isEmpty():
-        found = components(found.unionByName(verify(more, docs, nodes, key, text, shingle, percent)))
-        labels = found.select(F.col("u").alias("node"), F.col("v").alias("label"))
-
-    placed = some.select("key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("key").alias("component_id"))
-    placed = placed.join(least, "label").select("key", "n", "component_id")
+    known = some.select("key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = known.groupBy("label").agg(F.min("key").alias("component_id"))
+    known = known.join(least, "label").select("key", "n", "component_id")
     alone = rows.where(F.col("node").isNull()).select("key", "n", F.col("key").alias("component_id"))
-    done = placed.unionByName(alone)
+    done = known.unionByName(alone)
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """The verified of ``pairs``, with full sets made from the texts of their nodes only."""
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    rows = nodes.join(ends, "node", "left_semi").select("key")
-    sets = full_sets(docs, rows, key, text, shingle)
-    sets = materialise(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    return materialise(verified(pairs, sets, percent), "links")
-
-
 @query("op7_near_duplicates")
 def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
