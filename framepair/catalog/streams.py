@@ -34,7 +34,7 @@ def streamed_pairs(spark, sf):
 
 @query("streamed_resampling", f"""WITH fr AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t FROM events),
 s AS (SELECT user_id, id, t, unnest([x for x in range(greatest(0, ceil((t - {SPEC.start_us} - {4 * HOUR}) / {HOUR}e0)::BIGINT), floor((t - {SPEC.start_us} + {4 * HOUR}) / {HOUR}e0)::BIGINT + 1)]) AS k FROM fr),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY abs(t - ({SPEC.start_us} + k * {HOUR})), t, id) AS rn FROM s)
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY abs(t - ({SPEC.start_us} + k * {HOUR})), t, CASE WHEN t < {SPEC.start_us} + k * {HOUR} THEN -id ELSE id END) AS rn FROM s)
 SELECT user_id, k, id, t AS frame_t FROM n WHERE rn = 1""")
 def streamed_resampling(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), micros("ts").alias("t_us"))

@@ -54,36 +54,24 @@ def _decode(data: bytes) -> np.ndarray | None:
 
 
 def _unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    """Undo the per-row prediction; columns ``step`` apart depend on each other."""
-    out = np.zeros_like(rows)
-    above = np.zeros(rows.shape[1], np.uint8)
-    for y, (kind, row) in enumerate(zip(kinds, rows)):
-        if kind == 0:
-            line = row.copy()
-        elif kind == 1:
-            line = np.add.accumulate(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            line = row + above
-        else:
-            line = _predicted(kind, row, above, step)
-        out[y] = above = line
-    return out
+    """Undo the per-row prediction, one anti-diagonal of pixels at a time.
 
-
-def _predicted(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    line = np.zeros(len(row), np.int64)
-    up = above.astype(np.int64)
-    for x in range(0, len(row), step):
-        here = slice(x, x + step)
-        left = line[x - step : x] if x else np.zeros(step, np.int64)
-        corner = up[x - step : x] if x else np.zeros(step, np.int64)
-        if kind == 3:
-            guess = (left + up[here]) // 2
-        elif kind == 4:
-            flat = left + up[here] - corner
-            da, db, dc = abs(flat - left), abs(flat - up[here]), abs(flat - corner)
-            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up[here], corner))
-        else:
-            raise ValueError(f"unknown filter {kind}")
-        line[here] = (row[here] + guess) & 255
-    return line.astype(np.uint8)
+    A pixel needs its left, upper and upper-left neighbours only, so pixels with
+    one sum of row and column are independent of each other.
+    """
+    if kinds.size and kinds.max() > 4:
+        raise ValueError(f"unknown filter {kinds.max()}")
+    height, width = len(rows), rows.shape[1] // step
+    delta = rows.reshape(height, width, step).astype(np.int16)
+    # One row and column of zeros in front stand for what lies outside.
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        # Distances of left + up - corner to each of the three.
+        to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) // 2, nearest])
+        out[y + 1, x + 1] = (delta[y, x] + guess) & 255
+    return out[1:, 1:].reshape(height, -1).astype(np.uint8)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framepair.operators.sync import SyncSpec
@@ -22,12 +22,30 @@ def _offered(frames: DataFrame, by: Sequence[str], spec: SyncSpec, side: int, de
     p, tol, start = float(spec.period_us), spec.tolerance, spec.start_us
     lo = F.greatest(F.ceil((F.col("t_us") - start - tol) / p).cast("bigint"), F.lit(0).cast("bigint"))
     hi = F.floor((F.col("t_us") - start + tol) / p).cast("bigint")
+    if spec.duration_us is not None:
+        hi = F.least(hi, F.lit(spec.duration_us // spec.period_us).cast("bigint"))
     ks = F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
     df = frames.select(*by, "id", "t_us", ks.alias("k"))
     t = F.lit(start) + F.col("k") * spec.period_us
-    offer = F.struct(F.abs(F.col("t_us") - t).alias("dt"), F.col("t_us").alias("t_us"), F.col("id").alias("id"))
-    df = df.select(*by, "k", F.timestamp_micros(t).alias("sample_ts"), F.lit(side).alias("_m"), offer.alias("f"))
-    return df.withWatermark("sample_ts", delay)
+    df = df.withColumns({"_gap": F.col("t_us") - t, "_m": F.lit(side), "sample_ts": F.timestamp_micros(t)})
+    return df.select(*by, "k", "sample_ts", "_m", "_gap", "t_us", "id").withWatermark("sample_ts", delay)
+
+
+def _best(side: int) -> tuple[Column, Column]:
+    """A sample's nearest frame at or after it and before it, of one stream.
+
+    As in the batch form, frames with one time give the smallest id after a
+    sample and the largest before it.
+    """
+    mine = lambda when: F.when((F.col("_m") == side) & when, F.struct("_gap", "t_us", "id"))
+    return F.min(mine(F.col("_gap") >= 0)).alias(f"_a{side}"), F.max(mine(F.col("_gap") < 0)).alias(f"_b{side}")
+
+
+def _nearer(side: int) -> Column:
+    """The nearer of the two; at equal distance the earlier."""
+    after, before = F.col(f"_a{side}"), F.col(f"_b{side}")
+    late = before["_gap"].isNull() | (after["_gap"] < -before["_gap"])
+    return F.when(late, after).otherwise(before)
 
 
 def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str) -> DataFrame:
@@ -38,9 +56,8 @@ def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpe
     """
     ir = ir.withColumn("t_us", F.col("t_us") - spec.offset_us)
     both = _offered(rgb, by, spec, 0, delay).unionByName(_offered(ir, by, spec, 1, delay))
-    pick = lambda m: F.min(F.when(F.col("_m") == m, F.col("f")))
-    best = both.groupBy(*by, "sample_ts", "k").agg(pick(0).alias("_r"), pick(1).alias("_i"))
-    best = best.where(F.col("_r").isNotNull() & F.col("_i").isNotNull())
+    best = both.groupBy(*by, "sample_ts", "k").agg(*_best(0), *_best(1))
+    best = best.withColumns({"_r": _nearer(0), "_i": _nearer(1)}).where(F.col("_r").isNotNull() & F.col("_i").isNotNull())
     return best.select(
         *by, "k", F.unix_micros("sample_ts").alias("t"),
         F.col("_r.id").alias("rgb_id"), F.col("_r.t_us").alias("rgb_t"),
@@ -50,7 +67,7 @@ def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpe
 
 def resample(frames: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str) -> DataFrame:
     """One stream on the regular grid: nearest frame of each sample."""
-    best = _offered(frames, by, spec, 0, delay).groupBy(*by, "sample_ts", "k").agg(F.min("f").alias("_f"))
+    best = _offered(frames, by, spec, 0, delay).groupBy(*by, "sample_ts", "k").agg(*_best(0)).withColumn("_f", _nearer(0))
     return best.select(*by, "k", F.unix_micros("sample_ts").alias("t"), F.col("_f.id").alias("id"), F.col("_f.t_us").alias("frame_t"))
 
 

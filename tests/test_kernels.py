@@ -162,3 +162,36 @@ def test_target_sizes(spark):
         *[c.alias(n) for n, c in zip("de", kernels.at_least(F.lit(100), F.lit(333), 256))],
     ).first()
     assert tuple(r) == (360, 465, 640, 256, 852)
+
+
+def test_jitter_keeps_missing_frames_missing(spark):
+    df = spark.createDataFrame([(0, None, True), (1, [], True), (2, [10, 20], True), (3, None, False)], "id int, px array<int>, on boolean")
+    got = {r.id: r.o for r in df.select("id", pixels.jitter("px", F.col("on"), F.lit(2.0), F.lit(0.0)).alias("o")).collect()}
+    assert got == {0: None, 1: [], 2: [20, 40], 3: None}
+
+
+def test_batches_past_32_bit_offsets_raise():
+    from framepair.functions.arrow import offsets32
+
+    assert offsets32(np.array([0, (1 << 31) - 1])).to_pylist() == [0, (1 << 31) - 1]
+    with pytest.raises(ValueError, match="maxRecordsPerBatch"):
+        offsets32(np.array([0, 1 << 31]))
+
+
+def test_ssim_equals_its_definition():
+    rng = np.random.default_rng(5)
+    a, b = rng.random((2, 13, 15, 1)), rng.random((2, 13, 15, 1))
+    w = np.exp(-((np.arange(11) - 5) ** 2) / (2 * 1.5**2))
+    w = np.outer(w, w) / w.sum() ** 2
+    pad = lambda x: np.pad(x[..., 0], [(0, 0), (5, 5), (5, 5)], mode="reflect")
+    want = []
+    for x, y in zip(pad(a), pad(b), strict=True):
+        at = []
+        for r in range(13):
+            for c in range(15):
+                p, q = x[r : r + 11, c : c + 11], y[r : r + 11, c : c + 11]
+                m, n = (w * p).sum(), (w * q).sum()
+                vp, vq, cov = (w * (p - m) ** 2).sum(), (w * (q - n) ** 2).sum(), (w * (p - m) * (q - n)).sum()
+                at.append((2 * m * n + 1e-4) * (2 * cov + 9e-4) / ((m * m + n * n + 1e-4) * (vp + vq + 9e-4)))
+        want.append(np.mean(at))
+    assert np.allclose(kernels.ssim_stack(a, b), want)

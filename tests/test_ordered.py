@@ -127,3 +127,14 @@ def test_checksum_states(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "z")], "f string, d string")
     b = spark.createDataFrame([("1", "x"), ("2", "Y"), ("4", "w")], "f string, d string")
     assert rows(pairing.compare_checksums(a, b, "f", "d")) == [("1", "ok"), ("2", "changed"), ("3", "missing"), ("4", "extra")]
+
+
+def test_rows_without_a_group_keep_their_places(spark):
+    df = spark.createDataFrame([(None, 3, 30), ("a", 1, 10), (None, 1, 11), ("a", 2, 20), (None, 2, 22)], "g string, k int, v int")
+    seg = ordered.number(ordered.segment(df, ["g"], ["k"], parts=3), ["g"], total="n")
+    seg = ordered.fill_around(ordered.following(ordered.previous(seg, ["g"], ["v"]), ["g"], ["v"]), ["g"], F.when(F.col("k") == 2, F.col("v")), "b", "a")
+    got = rows(seg.select(F.coalesce("g", F.lit("")), "k", "idx", "n", "prev_v", "next_v", "b", "a"))
+    assert got == [
+        ("", 1, 0, 3, None, 22, None, 22), ("", 2, 1, 3, 11, 30, 22, 22), ("", 3, 2, 3, 22, None, 22, None),
+        ("a", 1, 0, 2, None, 20, None, 20), ("a", 2, 1, 2, 10, None, 20, 20),
+    ]

@@ -71,6 +71,13 @@ def test_evaluation(spark):
         evaluate.evaluate(pred, truth.where("false"), REL8).collect()
 
 
+def test_evaluation_by_group(spark):
+    pred = spark.createDataFrame([score_frame("x.png", 51), score_frame("y.png", 0), score_frame("z.png", 51)], "file string, height int, width int, px array<int>")
+    truth = spark.createDataFrame([("a", *score_frame("x.png", 51)), ("a", *score_frame("y.png", 51)), (None, *score_frame("z.png", 51))], "session string, file string, height int, width int, px array<int>")
+    got = {r.session: (r.n, round(r.L1, 6)) for r in evaluate.evaluate(pred, truth, REL8, by=["session"]).collect()}
+    assert got == {"a": (2, 0.1), None: (1, 0.0)}
+
+
 # -- calibration and registration ----------------------------------------
 def test_four_points_are_enough(spark):
     pts = [(20, 20, 2, 4), (300, 20, 142, 4), (300, 220, 142, 104), (20, 220, 2, 104)]

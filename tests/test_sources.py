@@ -109,6 +109,13 @@ def test_sessions_in_a_tree(spark):
     assert rows(images.discover_sessions(df)) == [("s1", "/r/a/s1", ""), ("s2", "/r/a/s2", "-2")]
 
 
+def test_last_line_wins_by_file_and_place(spark, tmp_path):
+    for name, value in (("a.csv", "x.png,1\nx.png,2\n"), ("b.csv", "x.png,7\ny.png,3\n"), ("c.csv", "y.png,4\n")):
+        (tmp_path / name).write_text(value)
+    t = tables.read_temperatures(spark, str(tmp_path)).repartition(3)
+    assert {r.stem: r.celsius for r in t.collect()} == {"x": 7.0, "y": 4.0}
+
+
 def test_temperatures(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a.png,1.5\n,9\nb.png\nc.tif, 2 ,x\na.jpg,3\n\n")
     t = tables.read_temperatures(spark, str(tmp_path / "t.csv"))

@@ -44,6 +44,19 @@ def test_paired_streams_equal_batch(spark, sliced):
     assert rows(got) == rows(want.select(*got.columns)) and got.count() > 20
 
 
+def test_equal_times_and_duration_equal_batch(spark, tmp_path):
+    schema = "rec long, t_us long, id long"
+    times = [5, 5, 5, 20, 20, 38, 38, 40, 40, 62, 79, 81, 81, 120, 121, 121, 160]
+    data = [(0, t * SECOND, i) for i, t in enumerate(times)]
+    spec = SyncSpec(period_us=40 * SECOND, tol_us=15 * SECOND, duration_us=130 * SECOND)
+    spark.createDataFrame([*data, (1, 100_000 * SECOND, -1)], schema).write.parquet(str(tmp_path / "s"))
+    side = lambda: runs.frame_stream(spark, str(tmp_path / "s"), schema, 1)
+    got = runs.drain(pairing.pair_streams(side(), side(), ["rec"], spec, "1 minute")).where("rec = 0")
+    batch = spark.createDataFrame(data, schema)
+    want = sync.nearest_on_grid(batch, batch, ["rec"], spec)
+    assert rows(got) == rows(want.select(*got.columns)) and got.count() == 4
+
+
 def test_static_state_survives_triggers(spark, tmp_path):
     levels = [1.0, 1.01, 1.02, 9.0, 9.01, 3.0, 3.01, 3.02, 8.0]
     data = [(r, k, v + r) for k, v in enumerate(levels) for r in (1, 2)]
