@@ -11,6 +11,9 @@ from framepair.functions import color, names
 from framepair.functions.arrow import kernel
 from framepair.operators import sync
 
+# Formats that never hold more than 8 bits a sample.
+EIGHT_BIT = r"\.(jpe?g|bmp)$"
+EIGHT_BIT_FILES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
 _DECODED = "struct<height int, width int, channels int, depth int, px array<int>>"
 
 
@@ -51,11 +54,14 @@ def byte_values(data: Column | str) -> Column:
 
 
 def decode_frames(content: Column | str) -> Column:
-    """``struct(height, width, channels, depth, px)`` of PNG bytes, NULL when unreadable."""
-    from framepair.sources import png
+    """``struct(height, width, channels, depth, px)`` of PNG or TIFF bytes, NULL when unreadable."""
+    from framepair.sources import png, tiff
+
+    def decode(blob: bytes) -> np.ndarray | None:
+        return png.decode(blob) if blob[:4] == png.SIGNATURE[:4] else tiff.decode(blob)
 
     def run(content: pa.Array) -> pa.Array:
-        found = [png.decode(blob.as_py()) if blob.is_valid else None for blob in content]
+        found = [decode(blob.as_py()) if blob.is_valid else None for blob in content]
         sizes = [(i.shape[0], i.shape[1], 1 if i.ndim == 2 else i.shape[2], i.itemsize * 8) if i is not None else (None,) * 4 for i in found]
         columns = [pa.array(list(c), pa.int32()) for c in zip(*sizes)] if sizes else [pa.array([], pa.int32())] * 4
         px = pa.array([i.ravel().astype(np.int32) if i is not None else None for i in found], pa.list_(pa.int32()))
@@ -66,10 +72,21 @@ def decode_frames(content: Column | str) -> Column:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames at full bit depth, channels as stored (BGR order)."""
+    """Frames at full bit depth, channels as stored (BGR order).
+
+    Formats of 8 bits only (JPG, BMP) go through Spark's own reader.
+    """
     files = spark.read.format("binaryFile").load(path).withColumn("name", names.base_name("path"))
-    files = files.where(names.is_image("name")).select("name", decode_frames("content").alias("f"))
-    return files.select("name", names.stem("name").alias("stem"), "f.*")
+    files = files.where(names.is_image("name") & ~F.lower("name").rlike(EIGHT_BIT)).select("name", decode_frames("content").alias("f"))
+    plain = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", EIGHT_BIT_FILES).load(path)
+    plain = plain.select("image.*").withColumn("name", names.base_name("origin"))
+    ok = F.col("height") > 0
+    known = lambda c: F.when(ok, c)
+    plain = plain.select(
+        "name", names.stem("name").alias("stem"), known(F.col("height")).alias("height"), known(F.col("width")).alias("width"),
+        known(F.col("nChannels")).alias("channels"), known(F.lit(8)).alias("depth"), known(byte_values("data")).alias("px"),
+    )
+    return files.select("name", names.stem("name").alias("stem"), "f.*").unionByName(plain)
 
 
 def read_thermal(spark: SparkSession, path: str) -> DataFrame:

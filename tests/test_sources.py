@@ -95,6 +95,48 @@ def test_colour_reader(spark, folder):
     assert got["broken.png"].height is None
 
 
+def write_tiff(path, image, order="<", deflate=False, predictor=1, rows_each=3):
+    x = image if image.ndim == 3 else image[..., None]
+    h, w, c = x.shape
+    if c >= 3:
+        x = np.concatenate([x[..., 2::-1], x[..., 3:]], axis=2)
+    if predictor == 2:
+        x = np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1)
+    kind = f"{order}u{x.itemsize}"
+    strips = [x[i : i + rows_each].astype(kind).tobytes() for i in range(0, h, rows_each)]
+    strips = [zlib.compress(s) for s in strips] if deflate else strips
+    at = [8 + sum(map(len, strips[:i])) for i in range(len(strips))]
+    tags = [(256, 3, [w]), (257, 4, [h]), (258, 3, [x.itemsize * 8] * c), (259, 3, [8 if deflate else 1]), (273, 4, at), (277, 3, [c]), (279, 4, [len(s) for s in strips]), (317, 3, [predictor]), (306, 2, [0])]
+    start = 8 + sum(map(len, strips))
+    extra, entries = b"", b""
+    for tag, k, v in tags:
+        body = struct.pack(f"{order}{len(v)}{ {2: 'B', 3: 'H', 4: 'I'}[k] }", *v)
+        if len(body) > 4:
+            body, extra = struct.pack(f"{order}I", start + 2 + 12 * len(tags) + 4 + len(extra)), extra + body
+        entries += struct.pack(f"{order}HHI", tag, k, len(v)) + body.ljust(4, b"\0")
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}I", start)
+    with open(path, "wb") as f:
+        f.write(head + b"".join(strips) + struct.pack(f"{order}H", len(tags)) + entries + bytes(4) + extra)
+
+
+def test_tiff_and_bmp_frames(spark, tmp_path):
+    deep, colour, grey = RNG.integers(0, 65536, (8, 5), np.uint16), RNG.integers(0, 256, (7, 4, 3), np.uint8), RNG.integers(0, 256, (4, 6), np.uint8)
+    write_tiff(tmp_path / "a.tiff", deep)
+    write_tiff(tmp_path / "b.tif", deep, ">", True, 2)
+    write_tiff(tmp_path / "c.TIF", colour, "<", True)
+    (tmp_path / "broken.tif").write_bytes(b"II*\0" + bytes(40))
+    # A 24-bit bitmap: rows from the bottom, padded to four bytes.
+    h, w = grey.shape
+    body = b"".join(np.repeat(r, 3).tobytes() + bytes(-3 * w % 4) for r in grey[::-1])
+    (tmp_path / "d.bmp").write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0) + body)
+    got = {r.name: r for r in images.read_frames(spark, str(tmp_path)).collect()}
+    for name in ("a.tiff", "b.tif"):
+        assert (got[name].height, got[name].width, got[name].channels, got[name].depth) == (8, 5, 1, 16) and got[name].px == deep.ravel().tolist()
+    assert got["c.TIF"].px == colour.ravel().tolist() and got["c.TIF"].depth == 8
+    assert got["d.bmp"].px == np.repeat(grey.ravel(), 3).tolist() and got["d.bmp"].channels == 3
+    assert got["broken.tif"].px is None and len(got) == 5
+
+
 def test_timed_frames(spark, folder):
     t = images.timed_frames(spark, folder[0], 25.0)
     assert rows(t, "idx", "t_us")[:3] == [(0, 0), (1, 40000), (2, 80000)]
