@@ -12,6 +12,7 @@ from framepair.functions import pixels as px_ops
 from framepair.functions.hashing import hash_uniform
 from framepair.functions.norm import ThermalNorm
 from framepair.operators import ordered, profile, scores
+from framepair.sources import images
 from framepair.plans.evaluate import evaluate, score_pairs
 
 
@@ -309,3 +310,22 @@ def frame_to_frame_change(spark, sf):
     both = lagged.where("prev_vec_id is not null").join(f.drop("label"), "vec_id")
     both = both.join(f.select(F.col("vec_id").alias("prev_vec_id"), F.col("px").alias("prev_px")), "prev_vec_id")
     return both.select("vec_id", r6(px_ops.mean_abs_diff("px", "prev_px")).alias("moved"))
+
+
+# A TIFF of 8 x 8 samples of 16 bits, up to its samples: header and one directory of seven tags.
+_TIFF_HEAD = (
+    "49492A0008000000" "0700"
+    "000103000100000008000000" "010103000100000008000000" "020103000100000010000000" "030103000100000001000000"
+    "110104000100000062000000" "150103000100000001000000" "170104000100000080000000" "00000000"
+)
+
+
+@query("read_images_tiff", f"""WITH {PIX} SELECT vec_id, 8 AS height, 8 AS width, 16 AS depth, sum((v * 257 + vec_id) % 65536 * (i + 1))::BIGINT AS pinned FROM pix GROUP BY 1""")
+def read_images_tiff(spark, sf):
+    """Frames written as TIFF bytes and read back at full depth."""
+    f = frames(spark, sf).withColumn("deep", F.transform("px", lambda v: (v * 257 + F.col("vec_id")) % 65536))
+    pair = lambda v: F.concat(F.lpad(F.hex(v.cast("bigint") % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
+    body = F.array_join(F.transform("deep", pair), "")
+    found = f.select("vec_id", images.decode_frames(F.unhex(F.concat(F.lit(_TIFF_HEAD), body))).alias("f")).select("vec_id", "f.*")
+    sums = F.aggregate(F.transform("px", lambda v, i: v.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return found.select("vec_id", "height", "width", "depth", sums.alias("pinned"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framepair.catalog.base import (
-    ABS16, BGR, EIGHT, PIX, REL8, SIDE, colour, frames, pixels, query, r6, table,
+    ABS16, BGR, EIGHT, PIX, REL8, SIDE, colour, frames, pixels, query, r6, table, uniform_sql,
 )
-from framepair.functions import color, geometry, names
+from framepair.functions import color, geometry, names, sql
 from framepair.functions.norm import interleaved_to_planes, planes_to_interleaved, to_unit
 from framepair.functions.sql import lr_at
 
@@ -229,3 +229,33 @@ SELECT o_orderkey, epoch, round(greatest(0e0, 1e0 - greatest(0, epoch + 1 - 40)
 def learning_rate(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 60).alias("epoch"))
     return o.select("o_orderkey", "epoch", r6(lr_at(F.col("epoch"), 40, 20, 2e-4) * 1e6).alias("lr_ppm"))
+
+
+# -- the library from SQL ---------------------------------------------------
+@query("sql_scalar_functions", f"""SELECT p_partkey, round((p_size - 5e0) / 40e0 * 2e0 - 1e0, 9) + 0e0 AS n, round(p_size::DOUBLE, 6) AS c,
+  greatest(-1e0, least(1e0, p_size / 12e0 / 127.5e0 - 1e0)) AS r, floor((greatest(-1e0, least(1e0, p_size / 25e0 - 1e0)) + 1e0) * 127.5e0)::INT AS u,
+  {uniform_sql("p_brand")} AS h FROM part""")
+def sql_scalar_functions(spark, sf):
+    """The registered functions, called from SQL over a table."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT p_partkey, round(celsius_to_norm(p_size, 5D, 45D), 9) + 0D AS n, round(norm_to_celsius(celsius_to_norm(p_size, 5D, 45D), 5D, 45D), 6) AS c,
+        rel8_to_norm(p_size / 12D) AS r, norm_to_uint8(p_size / 25D - 1D) AS u, hash_uniform(p_brand) AS h FROM {parts}""",
+        parts=table(spark, sf, "part"),
+    )
+
+
+@query("sql_table_functions", """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+p AS (SELECT source, 'pick' AS kind, i::BIGINT AS i, CASE WHEN n <= 1 THEN 0 WHEN i = 6 THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / 6))::DOUBLE END AS v FROM c, range(7) t(i)),
+l AS (SELECT source, 'rate' AS kind, e::BIGINT AS i, round(greatest(0e0, 1e0 - greatest(0, e + 1 - 3) / greatest(1, n % 5)::DOUBLE) * 2e-4, 12) AS v FROM c, range(8) t(e) WHERE e < 3 + n % 5)
+SELECT * FROM p UNION ALL SELECT * FROM l""")
+def sql_table_functions(spark, sf):
+    """The table functions beside each row of a table."""
+    sql.register(spark)
+    counts = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return spark.sql(
+        """SELECT source, 'pick' AS kind, i, cast(pos AS DOUBLE) AS v FROM {counts}, LATERAL even_picks(n, 7L)
+        UNION ALL SELECT source, 'rate', cast(epoch AS BIGINT), round(lr, 12) FROM {counts}, LATERAL learning_rates(3, cast(n % 5 AS INT), 2e-4D)""",
+        counts=counts,
+    )
