@@ -1,7 +1,7 @@
 """Calibration of many recordings at once: one matrix per recording.
 
 Robust homography: seeded 4-point hypotheses are solved in batches, scored
-against every point with map-side counting, and the winner is refitted from
+against blocks of points in one kernel, and the winner is refitted from
 summed normal equations, so no recording's points are gathered in one place.
 """
 
@@ -39,6 +39,27 @@ def _solve_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+BLOCK_POINTS = 256
+_SCORES = "array<struct<hyp: int, n_in: bigint, e: double>>"
+
+
+def _block_scores(points: pa.Array, hypotheses: pa.Array) -> pa.Array:
+    """Inliers and their summed error under each hypothesis, for every block of points."""
+    kind = pa.list_(pa.struct([("hyp", pa.int32()), ("n_in", pa.int64()), ("e", pa.float64())]))
+    out = []
+    for p, h in zip(points, hypotheses, strict=True):
+        x, y, u, v = (p.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "u", "v"))
+        hyp = h.values.field("hyp").to_numpy(zero_copy_only=False)
+        m = h.values.field("H").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
+        q = m @ np.stack([x, y, np.ones_like(x)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            err = np.sqrt((q[:, 0] / q[:, 2] - u) ** 2 + (q[:, 1] / q[:, 2] - v) ** 2)
+        near = err <= INLIER_PX
+        n, e = near.sum(1), np.where(near, err, 0.0).sum(1)
+        out.append([{"hyp": int(a), "n_in": int(b), "e": float(c)} for a, b, c in zip(hyp, n, e, strict=True)])
+    return pa.array(out, kind)
+
+
 def _matrix_udf(build):
     """UDF from equal-length ARRAY<DOUBLE> rows to ARRAY<ARRAY<DOUBLE>> or NULL."""
 
@@ -127,10 +148,11 @@ def fit_homography(points: DataFrame, by: Sequence[str], hypotheses: int = 256,
     solved = materialise(solved, "hypotheses")
     # At most ``hypotheses`` matrices per recording.
     packed = solved.groupBy(*by).agg(F.collect_list(F.struct("hyp", "H")).alias("_hs"))
-    tried = lookup(pts, packed, by, ["idx"]).select(*by, "x", "y", "u", "v", F.inline("_hs"))
-    err = reprojection_error(F.col("H"), "x", "y", "u", "v")
-    near = err <= INLIER_PX
-    scored = tried.groupBy(*by, "hyp").agg(F.count_if(near).alias("n_in"), F.sum(F.when(near, err)).alias("e"))
+    # A block of points meets all hypotheses in one kernel call and leaves one
+    # row per hypothesis: as many rows as points, not points x hypotheses.
+    blocks = pts.groupBy(*by, F.floor(F.col("idx") / BLOCK_POINTS).alias("_blk")).agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("_pts"))
+    tried = lookup(blocks, packed, by, ["_blk"]).select(*by, F.inline(F.arrow_udf(_block_scores, _SCORES)("_pts", "_hs")))
+    scored = tried.groupBy(*by, "hyp").agg(F.sum("n_in").alias("n_in"), F.sum("e").alias("e"))
     best = scored.groupBy(*by).agg(F.max(F.struct("n_in", -F.round("e", 9), -F.col("hyp"))).alias("_b"))
     best = best.select(*by, (-F.col("_b.col3")).alias("hyp")).join(solved, [*by, "hyp"]).drop("hyp")
     return _refit(pts, materialise(best, "winners"), by)
