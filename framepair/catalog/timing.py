@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from framepair.catalog.base import micros, query, r6, table
@@ -71,6 +73,27 @@ def extract_counters(spark, sf):
     return extract_pairs(stream(spark, sf, "view"), stream(spark, sf, "click"), ["user_id"], QUOTA, level="value").counters
 
 
+# The same job without the caps: whole recordings, every pair.
+WHOLE = replace(QUOTA, duration_us=None, max_pairs=0)
+_WHOLE = _sync_sql(WHOLE) + f""",
+lagged AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY k)) < {WHOLE.static_below}, false) AS static FROM acc),
+num AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS n FROM lagged WHERE NOT static)"""
+
+
+@query("extract_all_pairs", f"""WITH {_WHOLE}
+SELECT user_id, n, lpad(n::VARCHAR, 6, '0') || '.png' AS name, k, t, rgb_id, rgb_t, ir_id, ir_t FROM num""")
+def extract_all(spark, sf):
+    return extract_pairs(stream(spark, sf, "view"), stream(spark, sf, "click"), ["user_id"], WHOLE, level="value").pairs
+
+
+@query("extract_all_counters", f"""WITH {_WHOLE},
+c AS (SELECT b.user_id, greatest(last + 1, 0) AS n_grid, count(l.k) FILTER (NOT static) AS kept, count(l.k) FILTER (static) AS dropped_static
+  FROM bounds b LEFT JOIN lagged l ON l.user_id = b.user_id GROUP BY b.user_id, last)
+SELECT user_id, kept, dropped_static, n_grid - kept - dropped_static AS dropped_tol FROM c""")
+def extract_all_counters(spark, sf):
+    return extract_pairs(stream(spark, sf, "view"), stream(spark, sf, "click"), ["user_id"], WHOLE, level="value").counters
+
+
 @query("nearest_irregular", """
 WITH l AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
 r AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
