@@ -22,8 +22,6 @@ def _offered(frames: DataFrame, by: Sequence[str], spec: SyncSpec, side: int, de
     p, tol, start = float(spec.period_us), spec.tolerance, spec.start_us
     lo = F.greatest(F.ceil((F.col("t_us") - start - tol) / p).cast("bigint"), F.lit(0).cast("bigint"))
     hi = F.floor((F.col("t_us") - start + tol) / p).cast("bigint")
-    if spec.duration_us is not None:
-        hi = F.least(hi, F.lit(spec.duration_us // spec.period_us).cast("bigint"))
     ks = F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
     df = frames.select(*by, "id", "t_us", ks.alias("k"))
     t = F.lit(start) + F.col("k") * spec.period_us
@@ -41,11 +39,16 @@ def _best(side: int) -> tuple[Column, Column]:
     return F.min(mine(F.col("_gap") >= 0)).alias(f"_a{side}"), F.max(mine(F.col("_gap") < 0)).alias(f"_b{side}")
 
 
-def _nearer(side: int) -> Column:
-    """The nearer of the two; at equal distance the earlier."""
+def _nearer(side: int, spec: SyncSpec) -> Column:
+    """The nearer of the two, the earlier at equal distance; NULL after the end of the run.
+
+    Frames past the end are offered like any other, because they move the watermark.
+    A filter on ``k`` alone would be pushed below it and hold the last samples back.
+    """
     after, before = F.col(f"_a{side}"), F.col(f"_b{side}")
     late = before["_gap"].isNull() | (after["_gap"] < -before["_gap"])
-    return F.when(late, after).otherwise(before)
+    found = F.when(late, after).otherwise(before)
+    return found if spec.duration_us is None else F.when(F.col("k") <= spec.duration_us // spec.period_us, found)
 
 
 def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str) -> DataFrame:
@@ -57,7 +60,7 @@ def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpe
     ir = ir.withColumn("t_us", F.col("t_us") - spec.offset_us)
     both = _offered(rgb, by, spec, 0, delay).unionByName(_offered(ir, by, spec, 1, delay))
     best = both.groupBy(*by, "sample_ts", "k").agg(*_best(0), *_best(1))
-    best = best.withColumns({"_r": _nearer(0), "_i": _nearer(1)}).where(F.col("_r").isNotNull() & F.col("_i").isNotNull())
+    best = best.withColumns({"_r": _nearer(0, spec), "_i": _nearer(1, spec)}).where(F.col("_r").isNotNull() & F.col("_i").isNotNull())
     return best.select(
         *by, "k", F.unix_micros("sample_ts").alias("t"),
         F.col("_r.id").alias("rgb_id"), F.col("_r.t_us").alias("rgb_t"),
@@ -67,7 +70,8 @@ def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpe
 
 def resample(frames: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str) -> DataFrame:
     """One stream on the regular grid: nearest frame of each sample."""
-    best = _offered(frames, by, spec, 0, delay).groupBy(*by, "sample_ts", "k").agg(*_best(0)).withColumn("_f", _nearer(0))
+    best = _offered(frames, by, spec, 0, delay).groupBy(*by, "sample_ts", "k").agg(*_best(0)).withColumn("_f", _nearer(0, spec))
+    best = best.where(F.col("_f").isNotNull())
     return best.select(*by, "k", F.unix_micros("sample_ts").alias("t"), F.col("_f.id").alias("id"), F.col("_f.t_us").alias("frame_t"))
 
 

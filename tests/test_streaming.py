@@ -47,9 +47,10 @@ def test_paired_streams_equal_batch(spark, sliced):
 def test_equal_times_and_duration_equal_batch(spark, tmp_path):
     schema = "rec long, t_us long, id long"
     times = [5, 5, 5, 20, 20, 38, 38, 40, 40, 62, 79, 81, 81, 120, 121, 121, 160]
-    data = [(0, t * SECOND, i) for i, t in enumerate(times)]
-    spec = SyncSpec(period_us=40 * SECOND, tol_us=15 * SECOND, duration_us=130 * SECOND)
-    spark.createDataFrame([*data, (1, 100_000 * SECOND, -1)], schema).write.parquet(str(tmp_path / "s"))
+    base = 1_000_000
+    data = [(0, (base + t) * SECOND, i) for i, t in enumerate(times)]
+    spec = SyncSpec(period_us=40 * SECOND, tol_us=15 * SECOND, duration_us=130 * SECOND, start_us=base * SECOND)
+    spark.createDataFrame([*data, (1, (base + 100_000) * SECOND, -1)], schema).coalesce(1).write.parquet(str(tmp_path / "s"))
     side = lambda: runs.frame_stream(spark, str(tmp_path / "s"), schema, 1)
     got = runs.drain(pairing.pair_streams(side(), side(), ["rec"], spec, "1 minute")).where("rec = 0")
     batch = spark.createDataFrame(data, schema)
