@@ -67,16 +67,25 @@ def normalise_16_to_8(spark, sf):
     return c.select("event_id", "raw", r6("n").alias("norm"), REL8.uint16_value(F.col("n")).cast("bigint").alias("stretched"))
 
 
+def _pinned(value, at):
+    """A value weighted by its place from 1: sums of these pin every value of a plane."""
+    return F.col(value).cast("double") * (at + 1)
+
+
 @query("channel_planes", f"""
-WITH {BGR},
-planes AS (SELECT vec_id, (2 - ch) * 64 + i AS i, round(v / 127.5e0 - 1e0, 6) + 0e0 AS plane FROM bgr),
-inter AS (SELECT vec_id, i * 3 + (2 - ch) AS i, floor((greatest(-1e0, least(1e0, v / 127.5e0 - 1e0)) + 1e0) * 127.5e0)::BIGINT AS rgb FROM bgr)
-SELECT vec_id, i, plane, rgb FROM planes JOIN inter USING (vec_id, i)""")
+WITH {BGR}
+SELECT vec_id, (2 - ch)::BIGINT AS plane, round(sum((v / 127.5e0 - 1e0) * (i + 1)), 5) + 0e0 AS planes,
+  round(sum(floor((greatest(-1e0, least(1e0, v / 127.5e0 - 1e0)) + 1e0) * 127.5e0) * (i + 1)), 5) + 0e0 AS rgb FROM bgr GROUP BY 1, 2""")
 def channel_planes(spark, sf):
+    """One row per plane of a frame, from the planes and from the pixels made of them again."""
     f = frames(spark, sf).withColumn("bgr", colour("px"))
     f = f.withColumn("chw", interleaved_to_planes("bgr", *EIGHT)).withColumn("rgb", planes_to_interleaved("chw", *EIGHT))
-    rows = pixels(f, F.arrays_zip("chw", "rgb"), "vec_id", value="z")
-    return rows.select("vec_id", "i", r6("z.chw").alias("plane"), F.col("z.rgb").cast("bigint").alias("rgb"))
+    rows = pixels(f, F.arrays_zip("chw", "rgb"), "vec_id", value="z").select("vec_id", "i", "z.*")
+    area, none = SIDE * SIDE, F.lit(0.0)
+    by_plane = rows.select("vec_id", F.floor(F.col("i") / area).alias("plane"), _pinned("chw", F.col("i") % area).alias("a"), none.alias("b"))
+    by_pixel = rows.select("vec_id", (F.col("i") % 3).alias("plane"), none.alias("a"), _pinned("rgb", F.floor(F.col("i") / 3)).alias("b"))
+    sums = by_plane.unionByName(by_pixel).groupBy("vec_id", "plane").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return sums.select("vec_id", "plane", (F.round("a", 5) + 0.0).alias("planes"), (F.round("b", 5) + 0.0).alias("rgb"))
 
 
 @query("grey_conversions", f"""
@@ -100,18 +109,22 @@ def grey_conversions(spark, sf):
 
 @query("condition_plane", f"""
 WITH {BGR},
-chw AS (SELECT vec_id, label, (2 - ch) * 64 + i AS i, v / 127.5e0 - 1e0 AS x FROM bgr),
-t AS (SELECT vec_id, 192 + i AS i, label / 10e0 - 0.5e0 AS x FROM pix),
-mono AS (SELECT vec_id, ch * 64 + i AS i, avg(x) OVER (PARTITION BY vec_id, i) AS m FROM
-  (SELECT vec_id, i % 64 AS i, i // 64 AS ch, x FROM chw))
-SELECT a.vec_id, a.i, round(a.x, 6) + 0e0 AS x, round(coalesce(m.m, -9e0), 6) + 0e0 AS mean3
-FROM (SELECT vec_id, i, x FROM chw UNION ALL SELECT vec_id, i, x FROM t) a LEFT JOIN mono m USING (vec_id, i)""")
+c AS (SELECT vec_id, (2 - ch)::BIGINT AS plane, i, v / 127.5e0 - 1e0 AS x FROM bgr),
+m AS (SELECT vec_id, sum(x) / 3e0 * (i + 1) AS m FROM c GROUP BY vec_id, i),
+s AS (SELECT vec_id, sum(m) AS m FROM m GROUP BY 1)
+SELECT vec_id, plane, round(sum(x * (i + 1)), 5) + 0e0 AS x, round(any_value(s.m), 5) + 0e0 AS mean3 FROM c JOIN s USING (vec_id) GROUP BY 1, 2
+UNION ALL SELECT vec_id, 3, round((label / 10e0 - 0.5e0) * 2080, 5) + 0e0, 0e0 FROM frames""")
 def condition_plane(spark, sf):
+    """One row per plane: three colour planes and the condition, beside the replicated mean."""
     f = frames(spark, sf).withColumn("chw", interleaved_to_planes(colour("px"), *EIGHT))
     f = f.withColumn("x", color.with_plane("chw", F.col("label") / 10.0 - 0.5, F.lit(SIDE * SIDE)))
     f = f.withColumn("m", color.replicate(color.plane_mean("chw", *EIGHT), 3))
-    rows = pixels(f, F.arrays_zip("x", "m"), "vec_id", value="z")
-    return rows.select("vec_id", "i", r6("z.x").alias("x"), r6(F.coalesce("z.m", F.lit(-9.0))).alias("mean3"))
+    rows = pixels(f, F.arrays_zip("x", "m"), "vec_id", value="z").select("vec_id", "i", "z.*")
+    area = SIDE * SIDE
+    sums = rows.groupBy("vec_id", F.floor(F.col("i") / area).alias("plane")).agg(
+        F.sum(_pinned("x", F.col("i") % area)).alias("x"), F.coalesce(F.sum(_pinned("m", F.col("i") % area)), F.lit(0.0)).alias("m")
+    )
+    return sums.select("vec_id", "plane", (F.round("x", 5) + 0.0).alias("x"), (F.round("m", 5) + 0.0).alias("mean3"))
 
 
 # -- names ----------------------------------------------------------------
