@@ -12,7 +12,7 @@ from framepair.session import materialise, staging_path, staging_root
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-__all__ = ["ORACLES", "QUERIES", "lower_ascii", "materialise", "query", "staging_path", "staging_root", "table", "unused"]
+__all__ = ["ORACLES", "QUERIES", "lower_ascii", "materialise", "query", "staging_path", "splittable", "staging_root", "table", "unused"]
 
 
 def query(name: str, sql: str | None = None):
@@ -39,6 +39,16 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def splittable(summary: DataFrame, key: str, always: Column) -> DataFrame:
+    """``summary`` (one row a key) for a join whose other side may hold a hot ``key``.
+
+    Adaptive execution splits a skewed join only if both sides come straight
+    from a shuffle. An aggregate by the join key would be joined without one, so
+    the key is hidden behind a condition that always holds.
+    """
+    return summary.withColumn(key, F.when(always, F.col(key)))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have (names compare without case)."""
     taken, out = {c.lower() for c in df.columns}, []

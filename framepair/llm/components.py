@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framepair.llm.common import materialise
+from framepair.llm.common import materialise, splittable
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = splittable(least, "u", F.col("m").isNotNull())
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Ties a node and its smaller neighbours to the least of them. Expects u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    near = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = edges.join(splittable(least, "u", F.col("m").isNotNull()), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

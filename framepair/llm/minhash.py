@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import materialise, query, table
+from framepair.llm.common import materialise, query, splittable, table
 from framepair.llm.components import components
 from framepair.llm.rules import UPPER
 from framepair.llm.textnum import NOT_SPACE, U64, Texts, first_of_windows, mix, pieces, window_hashes
@@ -206,7 +206,7 @@ def neighbours(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Spanning edges of the verified links inside the neighbourhoods ``placed (node, place)``."""
-    sizes = placed.groupBy("place").agg(F.count(F.lit(1)).alias("size"))
+    sizes = splittable(placed.groupBy("place").agg(F.count(F.lit(1)).alias("size")), "place", F.col("size") > 0)
     cells = in_cells(placed.join(sizes, "place"), "place", "size")
     cells = cells.join(nodes.select("node", "n", "signature"), "node").join(sets, "node")
 
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     nodes = materialise(nodes, "nodes")
     bands = band_rows(nodes)
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    members = materialise(bands.join(buckets.where(F.col("size") > 1), "bucket"), "members")
+    members = materialise(bands.join(splittable(buckets.where(F.col("size") > 1), "bucket", F.col("size") > 1), "bucket"), "members")
 
     tied = components(neighbours(members, nodes))
     placed = tied.select(F.col("u").alias("node"), F.col("v").alias("place"))
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     labels = found.select(F.col("u").alias("node"), F.col("v").alias("label"))
     known = some.select("key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("key").alias("component_id"))
-    known = known.join(least, "label").select("key", "n", "component_id")
+    known = known.join(splittable(least, "label", F.octet_length("label") > 0), "label").select("key", "n", "component_id")
     alone = rows.where(F.col("node").isNull()).select("key", "n", F.col("key").alias("component_id"))
     done = known.unionByName(alone)
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

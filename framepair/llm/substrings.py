@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import materialise, query, table, unused
+from framepair.llm.common import materialise, query, splittable, table, unused
 from framepair.llm.rules import ddl
 from framepair.llm.suffixes import cover_ranks, laid_out, leading_words, sort_suffixes
 from framepair.llm.textnum import BASE, INVERSE, PIECE, U64, Texts, byte_codes, mix, pieces, powers
@@ -185,6 +185,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, length: int) -> DataFra
     """The bytes of one example of every wanted context."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "print", "n", "start", "windows")).alias("wanted"))
     texts = with_identity(docs.select(F.col(text).alias("text")), "text")
+    lists = splittable(lists, "k1", F.size("wanted") > 0)
     joined = texts.join(lists.hint("shuffle_hash"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """``(k1, k2, spans)``: byte spans to remove of every text that has any."""
     all_contexts = materialise(find_contexts(docs, text, length, gram), "contexts")
     buckets = all_contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), (F.min("print") != F.max("print")).alias("mixed"))
-    live = materialise(all_contexts.join(buckets.where(F.col("met") > 1).drop("met"), "bucket"), "live")
+    live = materialise(all_contexts.join(splittable(buckets.where(F.col("met") > 1), "bucket", F.col("met") > 1).drop("met"), "bucket"), "live")
 
     mixed = live.where("mixed").groupBy("bucket", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("one"))
     mixed = mixed.select("bucket", "print", "n", "one.*")
@@ -248,6 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     names = unused(docs, "removed_spans", "n_bytes", "n_removed", "kept_bytes")
     old = docs.columns
     texts = with_identity(docs, text)
+    spans = splittable(spans, "k1", F.size("spans") > 0)
     joined = texts.join(spans.withColumnsRenamed({"k1": "_s1", "k2": "_s2", "spans": "_spans"}), (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in old], "_spans")
     spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import lower_ascii, query, table, unused
+from framepair.llm.common import lower_ascii, query, splittable, table, unused
 
 MAX_BLOCKS = 1 << 18
 KEYS_PER_BLOCK = 20  # about 13 bits a key
@@ -115,7 +115,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (),
     rule, by_rule = rule_of(F.col(h), F.col(p), rules)
     seen = may_be_listed(seen.withColumns({r: rule, verdict: by_rule}), c, bloom, blocks, possible)
     clear = seen.where(~F.col(possible)).withColumn(on_list, F.lit(False))
-    hits = seen.where(F.col(possible)).join(distinct, F.col(f"`{c}`") == F.col("_url"), "left")
+    hits = seen.where(F.col(possible)).join(splittable(distinct, "_url", F.length("_url") >= 0), F.col(f"`{c}`") == F.col("_url"), "left")
     hits = hits.withColumn(on_list, F.col("_url").isNotNull()).drop("_url")
     method = F.when(F.col(on_list), "block").otherwise("allow")
     return clear.unionByName(hits).withColumn(verdict, F.coalesce(F.col(verdict), method))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import materialise, query, staging_path, table
+from framepair.llm.common import materialise, query, splittable, staging_path, table
 
 FILE_BYTES = 16 << 20  # payload bytes after which a new file is begun
 RANGE_ROWS = 20_000  # captures a merge task holds
@@ -94,7 +94,7 @@ def assign(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     seen = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("sha1"))
     light = seen.select("page_id", "sha1", F.octet_length(payload).alias("size"))
     first = light.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    known = light.join(first, "sha1")
+    known = light.join(splittable(first, "sha1", F.col("first").isNotNull()), "sha1")
     later = known.where((F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     later = later.select(F.col("page_id").alias("_p"), F.col("sha1").alias("_s"), F.col("first").alias("refers_to")).distinct()
     return seen.join(later, seen["page_id"].eqNullSafe(F.col("_p")) & (seen["sha1"] == F.col("_s")), "left").drop("_p", "_s")
