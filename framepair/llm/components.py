@@ -33,12 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
-    # Done once no least node has a smaller neighbour, that is, all edges form stars.
-    while not edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() or not stars(edges):
+    while not stars(edges):
         edges = materialise(small_star(large_star(edges)), "edges")
     return edges
 
 
 def stars(edges: DataFrame) -> bool:
-    """Whether every node has one edge at most towards a smaller node."""
-    return edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()
+    """Whether every node has one edge at most towards a smaller node, which has none itself."""
+    up = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    centres = edges.select(F.col("v").alias("u")).distinct()
+    return up.join(centres.withColumn("c", F.lit(True)), "u", "left").where((F.col("n") > 1) | F.col("c")).isEmpty()
