@@ -23,6 +23,7 @@ cut before a space that a non-space follows without changing any id.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -33,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import query, table
+from framepair.llm.common import query, table, unused
 from framepair.llm.textnum import pieces
 
 END = 0
-STORE = 200_000  # words whose ids a worker keeps
+STORE = 300_000  # words whose ids a worker keeps
 WINDOW = 64  # pieces that wait for a bin
 
 
@@ -48,6 +49,10 @@ class Limits:
     loss: int = 1024
 
 
+# A space that a space-like character or the end follows.
+DOUBLE_SPACE = re.compile(r" (?:\s|\Z)")
+
+
 class Encoder:
     """Byte-level BPE by the ranks file; ids equal those of the JSON file of the same vocabulary."""
 
@@ -57,19 +62,24 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("piece", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.store: dict[str, list[int]] = {}
+        self.store: dict[str, list[int]] = {}  # word -> ids of a space and the word
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
         store, encode = self.store, self.core.encode_ordinary
-        for chunk in chunks(text):
-            ids = store.get(chunk)
+        if not DOUBLE_SPACE.search(text):
+            first, *words = text.split(" ")
+        else:
+            first, *rest = chunks(text)
+            words = [c[1:] for c in rest]
+        out = encode(first)
+        for word in words:
+            ids = store.get(word)
             if ids is None:
                 if len(store) >= STORE:
                     store.clear()
-                ids = encode(chunk)
-                if len(chunk) <= 64:
-                    store[chunk] = ids
+                ids = encode(" " + word)
+                if len(word) <= 64:
+                    store[word] = ids
             out += ids
         return out
 
@@ -232,7 +242,7 @@ def pack(texts: Iterator[tuple[int, int, int]], limits: Limits = Limits(), may_c
     yield from ready(0)
 
 
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long, seq_tokens long"
+PIECES = ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset", "seq_tokens")
 
 
 def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] = ("doc_id",), text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -242,8 +252,9 @@ def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] =
     held until their last piece is placed: at most ``WINDOW`` pieces.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{fields}, {PIECES}"
-    names = [*keep, "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset", "seq_tokens"]
+    made = unused(docs.select(*keep), *PIECES)
+    schema = ", ".join([fields, *[f"`{n}` long" for n in made]])
+    names = [*keep, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)
