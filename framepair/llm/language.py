@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import query, table
+from framepair.llm.common import query, table, unused
 from framepair.llm.rules import LETTER, UPPER, ddl
 from framepair.llm.textnum import U64, Texts, mix, pieces
 
@@ -243,6 +243,7 @@ def learn(docs: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_RO
 def predict(docs: DataFrame, model: tuple[Weights, list[str]] | None, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``lang_pred`` and ``score``."""
     rest = [c for c in docs.columns if c != text]
+    made = unused(docs.select(*rest), "lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +262,9 @@ def predict(docs: DataFrame, model: tuple[Weights, list[str]] | None, text: str
                     names[at] = np.array(langs, object)[best]
                     score[at] = np.clip(sums[at, best] / n[at], 0, 1)
                 kept = [part.column(c) for c in rest]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score)], names=[*rest, *made])
 
-    return docs.mapInArrow(run, ", ".join(x for x in (ddl(docs.select(*rest)), "lang_pred string, score double") if x))
+    return docs.mapInArrow(run, ", ".join(x for x in (ddl(docs.select(*rest)), f"`{made[0]}` string, `{made[1]}` double") if x))
 
 
 @query("op9_language_id")

@@ -101,9 +101,9 @@ def spread(t: Texts, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]
             yield row + i, bucket, prints, start + lo, windows, left
 
 
-def with_identity(docs: DataFrame, text: str) -> DataFrame:
+def with_identity(docs: DataFrame, text: str, names: tuple[str, str] = ("_k1", "_k2")) -> DataFrame:
     c = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_k1": F.xxhash64(c), "_k2": F.xxhash64(F.lit(LENGTH), c, F.length(c))})
+    return docs.withColumns({names[0]: F.xxhash64(c), names[1]: F.xxhash64(F.lit(LENGTH), c, F.length(c))})
 
 
 def find_contexts(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
@@ -248,17 +248,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     spans = repeated_spans(docs, text, length, gram, hot)
     names = unused(docs, "removed_spans", "n_bytes", "n_removed", "kept_bytes")
     old = docs.columns
-    texts = with_identity(docs, text)
+    k1, k2, s1, s2, found_spans = unused(docs, "_k1", "_k2", "_s1", "_s2", "_spans")
+    texts = with_identity(docs, text, (k1, k2))
     spans = splittable(spans, "k1", F.size("spans") > 0)
-    joined = texts.join(spans.withColumnsRenamed({"k1": "_s1", "k2": "_s2", "spans": "_spans"}), (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in old], "_spans")
+    joined = texts.join(spans.withColumnsRenamed({"k1": s1, "k2": s2, "spans": found_spans}), (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in old], found_spans)
     spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, t in pieces(batch, text):
                 cuts, size, gone, kept = [], np.diff(t.off), [], []
-                for i, found in enumerate(part.column("_spans").to_pylist()):
+                for i, found in enumerate(part.column(found_spans).to_pylist()):
                     runs = merged(found)
                     raw = t.data[t.off[i] : t.off[i + 1]].tobytes()
                     bounds = [0, *[x for r in runs for x in r], len(raw)]

@@ -92,12 +92,13 @@ def blocks_for(keys: int) -> int:
 
 def may_be_listed(df: DataFrame, key: str, bloom: DataFrame, blocks: int, name: str) -> DataFrame:
     """``df`` with boolean ``name``: false only if ``key`` is certainly not listed."""
-    small = F.broadcast(bloom.select(F.col("block").alias("_block"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(8)]))
-    joined = df.join(small, block_of(F.col(f"`{key}`"), blocks) == F.col("_block"), "left")
-    test = F.col("_block").isNotNull() & F.col(f"`{key}`").isNotNull()
-    for i in range(8):
-        test = test & (F.col(f"_w{i}").bitwiseAND(bit_of(F.col(f"`{key}`"), i)) != 0)
-    return joined.withColumn(name, F.coalesce(test, F.lit(False))).drop("_block", *[f"_w{i}" for i in range(8)])
+    block, *words = unused(df, "_block", *[f"_w{i}" for i in range(8)])
+    small = F.broadcast(bloom.select(F.col("block").alias(block), *[F.col(f"w{i}").alias(w) for i, w in enumerate(words)]))
+    joined = df.join(small, block_of(F.col(f"`{key}`"), blocks) == F.col(block), "left")
+    test = F.col(block).isNotNull() & F.col(f"`{key}`").isNotNull()
+    for i, w in enumerate(words):
+        test = test & (F.col(w).bitwiseAND(bit_of(F.col(f"`{key}`"), i)) != 0)
+    return joined.withColumn(name, F.coalesce(test, F.lit(False))).drop(block, *words)
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), url: str = "url") -> DataFrame:
@@ -106,17 +107,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (),
     ``listed`` has one column of canonical URLs, repeated ones allowed. A rule's
     verdict stands; otherwise a listed URL is blocked and any other allowed.
     """
-    names = unused(pages, "host", "path", "canonical", "rule", "possible", "listed", "verdict")
-    h, p, c, r, possible, on_list, verdict = names
-    distinct = listed.select(F.col(listed.columns[0]).alias("_url")).where(F.col("_url").isNotNull()).distinct()
+    names = unused(pages, "host", "path", "canonical", "rule", "possible", "listed", "verdict", "_url")
+    h, p, c, r, possible, on_list, verdict, listed_url = names
+    distinct = listed.select(F.col(listed.columns[0]).alias(listed_url)).where(F.col(listed_url).isNotNull()).distinct()
     blocks = blocks_for(distinct.count())
-    bloom = build_filter(distinct, "_url", blocks)
+    bloom = build_filter(distinct, listed_url, blocks)
     seen = pages.withColumns({h: host(F.col(url)), p: path(F.col(url)), c: canonical(F.col(url))})
     rule, by_rule = rule_of(F.col(h), F.col(p), rules)
     seen = may_be_listed(seen.withColumns({r: rule, verdict: by_rule}), c, bloom, blocks, possible)
     clear = seen.where(~F.col(possible)).withColumn(on_list, F.lit(False))
-    hits = seen.where(F.col(possible)).join(splittable(distinct, "_url", F.length("_url") >= 0), F.col(f"`{c}`") == F.col("_url"), "left")
-    hits = hits.withColumn(on_list, F.col("_url").isNotNull()).drop("_url")
+    hits = seen.where(F.col(possible)).join(splittable(distinct, listed_url, F.length(listed_url) >= 0), F.col(f"`{c}`") == F.col(listed_url), "left")
+    hits = hits.withColumn(on_list, F.col(listed_url).isNotNull()).drop(listed_url)
     method = F.when(F.col(on_list), "block").otherwise("allow")
     return clear.unionByName(hits).withColumn(verdict, F.coalesce(F.col(verdict), method))
 
