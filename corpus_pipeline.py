@@ -20,10 +20,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, by shingles of five words at 0.8."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One row of each group: that with the smallest id, by shingles of five words at 0.8.
+
+    A row is known by 128 bits of all its values, so an id may be null or shared. Rows that
+    are equal in every value are one row met several times, of which one stays.
+    """
+    row = [F.lit(0), *[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]]
+    prints = [F.xxhash64(*row), F.xxhash64(F.lit(1), *reversed(row))]
+    # Fields compare in order: a null id is never the least of a group that has another.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), prints[0].alias("k1"), prints[1].alias("k2"))
+    found = minhash.near_duplicates(docs.select(key.alias("row"), "text"), key="row")
+    # Rows without shingles (no text) are linked with nothing, not even with one another.
+    met = found.where("n_shingles > 0").groupBy("row.k1", "row.k2").agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_met"))
+    marks = materialise(met.where("not _kept or _met > 1").withColumnsRenamed({"k1": "_m1", "k2": "_m2"}), "marks")
+    k1, k2 = "_k1", "_k2"
+    rows = docs.withColumns({k1: prints[0], k2: prints[1]})
+    same = (F.col(k1) == F.col("_m1")) & (F.col(k2) == F.col("_m2"))
+    kept = rows.join(marks, same, "left_anti").select(*docs.columns)
+    again = marks.where("_kept")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(again, same, "left_semi").dropDuplicates([k1, k2]).select(*docs.columns))
+    return kept
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
