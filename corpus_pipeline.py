@@ -44,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that also start elsewhere; ``n_chars`` follows."""
-    kept = substrings.remove_repeats(docs, as_text=True)
+    """Texts without passages of over 50 words or strings of 400 bytes that also start elsewhere; ``n_chars`` follows."""
+    kept = substrings.remove_repeats(docs, as_text=True, words=51)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

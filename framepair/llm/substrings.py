@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framepair.llm.common import materialise, query, splittable, table, unused
+from framepair.llm.passages import passage_spans, words_of
 from framepair.llm.rules import ddl
 from framepair.llm.suffixes import cover_ranks, laid_out, leading_words, sort_suffixes
 from framepair.llm.textnum import BASE, INVERSE, PIECE, U64, Texts, byte_codes, mix, pieces, powers
@@ -239,28 +240,47 @@ def merged(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
+def in_bytes(t: Texts, passages: list[list[dict[str, int]] | None]) -> list[list[dict[str, int]]]:
+    """The byte spans of each text's word spans."""
+    if not any(passages):
+        return [[]] * t.n
+    starts, ends, _, first = words_of(t)
+    return [[{"lo": int(starts[first[i] + s["lo"]] - t.off[i]), "hi": int(ends[first[i] + s["hi"] - 1] - t.off[i])} for s in some or []] for i, some in enumerate(passages)]
+
+
+def remove_repeats(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False, words: int | None = None
+) -> DataFrame:
     """``docs`` with ``removed_spans`` (maximal byte runs), ``n_bytes, n_removed`` and ``kept_bytes``.
 
+    With ``words``, passages of that many words that are met more than once go as well, however short (``passages.py``).
+
     With ``as_text`` the text itself is replaced by what is kept (a character of
     which only some bytes are left goes) and only ``n_bytes, n_removed`` are added.
     """
     spans = repeated_spans(docs, text, length, gram, hot)
+    if words:
+        more = passage_spans(with_identity(docs.select(F.col(text).alias("text")), "text"), words)
+        spans = spans.join(more, ["k1", "k2"], "full")
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
     names = unused(docs, "removed_spans", "n_bytes", "n_removed", "kept_bytes")
     old = docs.columns
-    k1, k2, s1, s2, found_spans = unused(docs, "_k1", "_k2", "_s1", "_s2", "_spans")
+    k1, k2, s1, s2, found_spans, found_passages = unused(docs, "_k1", "_k2", "_s1", "_s2", "_spans", "_passages")
     texts = with_identity(docs, text, (k1, k2))
-    spans = splittable(spans, "k1", F.size("spans") > 0)
-    joined = texts.join(spans.withColumnsRenamed({"k1": s1, "k2": s2, "spans": found_spans}), (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in old], found_spans)
+    spans = splittable(spans, "k1", F.size(F.coalesce("spans", "passages")) > 0)
+    renamed = spans.withColumnsRenamed({"k1": s1, "k2": s2, "spans": found_spans, "passages": found_passages})
+    joined = texts.join(renamed, (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in old], found_spans, found_passages)
     spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, t in pieces(batch, text):
                 cuts, size, gone, kept = [], np.diff(t.off), [], []
+                also = in_bytes(t, part.column(found_passages).to_pylist())
                 for i, found in enumerate(part.column(found_spans).to_pylist()):
-                    runs = merged(found)
+                    runs = merged(sorted([*(found or []), *also[i]], key=lambda s: s["lo"]))
                     raw = t.data[t.off[i] : t.off[i + 1]].tobytes()
                     bounds = [0, *[x for r in runs for x in r], len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
