@@ -4,7 +4,7 @@ import importlib
 
 from framepair.llm.common import ORACLES, QUERIES
 
-MODULES = ("urls", "decontaminate", "weak", "warc", "rules", "substrings", "minhash", "packing", "language", "chat", "trie", "pieces")
+MODULES = ("urls", "decontaminate", "weak", "warc", "rules", "substrings", "minhash", "packing", "language", "chat", "trie", "pieces", "whitening")
 
 for _name in MODULES:
     importlib.import_module(f"framepair.llm.{_name}")
