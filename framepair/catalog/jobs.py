@@ -8,11 +8,14 @@ from framepair.catalog.base import (
     ABS16, BGR, FRAMES, PIX, REL8, colour, frames, name_of, pick_sql, pixels, query, r6, uniform_sql, with_size,
 )
 from framepair.catalog.joins import FOLDERS, TREE, _NORTH, tree
+from framepair.functions import kernels
+from framepair.functions import pixels as px_ops
+from framepair.operators import align
 from framepair.operators.ordered import dense_index
 from framepair.plans import register as registration
 from framepair.plans import samples, sessions, translate, unpaired
 from framepair.plans.translate import LinearModel
-from framepair.session import staging_path
+from framepair.session import materialise, staging_path
 from framepair.sources import sinks, tables
 
 
@@ -75,15 +78,37 @@ def registration_rejects(spark, sf):
     return both.groupBy("rec_id", "outcome").agg(F.count(F.lit(1)).alias("frames"))
 
 
-@query("registration_by_search", f"""WITH {FRAMES} SELECT label AS rec_id, 'search' AS mode, true AS scored, count(*) AS frames, 8 AS width FROM frames GROUP BY 1""")
+SCENE, SEEN_H, SEEN_W = 240, 96, 128
+_ZOOM = "CASE label % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 1.25e0 ELSE 0.8e0 END"
+
+
+@query("registration_by_search", f"""WITH {FRAMES}
+SELECT label AS rec_id, 'search' AS mode, {_ZOOM} AS scale, 63 + 24 * (label % 3 - 1) AS x, 47 + 16 * (label // 3 % 4) - 24 AS y,
+  true AS square, NULL::VARCHAR AS reason, count(*) AS frames, {SEEN_W} AS width FROM frames GROUP BY ALL""")
 def registration_by_search(spark, sf):
-    rgb, ir = _recordings(spark, sf)
-    rec = registration.calibration_records(
-        _positions(rgb), _positions(ir), "search", calib_frames=(0, 3, 10_000), candidates=[(1.0, dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    """Frames of two cameras on one scene, which session by session differ in zoom and by up to a quarter frame in place.
+
+    ``scale`` and where the colour frame's centre lands, in whole pixels, are read off the ``H`` that is found.
+    """
+    f = frames(spark, sf).withColumn("name", name_of())
+    zoom = F.element_at(F.array(F.lit(1.0), F.lit(1.25), F.lit(0.8)), (F.col("label") % 3 + 1).cast("int"))
+    f = f.withColumns({"side": (zoom * SCENE).cast("int"), "dx": 24 * (F.col("label") % 3 - 1), "dy": 16 * (F.floor(F.col("label") / 3) % 4) - 24})
+    middle = F.col("side") / 2
+    view = lambda size, at: px_ops.crop(kernels.resize("px", 8, 8, size, size, precision="double"), size, size, *at, SEEN_W, SEEN_H)
+    rows = lambda px, m: f.select("label", "name", F.col("vec_id").alias("idx"), F.lit(SEEN_H).alias("height"), F.lit(SEEN_W).alias("width"), F.lit(1).alias("channels"), px.alias("px")).withColumnRenamed("label", "rec_id")
+    rgb = rows(view(F.lit(SCENE), (F.lit((SCENE - SEEN_W) // 2), F.lit((SCENE - SEEN_H) // 2))), "rgb")
+    ir = rows(view(F.col("side"), ((middle - SEEN_W // 2 - F.col("dx")).cast("int"), (middle - SEEN_H // 2 - F.col("dy")).cast("int"))), "ir")
+    placed = align.align_recordings(registration.calibration_pairs(_positions(rgb), _positions(ir), (0, 3, 10_000)), ["rec_id"])
+    rec = registration.calibration_records(rgb, ir, "search", placements=materialise(placed, "placements"))
+    n = f.groupBy("label").agg(F.count(F.lit(1)).alias("frames")).withColumnRenamed("label", "rec_id")
+    h = F.col("H")
+    centre = lambda i: F.floor(h[i][0] * ((SEEN_W - 1) / 2) + h[i][1] * ((SEEN_H - 1) / 2) + h[i][2])
+    square = (F.abs(h[0][0] - h[1][1]) < 0.02) & (F.abs(h[0][1]) < 0.02) & (F.abs(h[1][0]) < 0.02)
+    out = rec.join(placed.select("rec_id", "reason"), "rec_id").join(n, "rec_id")
+    return out.select(
+        "rec_id", "mode", (F.round(h[0][0] * 20) / 20).alias("scale"), centre(0).alias("x"), centre(1).alias("y"), square.alias("square"), "reason", "frames",
+        F.col("thermal_size")[0].cast("bigint").alias("width"),
     )
-    n = ir.groupBy("rec_id").agg(F.count(F.lit(1)).alias("frames"))
-    ok = F.col("ecc_cc").between(-1.0, 1.0001) & F.col("H").isNotNull()
-    return rec.join(n, "rec_id").select("rec_id", "mode", ok.alias("scored"), "frames", F.col("thermal_size")[0].cast("bigint").alias("width"))
 
 
 def _positions(f):

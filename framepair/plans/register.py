@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from framepair.functions import kernels, pixels
 from framepair.functions.color import luma
 from framepair.functions.geometry import auto_crop, letterbox
-from framepair.operators import calibrate, pairing, split
+from framepair.functions.alignment import Search
+from framepair.operators import align, calibrate, pairing, split
 from framepair.operators.lookup import lookup
 from framepair.session import materialise
 
@@ -33,11 +34,14 @@ def calibration_records(
     candidates: list[tuple[float, float, float]] | None = None,
     crop: Sequence[int] | None = None,
     crop_auto: bool = False,
+    search: Search = Search(),
+    placements: DataFrame | None = None,
 ) -> DataFrame:
     """One record per recording: ``mode, H, ecc_cc, crop, thermal_size, rgb_size``.
 
     Inputs are frame tables with ``rec_id, name, idx, height, width`` (and
-    pixels for the search mode).
+    pixels for the search mode). The search mode finds an affine placement (``operators/align.py``) inside
+    the limits of ``search``, or takes ``placements`` already found; with ``candidates`` it compares just these.
     """
     by = ["rec_id"]
     first = lambda df, m: pairing.size_at_first(df, by).select(*by, F.col("height").alias(f"{m}_h"), F.col("width").alias(f"{m}_w"))
@@ -48,10 +52,13 @@ def calibration_records(
         if points is None:
             raise ValueError("manual mode needs point correspondences")
         found = calibrate.fit_homography(points, by).withColumn("ecc_cc", F.lit(None).cast("double"))
-    elif mode == "search":
-        grid = candidates or calibrate.candidate_grid([-4, -3, -2, -1, 0, 1, 2, 3, 4], [1.0])
+    elif mode == "search" and candidates:
         pairs = calibration_pairs(rgb, ir, calib_frames)
-        found = calibrate.search_alignment(pairs, by, grid).select("rec_id", "H", F.col("cc").alias("ecc_cc"))
+        found = calibrate.search_alignment(pairs, by, candidates).select("rec_id", "H", F.col("cc").alias("ecc_cc"))
+    elif mode == "search":
+        if placements is None:
+            placements = align.align_recordings(calibration_pairs(rgb, ir, calib_frames), by, search)
+        found = placements.where(F.col("H").isNotNull()).select("rec_id", "H", F.col("cc").alias("ecc_cc"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     box = F.lit(None).cast("array<int>")
@@ -93,6 +100,10 @@ def register(
     # Names and positions only, read three times below.
     placed = materialise(split.chunk_split(common, ["rec_id"], ["name"], val_frac, chunk), "placed")
     re_idx = lambda df: df.drop("idx").join(placed.select(*keys, "idx"), keys)
+    if mode == "search" and not calibration.get("candidates"):
+        chosen = calibration_pairs(re_idx(rgb), re_idx(ir), calibration.get("calib_frames", (0,)))
+        found = align.align_recordings(chosen, ["rec_id"], calibration.get("search", Search()))
+        calibration["placements"] = materialise(found, "placements")
     records = calibration_records(re_idx(rgb), re_idx(ir), mode, **calibration)
     meta = lookup(placed, records.select("rec_id", "H", "crop"), ["rec_id"], ["name"])
     a = rgb.select(*keys, F.col("px").alias("_a"), F.col("height").alias("_ah"), F.col("width").alias("_aw"))
@@ -109,16 +120,19 @@ def register(
         *keys, "idx", "chunk_id", "split", cut("_w").alias("rgb_px"), cut("_b").alias("ir_px"),
         h.alias("height"), w.alias("width"),
     )
-    return Registration(aligned, records, rejected(placed, records, mode, calibration.get("points")))
+    return Registration(aligned, records, rejected(placed, records, mode, calibration.get("points"), calibration.get("placements")))
 
 
 FAILED = {"identity": "no frame size", "manual": "no solvable sample", "search": "no placement correlates"}
 
 
-def rejected(placed: DataFrame, records: DataFrame, mode: str, points: DataFrame | None) -> DataFrame:
+def rejected(placed: DataFrame, records: DataFrame, mode: str, points: DataFrame | None, placements: DataFrame | None = None) -> DataFrame:
     """Frames whose recording has no calibration record, with the reason."""
     usable = records.where(F.col("H").isNotNull()).select(F.col("rec_id").alias("_rec"))
     left = placed.join(usable, F.col("rec_id") == F.col("_rec"), "left_anti").select("rec_id", "name", "idx")
+    if placements is not None:
+        found = lookup(left, placements.select("rec_id", "reason"), ["rec_id"], ["name"], "left")
+        return found.select("rec_id", "name", "idx", F.coalesce("reason", F.lit(FAILED[mode])).alias("reason"))
     if mode != "manual":
         return left.withColumn("reason", F.lit(FAILED[mode]))
     given = points.groupBy("rec_id").agg(F.count(F.lit(1)).alias("_n"))
