@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framepair.catalog.base import BGR, REL8, colour, frames, micros, query, r6, table, with_size
 from framepair.catalog.jobs import SINGLE
-from framepair.catalog.timing import HOUR, SPEC, _sync_sql, stream
+from framepair.catalog.timing import _EXTRACT, HOUR, QUOTA, SPEC, _sync_sql, stream
 from framepair.session import materialise, staging_path
 from framepair.streaming import pairing, runs
 
@@ -18,10 +18,10 @@ def _staged(spark, df, tag):
     return runs.frame_stream(spark, path, df.schema)
 
 
-def _with_end(df):
+def _with_end(df, *levels):
     """A closing row far ahead moves the watermark past every open sample."""
     end = df.agg((F.max("t_us") + 90 * 24 * HOUR).alias("t_us"))
-    closing = end.select(F.lit(None).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("id"), "t_us")
+    closing = end.select(F.lit(None).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("id"), "t_us", *[F.lit(0.0).alias(c) for c in levels])
     return df.unionByName(closing)
 
 
@@ -42,13 +42,29 @@ def streamed_resampling(spark, sf):
     return out.where("user_id is not null").select("user_id", "k", "id", "frame_t")
 
 
+DAY = 24 * HOUR
+
+
 @query("streamed_static_frames", """
-WITH s AS (SELECT user_id, event_id AS k, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events)
-SELECT user_id, k, round(value, 6) AS level, coalesce(abs(d) < 5e0, false) AS static FROM s""")
+WITH s AS (SELECT user_id, event_id AS id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
+SELECT user_id, id, round(value, 6) AS level, coalesce(abs(d) < 5e0, false) AS static FROM s""")
 def streamed_static_frames(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("k"), F.col("value").alias("level"))
-    out = runs.drain(pairing.mark_static_stream(_staged(spark, e, "levels"), "user_id", 5.0))
-    return out.select("user_id", "k", r6("level").alias("level"), "static")
+    """Frames arrive by id and not by time; they are compared in the order of their times."""
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), micros("ts").alias("t_us"), F.col("value").alias("level"))
+    end = e.agg((F.max("t_us") + 90 * DAY).alias("t_us")).select(F.lit(None).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("id"), "t_us", F.lit(0.0).alias("level"))
+    shuffled = e.unionByName(end).orderBy(F.xxhash64("id"))
+    out = runs.drain(pairing.mark_static_stream(_staged(spark, shuffled, "levels"), ["user_id"], 5.0, "8 hours", 2 * DAY))
+    return out.where("user_id is not null").select("user_id", "id", r6("level").alias("level"), "static")
+
+
+@query("streamed_extraction", f"""WITH {_EXTRACT}
+SELECT user_id, n, lpad(n::VARCHAR, 6, '0') || '.png' AS name, k, t, rgb_id, rgb_t, ir_id, ir_t FROM num WHERE n < {QUOTA.max_pairs}""")
+def streamed_extraction(spark, sf):
+    """Quota, frozen frames and names on a stream: the rows of the batch job."""
+    view, click = (stream(spark, sf, k) for k in ("view", "click"))
+    sides = [_staged(spark, _with_end(view.drop("value")), "view"), _staged(spark, _with_end(click, "value"), "click")]
+    out = runs.drain(pairing.extract_stream(*sides, ["user_id"], QUOTA, "8 hours", level="value", cell_us=2 * DAY))
+    return out.where("user_id is not null")
 
 
 @query("streamed_translation", f"""WITH {BGR},

@@ -9,24 +9,25 @@ the clock jitter between the two sources.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framepair.operators.sync import SyncSpec
+from framepair.streaming import inorder
 
 
-def _offered(frames: DataFrame, by: Sequence[str], spec: SyncSpec, side: int, delay: str) -> DataFrame:
+def _offered(frames: DataFrame, by: Sequence[str], spec: SyncSpec, side: int, delay: str, level: str | None = None) -> DataFrame:
     p, tol, start = float(spec.period_us), spec.tolerance, spec.start_us
     lo = F.greatest(F.ceil((F.col("t_us") - start - tol) / p).cast("bigint"), F.lit(0).cast("bigint"))
     hi = F.floor((F.col("t_us") - start + tol) / p).cast("bigint")
     ks = F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
-    df = frames.select(*by, "id", "t_us", ks.alias("k"))
+    df = frames.select(*by, "id", "t_us", (F.col(level) if level else F.lit(None)).cast("double").alias("level"), ks.alias("k"))
     t = F.lit(start) + F.col("k") * spec.period_us
     df = df.withColumns({"_gap": F.col("t_us") - t, "_m": F.lit(side), "sample_ts": F.timestamp_micros(t)})
-    return df.select(*by, "k", "sample_ts", "_m", "_gap", "t_us", "id").withWatermark("sample_ts", delay)
+    return df.select(*by, "k", "sample_ts", "_m", "_gap", "t_us", "id", "level").withWatermark("sample_ts", delay)
 
 
 def _best(side: int) -> tuple[Column, Column]:
@@ -35,7 +36,7 @@ def _best(side: int) -> tuple[Column, Column]:
     As in the batch form, frames with one time give the smallest id after a
     sample and the largest before it.
     """
-    mine = lambda when: F.when((F.col("_m") == side) & when, F.struct("_gap", "t_us", "id"))
+    mine = lambda when: F.when((F.col("_m") == side) & when, F.struct("_gap", "t_us", "id", "level"))
     return F.min(mine(F.col("_gap") >= 0)).alias(f"_a{side}"), F.max(mine(F.col("_gap") < 0)).alias(f"_b{side}")
 
 
@@ -57,14 +58,20 @@ def pair_streams(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpe
     ``t_us`` is time since the epoch. Watermarks are set per stream, so the
     slower stream decides when a sample is complete.
     """
+    if spec.max_pairs or spec.static_below is not None:
+        raise ValueError("a quota or a static filter needs extract_stream")
+    return _paired(rgb, ir, by, spec, delay, None).drop("sample_ts", "level")
+
+
+def _paired(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str, level: str | None) -> DataFrame:
     ir = ir.withColumn("t_us", F.col("t_us") - spec.offset_us)
-    both = _offered(rgb, by, spec, 0, delay).unionByName(_offered(ir, by, spec, 1, delay))
+    both = _offered(rgb, by, spec, 0, delay).unionByName(_offered(ir, by, spec, 1, delay, level))
     best = both.groupBy(*by, "sample_ts", "k").agg(*_best(0), *_best(1))
     best = best.withColumns({"_r": _nearer(0, spec), "_i": _nearer(1, spec)}).where(F.col("_r").isNotNull() & F.col("_i").isNotNull())
     return best.select(
-        *by, "k", F.unix_micros("sample_ts").alias("t"),
+        *by, "k", "sample_ts", F.unix_micros("sample_ts").alias("t"),
         F.col("_r.id").alias("rgb_id"), F.col("_r.t_us").alias("rgb_t"),
-        F.col("_i.id").alias("ir_id"), F.col("_i.t_us").alias("ir_t"),
+        F.col("_i.id").alias("ir_id"), F.col("_i.t_us").alias("ir_t"), F.col("_i.level").alias("level"),
     )
 
 
@@ -75,22 +82,51 @@ def resample(frames: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str) -
     return best.select(*by, "k", F.unix_micros("sample_ts").alias("t"), F.col("_f.id").alias("id"), F.col("_f.t_us").alias("frame_t"))
 
 
-def mark_static_stream(samples: DataFrame, key: str, below: float) -> DataFrame:
-    """Flags samples whose ``level`` barely moved, remembering one level per recording.
+CELL_US = 60_000_000
+
 
-    Input ``key BIGINT, k BIGINT, level DOUBLE`` must arrive in order of ``k``
-    between triggers; a trigger's own rows are sorted here. Memory per
-    recording is one trigger's rows, so bound the trigger at the source.
+def mark_static_stream(frames: DataFrame, by: Sequence[str], below: float, delay: str, cell_us: int = CELL_US) -> DataFrame:
+    """Flags frames whose ``level`` barely moved since the recording's frame before.
+
+    ``frames``: ``by, id BIGINT, t_us BIGINT, level DOUBLE``, in any order inside ``delay``; equal times
+    are ordered by id. A recording's first frame is never static; a NULL level compares with nothing.
     """
 
-    def step(k: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values("k")
-        last = state.get[0] if state.exists else float("nan")
-        moved = (rows["level"] - rows["level"].shift(fill_value=last)).abs()
-        state.update((float(rows["level"].iloc[-1]),))
-        # The first sample compares with NaN, which is never below anything.
-        yield rows.assign(static=(moved < below))[[key, "k", "level", "static"]]
+    def fold(rows: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        level = rows["level"].astype(float)
+        before = level.shift(fill_value=float("nan") if last is None or last[0] is None else last[0])
+        return rows.assign(static=(level - before).abs() < below), (float(level.iloc[-1]),)
 
-    return samples.select(F.col(key).cast("bigint").alias(key), "k", "level").groupBy(key).applyInPandasWithState(
-        step, f"{key} BIGINT, k BIGINT, level DOUBLE, static BOOLEAN", "last DOUBLE", "append", "NoTimeout"
-    )
+    frames = frames.select(*by, F.col("id").cast("bigint").alias("id"), F.col("t_us").cast("bigint").alias("t_us"), F.col("level").cast("double").alias("level"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in frames.schema]
+    rows = inorder.with_watermark(frames, "t_us", delay)
+    return inorder.fold_in_order(rows, by, ["t_us", "id"], fold, "level double", ", ".join([*fields, "static boolean"]), cell_us)
+
+
+def extract_stream(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: SyncSpec, delay: str, level: str | None = None, cell_us: int = CELL_US) -> DataFrame:
+    """Streaming twin of ``plans.extract.extract_pairs``: numbered pairs up to the quota, without frozen frames.
+
+    ``level`` names a number of each infrared frame by which frozen frames are known. Pairs come
+    out when the watermark has passed their cell of ``cell_us``; numbers and names equal those of the batch form.
+    """
+    by = list(by)
+    if spec.static_below is not None and not level:
+        raise ValueError("the static filter needs a level")
+    below, quota = spec.static_below, spec.max_pairs
+
+    def fold(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        n, last = state if state is not None else (0, None)
+        values = rows["level"].astype(float)
+        before = values.shift(fill_value=float("nan") if last is None else last)
+        kept = rows if below is None else rows[~((values - before).abs() < below)]
+        kept = kept.assign(n=range(n, n + len(kept)))
+        n, last = n + len(kept), float(values.iloc[-1])
+        if quota:
+            kept = kept[kept["n"] < quota]
+        return kept.assign(name=[f"{i:06d}.png" for i in kept["n"]]), (n, last)
+
+    pairs = _paired(rgb, ir, by, spec, delay, level)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name not in ("sample_ts", "level")]
+    out = ", ".join([*kinds, "n bigint", "name string"])
+    done = inorder.fold_in_order(pairs, by, ["t", "k"], fold, "n bigint, last double", out, cell_us)
+    return done.select(*by, "n", "name", "k", "t", "rgb_id", "rgb_t", "ir_id", "ir_t")

@@ -11,10 +11,24 @@ from framepair.plans.translate import translate
 from framepair.session import staging_path
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def catch_up(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available, then stop. Progress lives in ``checkpoint``."""
+    """Process everything available, then stop. Progress lives in ``checkpoint``.
+
+    State is kept in RocksDB, which ordered folds need (``inorder.py``) and which does not grow with the heap.
+    """
     sink = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
-    sink.trigger(availableNow=True).start(path).awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKSDB)
+    try:
+        query = sink.trigger(availableNow=True).start(path)
+    finally:
+        conf.unset(STORE) if before is None else conf.set(STORE, before)
+    query.awaitTermination()
 
 
 def drain(stream: DataFrame) -> DataFrame:

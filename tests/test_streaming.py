@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framepair.operators import sync
 from framepair.operators.sync import SyncSpec
+from framepair.plans.extract import extract_pairs
 from framepair.plans.translate import LinearModel
 from framepair.functions.norm import ThermalNorm
 from framepair.streaming import pairing, runs
@@ -58,13 +60,57 @@ def test_equal_times_and_duration_equal_batch(spark, tmp_path):
     assert rows(got) == rows(want.select(*got.columns)) and got.count() == 4
 
 
-def test_static_state_survives_triggers(spark, tmp_path):
-    levels = [1.0, 1.01, 1.02, 9.0, 9.01, 3.0, 3.01, 3.02, 8.0]
-    data = [(r, k, v + r) for k, v in enumerate(levels) for r in (1, 2)]
-    write_in_slices(spark, str(tmp_path / "in"), data, "rec long, k long, level double", 3)
-    s = runs.frame_stream(spark, str(tmp_path / "in"), "rec long, k long, level double", 1)
-    got = runs.drain(pairing.mark_static_stream(s, "rec", 0.05))
-    assert [r.static for r in got.where("rec = 1").orderBy("k").collect()] == [False, True, True, False, True, False, True, True, False]
+LEVELS = [1.0, 1.01, 1.02, 9.0, 9.01, 3.0, 3.01, 3.02, 8.0]
+STATIC = [False, True, True, False, True, False, True, True, False]
+
+
+def test_frozen_frames_are_found_in_event_time(spark, tmp_path):
+    """Rows of two recordings in any order, over several triggers, cells of a few rows."""
+    r = random.Random(1)
+    data = [(rec, k, (1000 + k) * SECOND, v + (rec or 0)) for k, v in enumerate(LEVELS) for rec in (1, 2, None)]
+    r.shuffle(data)
+    data.append((3, 0, 100_000 * SECOND, 0.0))
+    schema = "rec long, id long, t_us long, level double"
+    write_in_slices(spark, str(tmp_path / "in"), data, schema, 3)
+    s = runs.frame_stream(spark, str(tmp_path / "in"), schema, 1)
+    got = runs.drain(pairing.mark_static_stream(s, ["rec"], 0.05, "30 seconds", 2 * SECOND))
+    for rec in (1, 2, None):
+        assert [x.static for x in got.where(F.col("rec").eqNullSafe(rec)).orderBy("id").collect()] == STATIC
+    assert got.count() == 27  # the closing row's cell stays open
+
+
+def test_equal_times_and_missing_levels(spark, tmp_path):
+    schema = "rec long, id long, t_us long, level double"
+    data = [(1, 2, 5 * SECOND, 1.0), (1, 1, 5 * SECOND, 4.0), (1, 3, 6 * SECOND, None), (1, 4, 7 * SECOND, 1.0), (1, 5, 8 * SECOND, 1.0), (2, 0, 10**6 * SECOND, 0.0)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = runs.drain(pairing.mark_static_stream(runs.frame_stream(spark, str(tmp_path / "in"), schema), ["rec"], 0.5, "1 second", 3 * SECOND))
+    assert rows(got, "id", "static") == [(1, False), (2, False), (3, False), (4, False), (5, True)]
+
+
+def test_quota_names_and_static_filter_equal_batch(spark, sliced):
+    root, schema, a, b = sliced
+    spec = SyncSpec(period_us=40 * SECOND, tol_us=30 * SECOND, offset_us=2 * SECOND, max_pairs=7, static_below=0.5)
+    level = (F.col("id") % 3).cast("double")
+    side = lambda n: runs.frame_stream(spark, f"{root}/{n}", schema, 1)
+    got = runs.drain(pairing.extract_stream(side("rgb"), side("ir").withColumn("level", level), ["rec"], spec, "10 minutes", "level", 100 * SECOND)).where("rec = 0")
+    batch = lambda s: spark.createDataFrame([(0, t * SECOND, i) for t, i, _ in s], schema)
+    want = extract_pairs(batch(a), batch(b).withColumn("level", level), ["rec"], spec, level="level").pairs
+    assert rows(got) == rows(want.select(*got.columns)) and got.count() == 7
+    with pytest.raises(ValueError):
+        pairing.pair_streams(side("rgb"), side("ir"), ["rec"], spec, "10 minutes")
+
+
+def test_a_restarted_run_goes_on_counting(spark, tmp_path):
+    """State, numbers and open cells are in the checkpoint."""
+    schema = "rec long, t_us long, id long"
+    spec = SyncSpec(period_us=10 * SECOND, tol_us=4 * SECOND, max_pairs=5, start_us=1000 * SECOND)
+    path = {n: str(tmp_path / n) for n in ("rgb", "ir", "out", "ckpt")}
+    for lo, hi in ((0, 4), (4, 9), (9, 40)):
+        for n in ("rgb", "ir"):
+            spark.createDataFrame([(0, (1000 + 10 * t) * SECOND, t) for t in range(lo, hi)], schema).coalesce(1).write.mode("append").parquet(path[n])
+        side = lambda n: runs.frame_stream(spark, path[n], schema)
+        runs.catch_up(pairing.extract_stream(side("rgb"), side("ir"), ["rec"], spec, "1 second", cell_us=30 * SECOND), path["out"], path["ckpt"])
+    assert rows(spark.read.parquet(path["out"]), "n", "name", "rgb_id") == [(i, f"{i:06d}.png", i) for i in range(5)]
 
 
 def test_folder_translation_resumes(spark, tmp_path):
