@@ -10,8 +10,8 @@ place; the ids are recovered from the end of the text backwards. Time is linear
 the text, also for texts without spaces.
 
 No piece has a space mark behind another character, so nothing is merged across the front of a
-space mark, nor across a character that no piece holds: the table of a text falls into *units* there, and
-units met again in a task are looked up. Characters without a piece become byte pieces.
+space mark, nor across a character that no piece holds, nor between a letter and another character if no piece has
+both: the table of a text falls into *units* there, and units met again in a task are looked up. Characters without a piece become byte pieces.
 
 Only models as the one given are accepted: merge type, byte fallback, no normalisation but the space mark in front
 and for spaces, no piece with an inner space mark. Null and empty texts have the begin
@@ -21,6 +21,8 @@ and end ids alone; decoding them gives empty text. A text is held whole by one t
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +39,7 @@ from framepair.llm.rules import ddl
 MARK = "▁"
 LATE = 1 << 60
 # Looked-up units and pairs of a task: bounds of memory that change no answer.
-UNITS, UNIT_CHARS, PAIRS = 100_000, 32, 500_000
+UNITS, UNIT_CHARS, PAIRS = 150_000, 32, 300_000
 
 
 class Pieces:
@@ -75,8 +77,7 @@ class Pieces:
             if len(p) == 1 or i in self.left:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        breaks = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in chars)
-        self.units = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+|[{breaks}]+" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.units = self.unit_pattern(chars)
         self.bytes = [p.replace(MARK, " ").encode() for p in self.text]
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
@@ -85,6 +86,19 @@ class Pieces:
         self.bytes[self.unk] = " ⁇ ".encode()
         self.is_byte = frozenset(self.byte)
 
+    def unit_pattern(self, chars: set[str]) -> re.Pattern:
+        """What the text is cut into: space marks with the letters, or with the other characters, behind them.
+
+        Only for models without a piece that holds a letter next to another character; else any characters follow the marks.
+        """
+        breaks = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in chars)
+        odd = "".join(re.escape(c) for c in sorted(chars) if re.fullmatch(r"[^\W\d_]", c) and not c.isalpha())
+        letters, others = rf"[^\W\d_{odd}]", rf"[\W\d_{odd}]"
+        fine = re.compile(rf"{MARK}*{letters}+|{MARK}*(?:(?![{MARK}{breaks}]){others})+|{MARK}+|[{breaks}\0]+")
+        if all(fine.fullmatch(p) for p in self.of_text):
+            return fine
+        return re.compile(rf"{MARK}*[^{MARK}{breaks}\0]+|{MARK}+|[{breaks}\0]+")
+
     def find_merges(self) -> None:
         """The last merge of every piece: its one split whose halves agree before the piece's own rank.
 
@@ -124,7 +138,10 @@ class Pieces:
     def split(self, text: str) -> list[str]:
         return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode_unit(self, unit: str, pairs: dict[tuple[int, int], bool]) -> list[int]:
+    def encode_unit(self, unit: str, pairs: dict[int, bool]) -> list[int]:
+        whole = self.of_text.get(unit)
+        if whole is not None and (whole in self.left or len(unit) == 1):
+            return [whole]
         last: list[int | None] = [None] * (len(unit) + 1)
         size, agree = self.size, self.agree
         for end, t in self.automaton.iter(unit):
@@ -133,9 +150,9 @@ class Pieces:
                 # A place without a token is the start or follows a character that no piece holds.
                 before = last[end - size[t]]
                 if before is not None:
-                    ok = pairs.get((before, t))
+                    ok = pairs.get(pair := before << 32 | t)
                     if ok is None:
-                        ok = pairs[before, t] = agree(before, t)
+                        ok = pairs[pair] = agree(before, t)
                     if not ok:
                         continue
                 last[end] = t
@@ -190,25 +207,42 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, with begin and end ids; remembers the units of a task."""
+    """Texts to little-endian 32-bit ids, with begin and end ids; remembers the units of a task.
+
+    Units are remembered in two generations: when the younger is full it becomes the
+    older, and units of the older that are met again become young.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.seen, self.pairs = pieces, {}, {}
-        self.head, self.tail = (np.array([i], "<u4").tobytes() for i in (pieces.bos, pieces.eos))
+        self.pieces, self.seen, self.old, self.pairs = pieces, {}, {}, {}
+        self.head, self.tail = packed([pieces.bos]), packed([pieces.eos])
 
     def unit(self, unit: str) -> bytes:
-        ids = np.array(self.pieces.encode_unit(unit, self.pairs), "<u4").tobytes()
+        ids = self.old.get(unit) or packed(self.pieces.encode_unit(unit, self.pairs))
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
         if len(unit) <= UNIT_CHARS:
             if len(self.seen) >= UNITS:
-                self.seen.clear()
+                self.old, self.seen = self.seen, {}
             self.seen[unit] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        found, unit = self.seen.get, self.unit
-        return b"".join([self.head, *[found(u) or unit(u) for u in self.pieces.split(text or "")], self.tail])
+        seen, out = self.seen, [self.head]
+        for u in self.pieces.split(text or ""):
+            ids = seen.get(u)
+            if ids is None:
+                ids, seen = self.unit(u), self.seen
+            out.append(ids)
+        out.append(self.tail)
+        return b"".join(out)
+
+
+def packed(ids: list[int]) -> bytes:
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
 
 
 def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
