@@ -12,7 +12,7 @@ from framepair.session import materialise, staging_path, staging_root
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-__all__ = ["ORACLES", "QUERIES", "lower_ascii", "materialise", "query", "staging_path", "splittable", "staging_root", "table", "unused"]
+__all__ = ["ORACLES", "QUERIES", "Staging", "lower_ascii", "materialise", "query", "staging_path", "splittable", "staging_root", "table", "unused"]
 
 
 def query(name: str, sql: str | None = None):
@@ -39,6 +39,26 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+class Staging:
+    """Tables of one job in the shared folder, which go when no later step reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        path = staging_path(self.spark, tag)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the tables kept so far; only after all that was made of them has been written."""
+        jvm = self.spark._jvm
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def splittable(summary: DataFrame, key: str, always: Column) -> DataFrame:
     """``summary`` (one row a key) for a join whose other side may hold a hot ``key``.
 

@@ -7,7 +7,7 @@ goes to a window of waiting pieces. A bin is filled by the dot-product
 heuristic: of the waiting pieces that fit, take the one whose demand vector has
 the largest dot product with what the bin has left, both as shares of the
 limits and weighted by how scarce each resource is in the window. Pieces are
-kept by token length, so one choice looks at each length once, not at each
+kept by (tokens, loss), so one choice looks at each kind once, not at each
 piece. If texts may be cut, the last gap of a bin is filled by cutting a piece.
 
 What is left when a task ends is cut into bins whose length is a power of two,
@@ -16,17 +16,19 @@ numbers are ``task << 33 | n``, so they do not depend on other tasks and a task
 that runs again gives the same ones.
 
 Null and empty texts still have their end token. Repeated rows are separate
-texts. Tokenizing keeps a bounded store of word -> ids per worker: text may be
+texts. Tokenizing keeps a bounded store of word -> ids per task: text may be
 cut before a space that a non-space follows without changing any id.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framepair.llm.common import query, table, unused
-from framepair.llm.textnum import pieces
+from framepair.llm.textnum import pieces, tidy
 
 END = 0
-STORE = 300_000  # words whose ids a worker keeps
+STORE = 200_000  # words whose ids a task keeps
 WINDOW = 64  # pieces that wait for a bin
 
 
@@ -54,34 +56,47 @@ DOUBLE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 class Encoder:
-    """Byte-level BPE by the ranks file; ids equal those of the JSON file of the same vocabulary."""
+    """Byte-level BPE by the ranks file; ids equal those of the JSON file of the same vocabulary.
 
-    def __init__(self, path: str, pattern: str) -> None:
+    ``added`` are the strings with an id of their own that the JSON file lists; they are cut out first.
+    """
+
+    def __init__(self, path: str, pattern: str, added: Sequence[tuple[str, int]] = ()) -> None:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("piece", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.store: dict[str, list[int]] = {}  # word -> ids of a space and the word
+        self.store: dict[str, bytes] = {}  # word -> ids of a space and the word
+        self.added = {s: packed([i]) for s, i in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.cut is None or not self.cut.search(text):
+            return self.plain(text)
+        return b"".join(self.added[s] if s in self.added else self.plain(s) for s in self.cut.split(text) if s)
 
-    def encode(self, text: str) -> list[int]:
-        store, encode = self.store, self.core.encode_ordinary
+    def plain(self, text: str) -> bytes:
         if not DOUBLE_SPACE.search(text):
             first, *words = text.split(" ")
         else:
             first, *rest = chunks(text)
             words = [c[1:] for c in rest]
-        out = encode(first)
-        for word in words:
-            ids = store.get(word)
-            if ids is None:
-                if len(store) >= STORE:
-                    store.clear()
-                ids = encode(" " + word)
-                if len(word) <= 64:
-                    store[word] = ids
-            out += ids
-        return out
+        found, word = self.store.get, self.word
+        return b"".join([packed(self.core.encode_ordinary(first)), *[found(w) or word(w) for w in words]])
+
+    def word(self, word: str) -> bytes:
+        ids = packed(self.core.encode_ordinary(" " + word))
+        if len(word) <= 64:
+            if len(self.store) >= STORE:
+                self.store.clear()
+            self.store[word] = ids
+        return ids
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def chunks(text: str) -> list[str]:
@@ -96,14 +111,10 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
     """One per worker process."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    return Encoder(path, pattern, added)
 
 
 @dataclass
@@ -115,38 +126,37 @@ class Piece:
 
 
 class Waiting:
-    """Pieces by token length; the latest of a length is taken first."""
+    """Pieces by (tokens, loss-bearing tokens); the latest of a kind is taken first."""
 
     def __init__(self) -> None:
-        self.by: dict[int, list[Piece]] = {}
+        self.by: dict[tuple[int, int], list[Piece]] = {}
         self.n = self.tokens = self.loss = 0
 
     def add(self, p: Piece) -> None:
-        self.by.setdefault(p.tokens, []).append(p)
+        self.by.setdefault((p.tokens, p.loss), []).append(p)
         self.n, self.tokens, self.loss = self.n + 1, self.tokens + p.tokens, self.loss + p.loss
 
-    def pop(self, length: int) -> Piece:
-        held = self.by[length]
+    def pop(self, kind: tuple[int, int]) -> Piece:
+        held = self.by[kind]
         p = held.pop()
         if not held:
-            del self.by[length]
+            del self.by[kind]
         self.n, self.tokens, self.loss = self.n - 1, self.tokens - p.tokens, self.loss - p.loss
         return p
 
-    def choose(self, left: Sequence[int], limits: Limits) -> int | None:
-        """Length of the fitting piece with the largest weighted dot product."""
+    def choose(self, left: Sequence[int], limits: Limits) -> tuple[int, int] | None:
+        """The fitting kind with the largest weighted dot product; of equal ones the longest, then the one with most loss."""
         n = max(1, self.n)
         weight = (self.tokens / n / limits.tokens, 1 / limits.segments, self.loss / n / limits.loss)
         share = (left[0] / limits.tokens, left[1] / limits.segments, left[2] / limits.loss)
         per_token, per_loss = weight[0] * share[0] / limits.tokens, weight[2] * share[2] / limits.loss
         segment = weight[1] * share[1] / limits.segments
-        best, top = None, -1.0
-        for length, held in self.by.items():
-            loss = held[-1].loss
-            if length <= left[0] and loss <= left[2] and left[1] > 0:
-                dot = per_token * length + segment + per_loss * loss
-                if dot > top or (dot == top and length > (best or 0)):
-                    best, top = length, dot
+        best, top = None, (-1.0, 0, 0)
+        for tokens, loss in self.by:
+            if tokens <= left[0] and loss <= left[2] and left[1] > 0:
+                rank = (per_token * tokens + segment + per_loss * loss, tokens, loss)
+                if rank > top:
+                    best, top = (tokens, loss), rank
         return best
 
 
@@ -162,23 +172,20 @@ def fill(waiting: Waiting, limits: Limits, may_cut: bool) -> list[Piece]:
     left, made = [limits.tokens, limits.segments, limits.loss], []
     while left[0] and left[1] and waiting.n:
         # The last segment should close the gap.
-        length = waiting.choose(left, limits) if left[1] > 1 or not may_cut else None
-        if length is not None and not (may_cut and left[1] == 1 and length < left[0]):
-            p = waiting.pop(length)
-        elif may_cut and (longer := [n for n in waiting.by if n >= left[0]]):
+        kind = waiting.choose(left, limits) if left[1] > 1 or not may_cut else None
+        if kind is not None and not (may_cut and left[1] == 1 and kind[0] < left[0]):
+            p = waiting.pop(kind)
+        elif may_cut and (longer := [k for k in waiting.by if k[0] >= left[0] and k[1] - max(0, k[0] - left[0]) <= left[2]]):
+            # Of a cut piece the first tokens go in here; its loss-bearing ones are its last.
             p = waiting.pop(min(longer))
             if p.tokens > left[0]:
                 p, rest = cut(p, left[0])
                 waiting.add(rest)
-            if p.loss > left[2]:
-                # Would break the loss limit: put it back whole and close the bin.
-                waiting.add(p)
-                break
         else:
-            length = waiting.choose(left, limits)
-            if length is None:
+            kind = waiting.choose(left, limits)
+            if kind is None:
                 break
-            p = waiting.pop(length)
+            p = waiting.pop(kind)
         made.append(p)
         left = [left[0] - p.tokens, left[1] - 1, left[2] - p.loss]
     return made
@@ -245,10 +252,15 @@ def pack(texts: Iterator[tuple[int, int, int]], limits: Limits = Limits(), may_c
 PIECES = ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset", "seq_tokens")
 
 
-def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] = ("doc_id",), text: str = "text", limits: Limits = Limits()) -> DataFrame:
+def pack_texts(
+    docs: DataFrame, ranks: str, pattern: str, added: Sequence[tuple[str, int]] = (), keep: Sequence[str] = ("doc_id",), text: str = "text",
+    limits: Limits = Limits(), loss: str | None = None
+) -> DataFrame:
     """One row per piece: the columns ``keep`` of its text and where it stands.
 
-    Every token but a text's first bears loss. Ids of a task's waiting texts are
+    ``loss`` names a column with the number of loss-bearing tokens of each text, its last ones (the answers of
+    instruction data), at most all but the first; null is none. Without it every token
+    but a text's first bears loss, and a loss limit of the token limit never binds. Ids of a task's waiting texts are
     held until their last piece is placed: at most ``WINDOW`` pieces.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -257,11 +269,11 @@ def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] =
     names = [*keep, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, pattern)
+        enc = encoder(ranks, pattern, tuple(added))
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         held: dict[int, list] = {}  # row -> [ids, kept values, tokens not yet placed]
         kinds: list[pa.DataType] = []
-        sequence = 0
+        sequence, last = 0, packed([END])
 
         def read() -> Iterator[tuple[int, int, int]]:
             row = 0
@@ -269,10 +281,11 @@ def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] =
                 kinds[:] = [batch.schema.field(c).type for c in keep]
                 for part, _ in pieces(batch, text, 1 << 20):
                     kept = [part.column(c).to_pylist() for c in keep]
+                    masks = part.column(bears).to_pylist() if loss else None
                     for i, t in enumerate(part.column(text).to_pylist()):
-                        ids = np.array([*enc.encode(t or ""), END], np.uint32)
+                        ids = np.frombuffer(enc.encode(t or "") + last, "<u4")
                         held[row] = [ids, [k[i] for k in kept], len(ids)]
-                        yield row, len(ids), len(ids) - 1
+                        yield row, len(ids), min(len(ids) - 1, max(0, masks[i] or 0)) if masks else len(ids) - 1
                         row += 1
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
@@ -286,7 +299,7 @@ def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] =
             for p in one:
                 entry = held[p.row]
                 ids = entry[0][p.start : p.start + p.tokens]
-                out.append((*entry[1], p.start, p.tokens, zlib.crc32(ids.astype("<u4").tobytes()), len(entry[0]), p.loss, task | sequence, offset, total))
+                out.append((*entry[1], p.start, p.tokens, zlib.crc32(ids.tobytes()), len(entry[0]), p.loss, task | sequence, offset, total))
                 offset += p.tokens
                 entry[2] -= p.tokens
                 if not entry[2]:
@@ -297,14 +310,20 @@ def pack_texts(docs: DataFrame, ranks: str, pattern: str, keep: Sequence[str] =
                 out = []
         if out:
             yield flush(out)
+        enc.store.clear()
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    (bears,) = unused(docs.select(*keep, text), "loss_bearing")
+    more = [F.col(loss).cast("long").alias(bears)] if loss else []
+    return docs.select(*keep, text, *more).mapInArrow(tidy(run), schema)
 
 
-def public_vocabulary() -> tuple[str, str]:
+def public_vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """Ranks file, pattern, and the added tokens of the JSON file of the same vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in added)
 
 
 @query("op8_pack_sequences")

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framepair.llm.common import materialise, splittable
-from framepair.llm.textnum import BASE, INVERSE, NOT_SPACE, PIECE, U64, Texts, mix, pieces, powers, window_hashes
+from framepair.llm.common import Staging, materialise, splittable
+from framepair.llm.textnum import BASE, INVERSE, NOT_SPACE, PIECE, U64, Texts, mix, pieces, powers, tidy, window_hashes
 
 WORDS, RUN = 51, 16
-SHARE = 1 << 22  # words that are looked at together
+SHARE = 1 << 18  # words that are looked at together
 PLACE = U64(24)  # low bits that hold a position while minima are sought
 
 
@@ -95,7 +95,7 @@ def find_contexts(texts: DataFrame, words: int, run: int) -> DataFrame:
                 made = [bucket.view(np.int64), prints.view(np.int64), lo - first[of], windows]
                 yield pa.RecordBatch.from_arrays([*keys, *[pa.array(x.astype(np.int64)) for x in made]], names=names)
 
-    return texts.mapInArrow(contexts, ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(tidy(contexts), ", ".join(f"{n} long" for n in names))
 
 
 def window_prints(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -123,20 +123,22 @@ def window_prints(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, windows], names=["bucket", "print", "n", "windows"])
 
     # Equal texts give the same rows; one of each is kept.
-    made = joined.mapInArrow(run, "bucket long, print long, n long, windows array<struct<one:long,two:long>>")
+    made = joined.mapInArrow(tidy(run), "bucket long, print long, n long, windows array<struct<one:long,two:long>>")
     return made.dropDuplicates(["bucket", "print"])
 
 
 def passage_spans(texts: DataFrame, words: int = WORDS, run: int = RUN) -> DataFrame:
     """``(k1, k2, passages)``: word spans to remove of every text ``_k1, _k2, text`` that has any."""
-    all_contexts = materialise(find_contexts(texts, words, run), "word_contexts")
+    first, staged = Staging(texts.sparkSession), Staging(texts.sparkSession)
+    all_contexts = first.keep(find_contexts(texts, words, run), "word_contexts")
     buckets = all_contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), (F.min("print") != F.max("print")).alias("mixed"))
     often = splittable(buckets.where(F.col("met") > 1), "bucket", F.col("met") > 1).drop("met")
-    live = materialise(all_contexts.join(often, "bucket"), "word_live")
+    live = staged.keep(all_contexts.join(often, "bucket"), "word_live")
+    first.clear()
 
     mixed = live.where("mixed").groupBy("bucket", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("one"))
     found = window_prints(texts, mixed.select("bucket", "print", "n", "one.*"), words)
-    windows = materialise(found.select("bucket", "print", "n", F.posexplode("windows").alias("w", "p")).select("bucket", "print", "n", "w", "p.*"), "word_windows")
+    windows = staged.keep(found.select("bucket", "print", "n", F.posexplode("windows").alias("w", "p")).select("bucket", "print", "n", "w", "p.*"), "word_windows")
     times = windows.groupBy("one", "two").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
     hits = windows.join(splittable(times, "one", F.col("times") > 1), ["one", "two"], "left_semi")
     hits = hits.groupBy("bucket", "print").agg(F.array_sort(F.collect_list("w")).alias("ws"))
@@ -147,4 +149,6 @@ def passage_spans(texts: DataFrame, words: int = WORDS, run: int = RUN) -> DataF
     some = live.where("mixed").join(splittable(runs, "bucket", F.size("runs") > 0), ["bucket", "print"])
     some = some.select("k1", "k2", "start", F.inline("runs").alias("a", "b"))
     spans = sure.unionByName(some).select("k1", "k2", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + words).alias("hi")).distinct()
-    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages"))
+    spans = materialise(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages")), "passages")
+    staged.clear()
+    return spans

@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import materialise, query, splittable, table, unused
-from framepair.llm.passages import passage_spans, words_of
+from framepair.llm.common import Staging, materialise, query, splittable, table, unused
+from framepair.llm.passages import WORDS, passage_spans, words_of
 from framepair.llm.rules import ddl
 from framepair.llm.suffixes import cover_ranks, laid_out, leading_words, sort_suffixes
-from framepair.llm.textnum import BASE, INVERSE, PIECE, U64, Texts, byte_codes, mix, pieces, powers
+from framepair.llm.textnum import BASE, INVERSE, PIECE, U64, Texts, byte_codes, give_back, mix, pieces, powers, tidy
 
 LENGTH, GRAM = 400, 160
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+SHARE = 1 << 20  # bytes of a very long text that are looked at together
 HOT = 10_000
 PLACE = U64(24)  # low bits that hold a position while minima are sought
 
@@ -87,7 +88,7 @@ def contexts(t: Texts, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 def spread(t: Texts, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """``contexts`` of a piece; a very long text is read in overlapping shares."""
-    share = 8 << 20
+    share = SHARE
     if len(t.data) < share + length:
         yield contexts(t, length, gram)
         return
@@ -118,7 +119,7 @@ def find_contexts(docs: DataFrame, text: str, length: int, gram: int) -> DataFra
                     made = [x.astype(np.int64) for x in (bucket.view(np.int64), prints.view(np.int64), start, windows, left)]
                     yield pa.RecordBatch.from_arrays([*keys, *[pa.array(x) for x in made]], names=names)
 
-    return with_identity(docs.select(F.col(text).alias("text")), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return with_identity(docs.select(F.col(text).alias("text")), "text").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 RUNS = "array<struct<a:int,b:int>>"
@@ -139,8 +140,15 @@ def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int) -> lis
     of = np.repeat(np.arange(len(parts)), windows)
     at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[of]
     order = sort_suffixes(words, ranks, at)
+    # Equal windows are neighbours; fingerprints rule most others out, the bytes decide.
     whole = rolling(data, length)[at[order]]
-    same = whole[1:] == whole[:-1]
+    near = np.flatnonzero(whole[1:] == whole[:-1])
+    one, two = at[order[near]], at[order[near + 1]]
+    alike = np.ones(len(near), bool)
+    for j in [*range(0, length - 8, 8), max(0, length - 8)]:
+        alike &= words[one + j] == words[two + j]
+    same = np.zeros(max(0, len(at) - 1), bool)
+    same[near[alike]] = True
     hit = np.zeros(len(at), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
@@ -154,12 +162,13 @@ def sort_blocks(found: DataFrame, length: int) -> DataFrame:
     def run(part: pa.Table) -> pa.Table:
         parts = part.column("bytes").to_pylist()
         hits = repeated_windows(parts, part.column("n").to_numpy(), length)
+        give_back()
         return pa.table({"bucket": part.column("bucket"), "print": part.column("print"), "runs": pa.array([runs_of(h) for h in hits], RUNS_TYPE)})
 
     return found.groupBy("block").applyInArrow(run, f"bucket long, print long, runs {RUNS}")
 
 
-def count_windows(found: DataFrame, length: int) -> DataFrame:
+def count_windows(found: DataFrame, length: int, staged: Staging) -> DataFrame:
     """The same for hot buckets, by counting the fingerprints of single windows."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +184,7 @@ def count_windows(found: DataFrame, length: int) -> DataFrame:
                         names=["one", "two", "bucket", "print", "w", "n"],
                     )
 
-    windows = materialise(found.select("bytes", "bucket", "print", "n").mapInArrow(explode, "one long, two long, bucket long, print long, w int, n long"), "windows")
+    windows = staged.keep(found.select("bytes", "bucket", "print", "n").mapInArrow(explode, "one long, two long, bucket long, print long, w int, n long"), "windows")
     often = windows.groupBy("one", "two").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
     hits = windows.join(often, ["one", "two"], "left_semi")
     runs = F.transform(F.array_sort(F.collect_list("w")), lambda w: F.struct(w.alias("a"), (w + 1).cast("int").alias("b")))
@@ -201,33 +210,39 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, length: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "print", "n", "bytes"])
 
     # Equal texts give the same rows; one of each is kept.
-    return joined.mapInArrow(run, "bucket long, print long, n long, bytes binary").dropDuplicates(["bucket", "print"])
+    return joined.mapInArrow(tidy(run), "bucket long, print long, n long, bytes binary").dropDuplicates(["bucket", "print"])
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``(k1, k2, spans)``: byte spans to remove of every text that has any."""
-    all_contexts = materialise(find_contexts(docs, text, length, gram), "contexts")
+    first, staged = Staging(docs.sparkSession), Staging(docs.sparkSession)
+    all_contexts = first.keep(find_contexts(docs, text, length, gram), "contexts")
     buckets = all_contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), (F.min("print") != F.max("print")).alias("mixed"))
-    live = materialise(all_contexts.join(splittable(buckets.where(F.col("met") > 1), "bucket", F.col("met") > 1).drop("met"), "bucket"), "live")
+    live = staged.keep(all_contexts.join(splittable(buckets.where(F.col("met") > 1), "bucket", F.col("met") > 1).drop("met"), "bucket"), "live")
+    first.clear()
 
     mixed = live.where("mixed").groupBy("bucket", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("one"))
     mixed = mixed.select("bucket", "print", "n", "one.*")
-    found = materialise(fetch(docs, mixed, text, length), "fetched")
+    found = staged.keep(fetch(docs, mixed, text, length), "fetched")
     sizes = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("distinct"))
     too_many = sizes.where(F.col("distinct") > hot).select("bucket")
     cold = found.join(too_many, "bucket", "left_anti")
     total = found.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    cold = cold.withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(total // BLOCK + 1)))
+    # Blocks cost much more time than their bytes suggest, so they are dealt out here and not by size.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (8 * BLOCK))
+    cold = cold.withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(total // BLOCK + 1))).repartition(tasks, "block")
     runs = sort_blocks(cold, length)
     if not too_many.isEmpty():
-        runs = runs.unionByName(count_windows(found.join(too_many, "bucket", "left_semi"), length))
+        runs = runs.unionByName(count_windows(found.join(too_many, "bucket", "left_semi"), length, staged))
 
     # Contexts of unmixed buckets repeat as a whole.
     sure = live.where("not mixed").select("k1", "k2", "start", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b"))).alias("runs"))
     some = live.where("mixed").join(runs.where(F.size("runs") > 0), ["bucket", "print"]).select("k1", "k2", "start", "runs")
     each = sure.unionByName(some).select("k1", "k2", "start", F.explode("runs").alias("run"))
     spans = each.select("k1", "k2", (F.col("start") + F.col("run.a")).alias("lo"), (F.col("start") + F.col("run.b") - 1 + length).alias("hi")).distinct()
-    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = materialise(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
+    staged.clear()
+    return spans
 
 
 def merged(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
@@ -249,11 +264,12 @@ def in_bytes(t: Texts, passages: list[list[dict[str, int]] | None]) -> list[list
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False, words: int | None = None
+    docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False, words: int | None = None, mark: bool = False
 ) -> DataFrame:
     """``docs`` with ``removed_spans`` (maximal byte runs), ``n_bytes, n_removed`` and ``kept_bytes``.
 
     With ``words``, passages of that many words that are met more than once go as well, however short (``passages.py``).
+    With ``mark`` they stay and ``passage_spans`` lists their maximal byte runs.
 
     With ``as_text`` the text itself is replaced by what is kept (a character of
     which only some bytes are left goes) and only ``n_bytes, n_removed`` are added.
@@ -264,7 +280,7 @@ def remove_repeats(
         spans = spans.join(more, ["k1", "k2"], "full")
     else:
         spans = spans.withColumn("passages", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
-    names = unused(docs, "removed_spans", "n_bytes", "n_removed", "kept_bytes")
+    names = unused(docs, "removed_spans", "n_bytes", "n_removed", "kept_bytes", "passage_spans")
     old = docs.columns
     k1, k2, s1, s2, found_spans, found_passages = unused(docs, "_k1", "_k2", "_s1", "_s2", "_spans", "_passages")
     texts = with_identity(docs, text, (k1, k2))
@@ -279,6 +295,7 @@ def remove_repeats(
             for part, t in pieces(batch, text):
                 cuts, size, gone, kept = [], np.diff(t.off), [], []
                 also = in_bytes(t, part.column(found_passages).to_pylist())
+                marked, also = (also, [[]] * t.n) if mark else ([], also)
                 for i, found in enumerate(part.column(found_spans).to_pylist()):
                     runs = merged(sorted([*(found or []), *also[i]], key=lambda s: s["lo"]))
                     raw = t.data[t.off[i] : t.off[i + 1]].tobytes()
@@ -293,15 +310,21 @@ def remove_repeats(
                     yield pa.RecordBatch.from_arrays([*columns, *sizes], names=[*old, *names[1:3]])
                 else:
                     made = [pa.array(cuts, spans_type), *sizes, pa.array(kept, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in old], *made], names=[*old, *names])
+                    if mark:
+                        made.append(pa.array([[{"lo": a, "hi": b} for a, b in merged(m)] for m in marked], spans_type))
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in old], *made], names=[*old, *names[: len(made)]])
 
     if as_text:
-        return joined.mapInArrow(run, f"{ddl(docs)}, `{names[1]}` long, `{names[2]}` long")
-    kinds = ["array<struct<lo:bigint,hi:bigint>>", "long", "long", "binary"]
-    return joined.mapInArrow(run, f"{ddl(docs)}, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+        return joined.mapInArrow(tidy(run), f"{ddl(docs)}, `{names[1]}` long, `{names[2]}` long")
+    kinds = ["array<struct<lo:bigint,hi:bigint>>", "long", "long", "binary", "array<struct<lo:bigint,hi:bigint>>"][: 5 if mark else 4]
+    return joined.mapInArrow(tidy(run), f"{ddl(docs)}, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=False)))
 
 
 @query("op6_suffix_dedup")
 def substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    """``n_passage_bytes`` are those of passages of over 50 words met more than once, 400 bytes long or not; they are not removed."""
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), words=WORDS, mark=True)
+    marked = F.aggregate("passage_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"), marked.alias("n_passage_bytes")
+    )

@@ -6,8 +6,9 @@ offsets. Nothing crosses a row boundary. Null text is empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,29 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 2 << 20  # bytes of text that are worked on at once
+PIECE = 1 << 19  # bytes of text that are worked on at once
+CHUNK = 256  # bytes that are hashed as one polynomial
+
+
+def tidy(run: Callable) -> Callable:
+    """A map over batches after which a worker gives its free memory back, as workers outlive their tasks."""
+
+    @wraps(run)
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapped
+
+
+def give_back() -> None:
+    powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 @lru_cache(maxsize=1)
@@ -111,13 +134,27 @@ class Texts:
         return starts[order], ends[np.lexsort((ends, end_row))], row[order]
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of byte spans: equal bytes give equal hashes wherever they stand."""
+        """64-bit hashes of byte spans: equal bytes give equal hashes wherever they stand.
+
+        A polynomial modulo 2**64 has known collisions from some 1000 bytes on, whatever
+        its base. So no more than ``CHUNK`` bytes are hashed by one; a longer
+        span's chunks are mixed one after the other.
+        """
         data = self.data if data is None else data
         sums = np.zeros(len(data) + 1, U64)
         room = max(PIECE, 1 << max(0, len(data) - 1).bit_length())
         np.cumsum(byte_codes()[data] * powers(room, BASE)[: len(data)], out=sums[1:])
-        back = powers(room + 1, INVERSE)[starts]
-        return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(U64))
+        inverse = powers(room + 1, INVERSE)
+        plain = lambda lo, hi: mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(U64))
+        long = np.flatnonzero(ends - starts > CHUNK)
+        out = plain(starts, np.minimum(ends, starts + CHUNK))
+        at = starts[long] + CHUNK
+        while len(long):
+            upto = np.minimum(ends[long], at + CHUNK)
+            out[long] = mix(out[long] * U64(BASE) + plain(at, upto))
+            more = upto < ends[long]
+            long, at = long[more], upto[more]
+        return out
 
 
 def first_of_windows(row: np.ndarray, k: int) -> np.ndarray:

@@ -26,3 +26,10 @@ def prose():
         return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
 
     return make
+
+
+@pytest.fixture(scope="session")
+def twins():
+    """Two different words of 4096 letters that a polynomial modulo 2^64 cannot tell apart, whatever its base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    return one, one.translate(str.maketrans("ab", "ba"))

@@ -59,6 +59,13 @@ def test_small_cells_lose_no_link(frame, prose, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in done), key=str) == brute(texts, 4)
 
 
+def test_words_that_polynomials_confuse_are_different(frame, twins):
+    a, b = twins
+    texts = [(1, f"{a} x y"), (2, f"{b} x y"), (3, f"{a} x y"), (4, f"x {a} y z {b} t u v w {a}"), (5, f"x {b} y z {a} t u v w {b}")]
+    done = minhash.near_duplicates(frame(texts), shingle=4).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in done), key=str) == brute(texts, 4)
+
+
 def test_empty_table(frame):
     assert minhash.near_duplicates(frame([]).limit(0)).collect() == []
 

@@ -56,6 +56,16 @@ def test_matches_brute_force(frame, words):
     assert [r["text"] for r in sorted(done, key=lambda r: r["doc_id"])] == brute(texts, words, s.LENGTH)
 
 
+def test_confusable_words_make_no_passage(frame, twins):
+    a, b = twins
+    tail = " ".join(f"w{i}" for i in range(50))
+    texts = [f"{a} {tail}", f"{b} {tail}"]
+    done = s.remove_repeats(frame(list(enumerate(texts))), words=51, mark=True).collect()
+    assert all(r["passage_spans"] == [] for r in done)
+    done = s.remove_repeats(frame(list(enumerate([texts[0], texts[0][:-1] + "x " + texts[0]]))), words=51, mark=True).collect()
+    assert all(len(r["passage_spans"]) == 1 for r in done)
+
+
 @pytest.mark.parametrize("share", [1 << 22, 37])
 def test_shares_cut_no_window(monkeypatch, share):
     monkeypatch.setattr(passages, "SHARE", share)

@@ -26,6 +26,14 @@ def test_base_counts_match_brute_force():
     assert got == [brute(t) for t in TEXTS]
 
 
+def test_words_that_polynomials_confuse_are_different(twins):
+    a, b = twins
+    texts = [f"{a} x y z {b} x y q", f"{a} x y z {a} x y q", f"{a}\n{b}", f"{a}\n{a}"]
+    c = rules.base_counts(Texts(*string_buffers(pa.array(texts))))
+    got = list(zip(*[c[n].tolist() for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], strict=True))
+    assert got == [brute(t) for t in texts]
+
+
 def test_order_changes_no_verdict(frame, prose):
     docs = frame([(i, t) for i, t in enumerate([*TEXTS, prose(80, 1), prose(80, 2).upper(), prose(300, 3) + " idiot scum moron", prose(80, 1)])])
     order = rules.order_rules(rules.measure(docs))
