@@ -12,7 +12,7 @@ from framepair.session import materialise, staging_path, staging_root
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-__all__ = ["ORACLES", "QUERIES", "Staging", "lower_ascii", "materialise", "query", "staging_path", "splittable", "staging_root", "table", "unused"]
+__all__ = ["ORACLES", "QUERIES", "Staging", "chosen", "lower_ascii", "materialise", "query", "staging_path", "splittable", "staging_root", "table", "unused"]
 
 
 def query(name: str, sql: str | None = None):
@@ -59,6 +59,16 @@ class Staging:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def chosen(docs: DataFrame, rows: int, total: int, salt: str, *columns: str) -> DataFrame:
+    """About ``rows`` of ``total`` rows by a hash of their values, the same ones every time.
+
+    Rows that are equal in ``columns`` are chosen together: bound what is collected as well.
+    """
+    share = min(1.0, rows / max(1, total))
+    h = F.pmod(F.xxhash64(F.lit(salt), *[F.col(c) for c in columns]), F.lit(1 << 62))
+    return docs.where(h < int(share * (1 << 62)))
+
+
 def splittable(summary: DataFrame, key: str, always: Column) -> DataFrame:
     """``summary`` (one row a key) for a join whose other side may hold a hot ``key``.
 

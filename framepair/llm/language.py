@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import query, table, unused
+from framepair.llm.common import chosen, query, table, unused
 from framepair.llm.rules import LETTER, UPPER, ddl
 from framepair.llm.textnum import U64, Texts, mix, pieces
 
@@ -216,8 +216,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_ROWS) -> tuple[Weights, list[str]] | None:
     """Weights and language names from ``(key, text, lang)``, or None without examples."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    share = rows / max(1, usable.count())
-    some = usable.where(F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    some = chosen(usable, rows, usable.count(), "language", key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +230,8 @@ def learn(docs: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_RO
                 words = [data[starts[i] : ends[i]].tobytes() for i in take]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([names[row[i]] for i in take], pa.string())], names=["word", "lang"])
 
-    found = some.select(text, lang).mapInArrow(run, "word binary, lang string").toPandas()
+    # Twice the sample is reached by repeated rows alone, of which fewer serve as well.
+    found = some.select(text, lang).mapInArrow(run, "word binary, lang string").limit(2 * rows * WORDS_PER_TEXT).toPandas()
     if not len(found):
         return None
     found = found.sort_values(["lang", "word"], kind="stable")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepair.llm.common import query, table, unused
+from framepair.llm.common import chosen, query, table, unused
 from framepair.llm.rules import LETTER, LOWER, SYMBOLS, UPPER, base_counts, ddl
 from framepair.llm.textnum import NOT_SPACE, U64, Texts, mix, pieces, table_of
 
@@ -201,8 +201,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
     if not len(counted):
         return None
     labels = expectation_maximisation(counted["code"].to_numpy(), counted["n"].to_numpy(float), len(LABELLERS))
-    share = int(rows / max(1, int(counted["n"].sum())) * (1 << 20)) + 1
-    some = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("quality")), F.lit(1 << 20)) < share)
+    some = chosen(docs.where(F.col(key).isNotNull()), rows, int(counted["n"].sum()), "quality", key, text)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +218,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
                     pa.schema([("code", pa.int64()), ("slots", pa.list_(pa.int32())), ("features", pa.list_(pa.float32()))]),
                 )
 
-    found = some.where(F.col(key).isNotNull()).select(text).mapInArrow(sampled, "code long, slots array<int>, features array<float>").toArrow()
+    # Twice the sample is reached by repeated rows alone, of which fewer serve as well.
+    found = some.select(text).mapInArrow(sampled, "code long, slots array<int>, features array<float>").limit(2 * rows).toArrow()
     size = np.array([len(x) for x in found.column("slots")], np.int64)
     row = np.repeat(np.arange(len(size)), size)
     flat = lambda c: np.concatenate([np.asarray(x.values) for x in found.column(c) if len(x)] or [np.zeros(0)])
