@@ -4,7 +4,7 @@ import importlib
 
 from framepair.catalog.base import ORACLES, QUERIES
 
-MODULES = ("values", "timing", "splits", "joins", "frames", "reports", "outputs", "jobs", "streams")
+MODULES = ("values", "timing", "splits", "joins", "frames", "reports", "outputs", "jobs", "streams", "folders")
 
 for _name in MODULES:
     importlib.import_module(f"framepair.catalog.{_name}")
