@@ -11,7 +11,7 @@ from framepair.functions import kernels
 from framepair.functions import pixels as px_ops
 from framepair.functions.hashing import hash_uniform
 from framepair.functions.norm import ThermalNorm
-from framepair.operators import ordered, profile, scores
+from framepair.operators import neighbours, ordered, profile, scores, sync
 from framepair.sources import images
 from framepair.plans.evaluate import evaluate, score_pairs
 
@@ -292,6 +292,17 @@ def intensity_histogram(spark, sf):
     return h.select(F.col("bin").cast("bigint").alias("bin"), "n", F.round("fraction", 9).alias("fraction"))
 
 
+@query("intensity_quantiles", f"""WITH {PIX},
+p AS (SELECT label, v * 257 AS v, row_number() OVER (PARTITION BY label ORDER BY v) AS rn, count(*) OVER (PARTITION BY label) AS n FROM pix)
+SELECT label, n, {", ".join(f"max(v) FILTER (rn = greatest(1, ceil({q}e0 * n))) AS q{int(q * 100)}" for q in (0.01, 0.25, 0.5, 0.99))} FROM p GROUP BY 1, 2""")
+def intensity_quantiles(spark, sf):
+    """Exact quantiles of 16-bit frames by session, from the histogram."""
+    f = frames(spark, sf).select("label", F.transform("px", lambda v: v * 257).alias("px"))
+    q = profile.quantiles(profile.histogram(f, "px", by=["label"], depth=16), (0.01, 0.25, 0.5, 0.99), ["label"])
+    at = lambda i, name: F.col("quantiles")[i].cast("bigint").alias(name)
+    return q.select("label", "n", at(0, "q1"), at(1, "q25"), at(2, "q50"), at(3, "q99"))
+
+
 @query("saturated_fraction", f"""WITH {PIX}, q AS (SELECT greatest(0, least(255, (v - 127) * 3 + 127)) AS v FROM pix)
 SELECT round(count(*) FILTER (v = 0) / count(*), 9) AS at_min, round(count(*) FILTER (v = 255) / count(*), 9) AS at_max FROM q""")
 def saturated_fraction(spark, sf):
@@ -304,12 +315,20 @@ def saturated_fraction(spark, sf):
 l AS (SELECT vec_id, label, i, abs(v - lag(v) OVER (PARTITION BY label, i ORDER BY vec_id)) AS d FROM pix)
 SELECT vec_id, round(avg(d), 6) AS moved FROM l GROUP BY 1 HAVING avg(d) IS NOT NULL""")
 def frame_to_frame_change(spark, sf):
-    """Ids go through the ordered step; pixels join by id."""
-    f = frames(spark, sf).select("label", "vec_id", "px")
-    lagged = ordered.previous(ordered.segment(f.select("label", "vec_id"), ["label"], ["vec_id"]), ["label"], ["vec_id"])
-    both = lagged.where("prev_vec_id is not null").join(f.drop("label"), "vec_id")
-    both = both.join(f.select(F.col("vec_id").alias("prev_vec_id"), F.col("px").alias("prev_px")), "prev_vec_id")
-    return both.select("vec_id", r6(px_ops.mean_abs_diff("px", "prev_px")).alias("moved"))
+    """Frames meet their neighbours in the sorted partitions."""
+    moved = neighbours.change(frames(spark, sf).select("label", "vec_id", "px"), ["label"], ["vec_id"], name="moved")
+    return moved.where("moved is not null").select("vec_id", r6("moved").alias("moved"))
+
+
+@query("static_frames_by_pixels", f"""WITH {PIX},
+l AS (SELECT vec_id, label, i, v // 64 AS q FROM pix),
+d AS (SELECT vec_id, label, avg(abs(q - lag_q)) AS moved FROM (SELECT *, lag(q) OVER (PARTITION BY label, i ORDER BY vec_id) AS lag_q FROM l) GROUP BY 1, 2)
+SELECT vec_id, label, coalesce(moved < 0.6e0, false) AS static FROM d""")
+def static_frames_by_pixels(spark, sf):
+    """The frozen-frame filter on coarse pixels."""
+    f = frames(spark, sf).select("label", F.col("vec_id").alias("id"), F.transform("px", lambda v: F.floor(v / 64).cast("int")).alias("px"))
+    seg = ordered.segment(f.select("label", F.col("id").alias("ir_id"), F.col("id").alias("k")), ["label"], ["k"])
+    return sync.mark_static_frames(seg, ["label"], f, 0.6).select(F.col("ir_id").alias("vec_id"), "label", "static")
 
 
 # A TIFF of 8 x 8 samples of 16 bits, up to its samples: header and one directory of seven tags.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,18 +40,51 @@ def session_counts(pairs: DataFrame) -> DataFrame:
 def histogram(frames: DataFrame, px: str, bins: int | None = None, by: Sequence[str] = (), depth: int = 8) -> DataFrame:
     """Normalised intensity histogram over ``bins`` levels, by default all of ``depth`` bits.
 
-    Counts combine map-side to ``bins`` rows a task. Values outside are counted
+    Pixels are counted by Arrow batch and leave it as ``(by, bin, n)``, a row for each level that occurs; counts are
+    combined before they are shuffled. Values outside, and missing ones, are counted
     under a NULL bin and are part of the total, so fractions show what is missing.
     """
     bins = bins or 1 << depth
-    level = F.when((F.col("bin") >= 0) & (F.col("bin") < bins), F.floor("bin").cast("int"))
-    ones = frames.select(*by, F.explode(px).alias("bin"))
-    counts = ones.groupBy(*by, level.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by = list(by)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*by).schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("_px")
+            values = column.values.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py()) if len(batch) else column.values
+            level = np.floor(values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
+            # The last bin stands for all that lies outside.
+            level = np.where((level >= 0) & (level < bins), level, bins).astype(np.int64)
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * len(batch)
+            names: dict[tuple, int] = {}
+            which = np.array([names.setdefault(k, len(names)) for k in keys], np.int64)
+            of = np.repeat(which, np.diff(np.asarray(column.offsets)))
+            slot, n = np.unique(of * (bins + 1) + level, return_counts=True)
+            groups = list(names)
+            columns = [pa.array([groups[g][i] for g in (slot // (bins + 1)).tolist()], batch.column(c).type) for i, c in enumerate(by)]
+            found = (slot % (bins + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, mask=found == bins), pa.array(n.astype(np.int64))], names=[*by, "bin", "n"])
+
+    counted = frames.where(F.col(px).isNotNull()).select(*by, F.col(px).alias("_px")).mapInArrow(run, ", ".join([*kinds, "bin int", "n long"]))
+    counts = counted.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     # At most ``bins`` rows per group reach this window.
     total = F.sum("n").over(Window.partitionBy(*by))
     return counts.select(*by, "bin", "n", (F.col("n") / total).alias("fraction"))
 
 
+def quantiles(hist: DataFrame, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by, n, quantiles``: the smallest levels that at least each share of the pixels does not exceed.
+
+    Exact, from a histogram of all levels; values outside it are left out. NULL for a group with none inside.
+    """
+    inside = hist.where(F.col("bin").isNotNull())
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy(*by))
+    ranked = inside.select(*by, "bin", upto.alias("_upto"), total.alias("_n"))
+    least = [F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("_n"))), F.col("bin"))) for q in shares]
+    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), F.array(*least).alias("quantiles"))
+
+
 def saturation(hist: DataFrame, bins: int = 256) -> DataFrame:
     at = lambda b: F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("fraction"))), F.lit(0.0))
     return hist.agg(at(0).alias("at_min"), at(bins - 1).alias("at_max"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framepair.operators import ordered
+from framepair.operators import neighbours, ordered
 
 # Beyond this many grid points per tolerance the range-sort form is cheaper
 # than offering every frame to every sample it could serve.
@@ -189,21 +189,19 @@ def mark_static(seg: DataFrame, by: Sequence[str], level: str, below: float) ->
     return lagged.withColumn("static", F.coalesce(moved < below, F.lit(False))).drop(f"_p_{level}")
 
 
-def mark_static_frames(seg: DataFrame, by: Sequence[str], frames: DataFrame, below: float, diff) -> DataFrame:
-    """:func:`mark_static` for pixel frames.
+def mark_static_frames(seg: DataFrame, by: Sequence[str], frames: DataFrame, below: float) -> DataFrame:
+    """:func:`mark_static` for pixel frames ``by, id, px``.
 
-    Only ids go through the ordered step; pixels are joined by id afterwards
-    and reduced to one number (``diff(px, previous_px)``) straight away.
+    Each frame is compared with the accepted frame before it (``operators/neighbours.py``). A frame that serves
+    several samples in a row is static from its second on.
     """
     by = list(by)
-    lagged = ordered.previous(seg, by, ["ir_id"], prefix="_p_")
-    here = frames.select(*by, F.col("id").alias("ir_id"), F.col("px").alias("_a"))
-    back = frames.select(*by, F.col("id").alias("_p_ir_id"), F.col("px").alias("_b"))
-    moved = lagged.select(*by, "ir_id", "_p_ir_id").distinct()
-    moved = moved.join(here, [*by, "ir_id"]).join(back, [*by, "_p_ir_id"])
-    moved = moved.select(*by, "ir_id", "_p_ir_id", diff(F.col("_a"), F.col("_b")).alias("_d"))
-    out = lagged.join(moved, [*by, "ir_id", "_p_ir_id"], "left")
-    return out.withColumn("static", F.coalesce(F.col("_d") < below, F.lit(False))).drop("_p_ir_id", "_d")
+    used = seg.groupBy(*by, "ir_id").agg(F.min("k").alias("_k"))
+    shown = frames.select(*by, F.col("id").alias("ir_id"), "px").join(used, [*by, "ir_id"])
+    moved = neighbours.change(shown, by, ["_k", "ir_id"], name="_d")
+    out = seg.join(moved, [*by, "ir_id"], "left")
+    still = F.when(F.col("k") > F.col("_k"), F.lit(below > 0)).otherwise(F.col("_d") < below)
+    return out.withColumn("static", F.coalesce(still, F.lit(False))).drop("_k", "_d")
 
 
 def deltas(frames: DataFrame, by: Sequence[str], t: str = "t_us", tie: Sequence[str] = ("id",)) -> DataFrame:

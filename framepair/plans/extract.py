@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framepair.functions.names import frame_name
-from framepair.functions.pixels import mean_abs_diff
 from framepair.operators import ordered, sync
 
 
@@ -45,7 +44,7 @@ def extract_pairs(
     elif level:
         marked = sync.mark_static(seg, by, level, spec.static_below)
     elif pixels is not None:
-        marked = sync.mark_static_frames(seg, by, pixels, spec.static_below, mean_abs_diff)
+        marked = sync.mark_static_frames(seg, by, pixels, spec.static_below)
     else:
         raise ValueError("the static filter needs level or pixels")
     kept = ordered.renumber(marked.where(~F.col("static")), by, "n")

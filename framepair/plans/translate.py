@@ -12,8 +12,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,30 +118,79 @@ def pixel_rows(samples: DataFrame, target: str) -> DataFrame:
     return z.select(F.col("t").cast("double").alias("t"), F.explode("_z").alias("_p")).select("t", *cast)
 
 
-def _fit(rows: DataFrame, features: list[str], target: str) -> LinearModel:
-    table = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", F.col(target).alias("label"))
-    fitted = LinearRegression(solver="normal", regParam=1e-6).fit(table)
-    return LinearModel(fitted.coefficients.toArray(), fitted.intercept)
+# Columns of the moments: three planes, the condition, one, the target's base and its detail.
+MOMENTS = ("r", "g", "b", "t", "one", "base", "detail")
+RIDGE = 1e-6
+
+
+def moments(samples: DataFrame, sigma: float = 0.0, size: int = 0) -> np.ndarray:
+    """Sums of products of all pairs of ``MOMENTS`` over all pixels, from one scan of ``a, b, t``.
+
+    A batch of samples becomes one small matrix where it is read; matrices are summed entry by entry. The
+    base is the target blurred by ``sigma`` (square targets of ``size``), the detail what is left;
+    without a blur the base is the target. Samples with a missing or non-finite value are left out.
+    """
+    k = len(MOMENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            one, n = pa.array(np.ones(len(batch), np.int64)), pa.array(np.diff(np.asarray(batch.column("b").offsets)))
+            target = Frames(batch.column("b"), one, n)
+            planes = Frames(batch.column("a"), pa.array(np.full(len(batch), 3)), n)
+            t = batch.column("t").cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            for rows in groups(target.ok & planes.ok & np.isfinite(t), target.w):
+                y, x = target.stack(rows)[:, 0, :, 0], planes.stack(rows)[:, :, :, 0]
+                base = kernels.blur_stack(y.reshape(len(rows), size, size, 1), sigma).reshape(y.shape) if sigma > 0 else y
+                z = np.stack([x[:, 0], x[:, 1], x[:, 2], np.broadcast_to(t[rows][:, None], y.shape), np.ones_like(y), base, y - base]).reshape(k, -1)
+                z = z[:, np.repeat(np.isfinite(z.reshape(k, len(rows), -1)).all((0, 2)), y.shape[1])]
+                total += z @ z.T
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = samples.select("a", "b", F.col("t").cast("double").alias("t")).mapInArrow(run, "sums array<double>")
+    # One row of k * k numbers a task, combined before they are shuffled.
+    summed = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(k * k)
+    for r in summed:
+        out[r["i"]] = r["v"]
+    return out.reshape(k, k)
+
+
+def solve(gram: np.ndarray, cross: np.ndarray, n: float) -> LinearModel:
+    """Least squares from sums of products; the last feature is the constant one.
+
+    Features are centred and scaled before a small ridge, so collinear ones share their weight.
+    """
+    mean, target = gram[:-1, -1] / n, cross[-1] / n
+    spread = gram[:-1, :-1] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(spread), 0))
+    scale = np.where(scale > 1e-12, scale, 1.0)
+    inner = spread / np.outer(scale, scale) + RIDGE * np.eye(len(mean))
+    weights = np.linalg.solve(inner, (cross[:-1] / n - mean * target) / scale) / scale
+    return LinearModel(weights, target - weights @ mean)
 
 
 def fit_single(samples: DataFrame) -> Callable:
     """Least-squares RGB to IR: a convex stand-in for the direct translator."""
-    model = _fit(pixel_rows(samples, "b"), ["r", "g", "b"], "y")
+    # The condition takes no part, so it may be missing.
+    g = moments(samples.withColumn("t", F.lit(0.0)))
+    at = [0, 1, 2, 4]
+    model = solve(g[np.ix_(at, at)], g[at, 5], g[4, 4])
     return lambda: model
 
 
 def fit_two_stage(samples: DataFrame, sigma: float, size: int) -> Callable:
-    """Base from (RGB, condition), detail from (RGB, *predicted* base)."""
-    side = F.lit(size)
-    base = kernels.gaussian_blur(F.col("b"), side, side, sigma, precision="double")
-    df = samples.withColumn("_s", base)
-    df = df.withColumn("_r", F.zip_with("b", "_s", lambda x, s: x - s))
-    rows = pixel_rows(df, "_s").withColumnRenamed("y", "s")
-    first = _fit(rows, ["r", "g", "b", "t"], "s")
-    detail = pixel_rows(df, "_r")
-    w = first.weights
-    guess = F.col("r") * float(w[0]) + F.col("g") * float(w[1]) + F.col("b") * float(w[2]) + F.col("t") * float(w[3]) + first.bias
-    second = _fit(detail.withColumn("s_hat", guess), ["r", "g", "b", "s_hat"], "y")
+    """Base from (RGB, condition), detail from (RGB, *predicted* base).
+
+    The predicted base is linear in what the moments hold, so the second stage needs no second scan.
+    """
+    g = moments(samples, sigma, size)
+    at = [0, 1, 2, 3, 4]
+    first = solve(g[np.ix_(at, at)], g[at, 5], g[4, 4])
+    turn = np.zeros((5, 5))
+    turn[[0, 1, 2, 4], [0, 1, 2, 4]] = 1.0
+    turn[3] = [*first.weights, first.bias]
+    second = solve(turn @ g[np.ix_(at, at)] @ turn.T, turn @ g[at, 6], g[4, 4])
     return lambda: (first, second)
 
 
