@@ -40,24 +40,26 @@ def _solve_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 BLOCK_POINTS = 256
-_SCORES = "array<struct<hyp: int, n_in: bigint, e: double>>"
+_SCORES = "struct<n_in: array<bigint>, e: array<double>>"
 
 
 def _block_scores(points: pa.Array, hypotheses: pa.Array) -> pa.Array:
     """Inliers and their summed error under each hypothesis, for every block of points."""
-    kind = pa.list_(pa.struct([("hyp", pa.int32()), ("n_in", pa.int64()), ("e", pa.float64())]))
-    out = []
+    counts, errors, sizes = [], [], []
     for p, h in zip(points, hypotheses, strict=True):
         x, y, u, v = (p.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "u", "v"))
-        hyp = h.values.field("hyp").to_numpy(zero_copy_only=False)
         m = h.values.field("H").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
         q = m @ np.stack([x, y, np.ones_like(x)])
         with np.errstate(divide="ignore", invalid="ignore"):
             err = np.sqrt((q[:, 0] / q[:, 2] - u) ** 2 + (q[:, 1] / q[:, 2] - v) ** 2)
         near = err <= INLIER_PX
-        n, e = near.sum(1), np.where(near, err, 0.0).sum(1)
-        out.append([{"hyp": int(a), "n_in": int(b), "e": float(c)} for a, b, c in zip(hyp, n, e, strict=True)])
-    return pa.array(out, kind)
+        counts.append(near.sum(1))
+        errors.append(np.where(near, err, 0.0).sum(1))
+        sizes.append(len(m))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+    columns = [pa.ListArray.from_arrays(offsets, flat(counts, pa.int64())), pa.ListArray.from_arrays(offsets, flat(errors, pa.float64()))]
+    return pa.StructArray.from_arrays(columns, names=["n_in", "e"])
 
 
 def _matrix_udf(build):
@@ -123,17 +125,44 @@ def check_points(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return counted.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def fit_homography(points: DataFrame, by: Sequence[str], hypotheses: int = 256, seed: int = 0) -> DataFrame:
+FIRST_DRAWS, MOST_DRAWS, SURE = 48, 4096, 0.999
+
+
+def draws_needed(share: Column) -> Column:
+    """Draws after which one of four inliers has come up with probability ``SURE``, if ``share`` of the points are inliers."""
+    miss = F.log(F.greatest(F.lit(1e-15), 1 - F.pow(share, F.lit(4.0))))
+    needed = F.when(miss < -1e-9, F.ceil(F.lit(float(np.log(1 - SURE))) / miss)).otherwise(F.lit(MOST_DRAWS))
+    return F.least(F.lit(MOST_DRAWS), needed).cast("int")
+
+
+def fit_homography(points: DataFrame, by: Sequence[str], first: int = FIRST_DRAWS, seed: int = 0) -> DataFrame:
     """Robust ``H`` per recording from ``points(by, i, x, y, u, v)``.
 
-    Recordings that :func:`check_points` rejects, or whose points admit no
-    solvable sample, are absent from the result.
+    Every recording gets ``first`` draws. The share of inliers of its best one says how many it
+    needs, at most ``MOST_DRAWS``; a recording that needs more than it had gets them in a second round, after which
+    the share can only be larger and the need smaller. Recordings that :func:`check_points`
+    rejects, or whose points admit no solvable sample, are absent from the result.
     """
     by = list(by)
     usable = points.join(check_points(points, by).select(*by), by, "left_anti")
     pts = ordered.dense_index(usable.select(*by, "i", "x", "y", "u", "v"), by, ["i"], "idx", total="n")
     groups = pts.groupBy(*by).agg(F.max("n").alias("n"))
-    draws = groups.withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    blocks = pts.groupBy(*by, F.floor(F.col("idx") / BLOCK_POINTS).alias("_blk")).agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("_pts"))
+    best = materialise(_round(pts, blocks, groups.withColumns({"_lo": F.lit(0), "_hi": F.lit(first)}), by, seed), "best_draws")
+    wanted = draws_needed(F.coalesce(F.col("n_in") / F.col("n"), F.lit(0.0)))
+    more = groups.join(best, by, "left").select(*by, "n", F.lit(first).alias("_lo"), wanted.alias("_hi")).where("_hi > _lo")
+    more = materialise(more, "open_recordings")
+    if not more.isEmpty():
+        both = best.unionByName(_round(pts, blocks, more, by, seed))
+        # The better of two rounds: more inliers, then less error, then the earlier draw.
+        rank = F.struct("n_in", -F.round("e", 9), -F.col("hyp"))
+        best = materialise(both.groupBy(*by).agg(F.max_by("H", rank).alias("H")), "best_draws")
+    return _refit(pts, best.select(*by, "H"), by)
+
+
+def _round(pts: DataFrame, blocks: DataFrame, bounds: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """The best of the draws ``_lo`` to ``_hi - 1`` of each recording: ``by, H, n_in, e, hyp``."""
+    draws = bounds.withColumn("hyp", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
     # Hypothesis 0 is evenly spaced, so even four points give one valid sample.
     slot = lambda j: F.when(F.col("hyp") == 0, even_pick(F.lit(j), F.col("n"), F.lit(4))).otherwise(
         hash_choice(F.col("n"), *by, F.col("hyp"), j, seed)
@@ -143,19 +172,19 @@ def fit_homography(points: DataFrame, by: Sequence[str], hypotheses: int = 256,
     four = picks.join(pts.select(*by, "idx", "x", "y", "u", "v"), [*by, "idx"])
     four = four.groupBy(*by, "hyp").agg(F.sort_array(F.collect_list(F.struct("j", "x", "y", "u", "v"))).alias("_s"))
     flat = F.flatten(F.transform("_s", lambda s: F.array(s.x, s.y, s.u, s.v)))
-    solved = four.select(*by, "hyp", _matrix_udf(_from_four)(flat).alias("H")).where("H IS NOT NULL")
     # Used twice below: solve once.
-    solved = materialise(solved, "hypotheses")
-    # At most ``hypotheses`` matrices per recording.
-    packed = solved.groupBy(*by).agg(F.collect_list(F.struct("hyp", "H")).alias("_hs"))
-    # A block of points meets all hypotheses in one kernel call and leaves one
-    # row per hypothesis: as many rows as points, not points x hypotheses.
-    blocks = pts.groupBy(*by, F.floor(F.col("idx") / BLOCK_POINTS).alias("_blk")).agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("_pts"))
-    tried = lookup(blocks, packed, by, ["_blk"]).select(*by, F.inline(F.arrow_udf(_block_scores, _SCORES)("_pts", "_hs")))
+    solved = materialise(four.select(*by, "hyp", _matrix_udf(_from_four)(flat).alias("H")).where("H IS NOT NULL"), "hypotheses")
+    # At most ``MOST_DRAWS`` matrices per recording.
+    packed = solved.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("hyp", "H"))).alias("_hs"))
+    # A block of points meets all hypotheses in one kernel call and leaves two arrays,
+    # one entry per hypothesis: no row for a pair of point and hypothesis.
+    tried = lookup(blocks, packed, by, ["_blk"])
+    tried = tried.select(*by, F.transform("_hs", lambda h: h.hyp).alias("_h"), F.arrow_udf(_block_scores, _SCORES)("_pts", "_hs").alias("_s"))
+    tried = tried.select(*by, F.inline(F.arrays_zip(F.col("_h").alias("hyp"), F.col("_s.n_in").alias("n_in"), F.col("_s.e").alias("e"))))
     scored = tried.groupBy(*by, "hyp").agg(F.sum("n_in").alias("n_in"), F.sum("e").alias("e"))
     best = scored.groupBy(*by).agg(F.max(F.struct("n_in", -F.round("e", 9), -F.col("hyp"))).alias("_b"))
-    best = best.select(*by, (-F.col("_b.col3")).alias("hyp")).join(solved, [*by, "hyp"]).drop("hyp")
-    return _refit(pts, materialise(best, "winners"), by)
+    best = best.select(*by, "_b.n_in", (-F.col("_b.col2")).alias("e"), (-F.col("_b.col3")).alias("hyp"))
+    return best.join(solved, [*by, "hyp"]).select(*by, "H", "n_in", "e", "hyp")
 
 
 def _refit(pts: DataFrame, best: DataFrame, by: list[str]) -> DataFrame:

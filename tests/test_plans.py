@@ -82,7 +82,7 @@ def test_evaluation_by_group(spark):
 def test_four_points_are_enough(spark):
     pts = [(20, 20, 2, 4), (300, 20, 142, 4), (300, 220, 142, 104), (20, 220, 2, 104)]
     df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(pts)] + [("b", i, *map(float, p)) for i, p in enumerate(pts[:3])], "rec_id string, i int, x double, y double, u double, v double")
-    h = calibrate.fit_homography(df, ["rec_id"], hypotheses=8).collect()
+    h = calibrate.fit_homography(df, ["rec_id"], first=8).collect()
     assert [r.rec_id for r in h] == ["a"]
     assert np.allclose(h[0].H, [[0.5, 0, -8], [0, 0.5, -6], [0, 0, 1]], atol=1e-6)
     assert rows(calibrate.check_points(df, ["rec_id"]), "rec_id", "reason") == [("b", "fewer than 4 points")]
@@ -103,6 +103,25 @@ def test_perspective_with_outliers(spark):
     assert (r.n, r.inliers) == (60, 40)
 
 
+def test_draws_follow_the_share_of_outliers(spark):
+    """Seven of ten points of one recording are wrong, none of another, all of a third lie on a line."""
+    r = np.random.default_rng(8)
+    true = np.array([[0.5, 0.02, -8], [0.01, 0.45, -6], [1e-4, 5e-5, 1]])
+    data = []
+    for rec, bad in (("hard", 7), ("easy", 0)):
+        for i in range(200):
+            x, y = r.uniform(0, 640), r.uniform(0, 480)
+            q = true @ [x, y, 1]
+            u, v = r.uniform(0, 320, 2) if i % 10 < bad else q[:2] / q[2]
+            data.append((rec, i, *map(float, (x, y, u, v))))
+    data += [("line", i, float(i), float(i), float(i), float(i)) for i in range(20)]
+    df = spark.createDataFrame(data, "rec_id string, i int, x double, y double, u double, v double")
+    found = {h.rec_id: h.H for h in calibrate.fit_homography(df, ["rec_id"]).collect()}
+    assert set(found) == {"hard", "easy"} and all(np.allclose(h, true, rtol=1e-3, atol=1e-5) for h in found.values())
+    need = spark.range(1).select(*[calibrate.draws_needed(calibrate.F.lit(s)).alias(f"n{i}") for i, s in enumerate((1.0, 0.5, 0.3, 0.0))]).first()
+    assert tuple(need) == (1, 108, 850, calibrate.MOST_DRAWS)
+
+
 def scene(h, w, y0=0, x0=0):
     y, x = np.mgrid[y0 : y0 + h, x0 : x0 + w]
     return (127 + 60 * np.sin(x / 5.0) + 60 * np.cos(y / 7.0 + x / 11.0)).astype(int)
