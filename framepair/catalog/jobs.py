@@ -151,12 +151,12 @@ def session_counts(spark, sf):
 
 @query("session_report_texts", f"WITH {_PLAN} SELECT session || '/' || suffix || '/' || file || ': ' || reason AS text, (SELECT count(*) FROM pl WHERE reason IS NULL AND split = 'val') AS val_pairs FROM pl WHERE reason IS NOT NULL")
 def session_report_texts(spark, sf):
-    """The nested report with the text of every reject, written and read back."""
+    """The nested report and the text of every reject beside it, written and read back."""
     plan = _plan(spark, sf)
     path = staging_path(spark, "report")
-    sinks.write_record(sinks.split_report(plan.counts, "/data", plan.rejects), path)
-    report = tables.read_split_report(spark, path)
-    return report.select(F.explode("skipped").alias("text"), F.col("counts.val").alias("val_pairs"))
+    sinks.write_split_report(plan.counts, "/data", plan.rejects, path)
+    report = tables.read_split_report(spark, f"{path}/report")
+    return tables.read_skipped(spark, report).withColumn("val_pairs", F.lit(report.first()["counts"]["val"]))
 
 
 @query("session_dry_run", f"WITH {_PLAN} SELECT split, count(DISTINCT session) AS sessions, count(*) FILTER (reason IS NULL OR reason <> 'no IR twin') AS pairs, count(*) FILTER (reason = 'no IR twin') AS skipped FROM pl GROUP BY 1")

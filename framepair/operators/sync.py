@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 
 from framepair.operators import neighbours, ordered
 
-# Beyond this many grid points per tolerance the range-sort form is cheaper
-# than offering every frame to every sample it could serve.
-MAX_REACH = 32
 GRID_BLOCK = 4096
 
 
 @dataclass(frozen=True)
 class SyncSpec:
-    """Sampling settings. Zero means "unset" for all but ``start_us`` and ``duration_us``."""
+    """Sampling settings. Zero means "unset" for all but ``start_us``, ``duration_us`` and ``reach``.
+
+    ``reach``: with more samples than this inside the tolerance, one range sort is cheaper than offering every
+    frame to every sample it could serve; both forms give the same rows.
+    """
 
     period_us: int
     tol_us: int = 0
@@ -35,6 +36,7 @@ class SyncSpec:
     max_pairs: int = 0
     ir_fps: float = 0.0
     static_below: float | None = None
+    reach: int = 32
 
     @property
     def tolerance(self) -> int:
@@ -121,7 +123,7 @@ def nearest_on_grid(rgb: DataFrame, ir: DataFrame, by: Sequence[str], spec: Sync
     """
     ir = shift_clock(ir, spec.offset_us)
     by = list(by)
-    if spec.tolerance > MAX_REACH * spec.period_us:
+    if spec.tolerance > spec.reach * spec.period_us:
         return _nearest_by_sort(rgb, ir, by, spec)
     tagged = _offers(rgb, by, spec).withColumn("_m", F.lit(0)).unionByName(_offers(ir, by, spec).withColumn("_m", F.lit(1)))
     # Offers of one stream to one sample have distinct times, so the rank has

@@ -17,7 +17,7 @@ MANIFEST = (
 )
 SPLIT_REPORT = (
     "root STRING, sessions MAP<STRING, STRUCT<split: STRING, pairs: BIGINT>>, val_sessions ARRAY<STRING>, "
-    "skipped ARRAY<STRING>, counts STRUCT<train: BIGINT, val: BIGINT>"
+    "skipped ARRAY<STRING>, counts STRUCT<train: BIGINT, val: BIGINT>, n_skipped BIGINT, skipped_path STRING"
 )
 _VIDEO = (
     "STRUCT<codec: STRING, profile: STRING, pix_fmt: STRING, width: INT, height: INT, nominal_fps: STRING, "

@@ -60,24 +60,32 @@ def write_record(record: DataFrame, path: str, mode: str = "overwrite") -> None:
     record.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def split_report(sessions: DataFrame, root: str, rejects: DataFrame | None = None) -> DataFrame:
+def split_report(sessions: DataFrame, root: str, skipped: int = 0, skipped_path: str | None = None) -> DataFrame:
     """One nested report row from ``session, split, pairs`` (one row per session).
 
-    ``skipped`` lists the ``text`` of every reject, in order. The report is one
-    record by its format; for many rejects keep their table and pass none.
+    Rejects are a table of their own (:func:`write_split_report`): the record has their number and its place.
     """
     entry = F.struct("session", F.struct("split", "pairs"))
     count = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("pairs"))), F.lit(0)).cast("bigint")
-    made = sessions.agg(
+    return sessions.agg(
         F.lit(root).alias("root"),
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("sessions"),
         F.sort_array(F.collect_list(F.when(F.col("split") == "val", F.col("session")))).alias("val_sessions"),
+        F.array().cast("array<string>").alias("skipped"),
         F.struct(count("train").alias("train"), count("val").alias("val")).alias("counts"),
+        F.lit(skipped).cast("bigint").alias("n_skipped"), F.lit(skipped_path).cast("string").alias("skipped_path"),
     )
-    if rejects is None:
-        return made.withColumn("skipped", F.array().cast("array<string>"))
-    texts = rejects.agg(F.lit(root).alias("root"), F.sort_array(F.collect_list("text")).alias("skipped"))
-    return made.join(texts, "root")
+
+
+def write_split_report(sessions: DataFrame, root: str, rejects: DataFrame, path: str) -> None:
+    """The report under ``path/report`` and the ``text`` of every reject, in order, under ``path/skipped``.
+
+    Texts are sorted by range, so no task and no row holds all of them.
+    """
+    texts = f"{path}/skipped"
+    rejects.select("text").repartitionByRange("text").sortWithinPartitions("text").write.mode("overwrite").json(texts)
+    skipped = rejects.sparkSession.read.schema("text string").json(texts).count()
+    write_record(split_report(sessions, root, skipped, texts), f"{path}/report")
 
 
 def run_record(spark: SparkSession, settings: dict, norm: ThermalNorm) -> DataFrame:

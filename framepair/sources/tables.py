@@ -110,6 +110,15 @@ def read_split_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.SPLIT_REPORT).option("multiLine", "true").json(path)
 
 
+def read_skipped(spark: SparkSession, reports: DataFrame) -> DataFrame:
+    """``text`` of every reject of ``reports``: those inside the records and those kept beside them."""
+    inside = reports.select(F.explode("skipped").alias("text"))
+    # As many paths as reports.
+    for r in reports.where(F.col("skipped_path").isNotNull()).select("skipped_path").distinct().collect():
+        inside = inside.unionByName(spark.read.schema("text string").json(r["skipped_path"]))
+    return inside
+
+
 def report_sessions(reports: DataFrame) -> DataFrame:
     return reports.select(F.explode("sessions").alias("session", "s")).select("session", "s.split", "s.pairs")
 

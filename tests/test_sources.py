@@ -192,6 +192,19 @@ def test_stream_manifest_and_report(spark, tmp_path):
     report = {"root": "/d", "sessions": {"a": {"split": "val", "pairs": 3}}, "val_sessions": ["a"], "skipped": ["t"], "counts": {"train": 0, "val": 3}}
     (tmp_path / "r.json").write_text(json.dumps(report))
     assert rows(tables.report_sessions(tables.read_split_report(spark, str(tmp_path / "r.json")))) == [("a", "val", 3)]
+    assert rows(tables.read_skipped(spark, tables.read_split_report(spark, str(tmp_path / "r.json")))) == [("t",)]
+
+
+def test_reject_texts_are_kept_beside_the_report(spark, tmp_path):
+    sessions = spark.createDataFrame([("a", "val", 3), ("b", "train", 4)], "session string, split string, pairs long")
+    for n in (0, 500):
+        rejects = spark.range(n).selectExpr("concat('a/', lpad(id, 4, '0'), '.png: unreadable') as text", "id")
+        path = str(tmp_path / str(n))
+        sinks.write_split_report(sessions, "/d", rejects, path)
+        report = tables.read_split_report(spark, f"{path}/report")
+        r = report.first()
+        assert (r.n_skipped, r.skipped, r.counts.val, r.counts.train) == (n, [], 3, 4)
+        assert rows(tables.read_skipped(spark, report)) == rows(rejects, "text")
 
 
 def test_resumable_append(spark, tmp_path):

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import rows
@@ -64,12 +65,12 @@ def test_extraction_follows_the_rule(spark, spec):
         assert counters[r] == (r, len(kept), tol, static)
 
 
-def test_both_routes_agree(spark, monkeypatch):
-    rgb, ir = frame_tables(spark, {0: streams(5)})
-    spec = SyncSpec(period_us=25, tol_us=60, offset_us=-3)
-    near = rows(sync.nearest_on_grid(rgb, ir, ["rec"], spec))
-    monkeypatch.setattr(sync, "MAX_REACH", 0)
-    assert rows(sync.nearest_on_grid(rgb, ir, ["rec"], spec)) == near and len(near) > 50
+@pytest.mark.parametrize("tol", [0.5, 60, 400])
+def test_both_routes_agree(spark, tol):
+    rgb, ir = frame_tables(spark, {0: streams(5), 1: streams(6)})
+    spec = SyncSpec(period_us=25, tol_us=int(tol * 2), offset_us=-3)
+    near = [rows(sync.nearest_on_grid(rgb, ir, ["rec"], replace(spec, reach=reach))) for reach in (0, 10**6)]
+    assert near[0] == near[1] and (len(near[0]) > 50 or tol < 1)
 
 
 def test_ties_take_the_earlier_frame(spark):
