@@ -13,7 +13,7 @@ from framepair.operators import pairing, profile, split
 from framepair.plans.evaluate import evaluate
 from framepair.schema import REGISTRATION
 from framepair.session import staging_path
-from framepair.sources import sinks, tables
+from framepair.sources import commits, sinks, tables
 
 _CHUNKS = _chunk_sql(17, 0.1, "", "SELECT doc_id, doc_id AS name FROM documents", "doc_id")
 
@@ -54,13 +54,17 @@ def written_conditions(spark, sf):
     return back.select("vec_id", "cond_label", F.col("bit_depth").cast("bigint").alias("bit_depth"), "file", F.round(mean, 4).alias("mean"))
 
 
-@query("resumed_write", "SELECT doc_id, CASE WHEN n_chars > 300 THEN 1 ELSE 2 END AS wave FROM documents")
+@query("resumed_write", "SELECT doc_id, CASE WHEN n_chars > 300 THEN 1 WHEN n_chars > 200 THEN 2 ELSE 3 END AS wave FROM documents")
 def resumed_write(spark, sf):
+    """A run, then two side by side of which the later one meets the other's commit."""
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    wave = lambda n: d.withColumn("wave", F.lit(n).cast("bigint"))
     path = staging_path(spark, "resume")
-    sinks.append_missing(d.where("n_chars > 300").withColumn("wave", F.lit(1).cast("bigint")), path, ["doc_id"])
-    sinks.append_missing(d.withColumn("wave", F.lit(2).cast("bigint")), path, ["doc_id"])
-    return spark.read.parquet(path).select("doc_id", "wave")
+    commits.append_missing(wave(1).where("n_chars > 300"), path, ["doc_id"])
+    late = commits.Append(wave(3), path, ["doc_id"])
+    commits.append_missing(wave(2).where("n_chars > 200"), path, ["doc_id"])
+    late.commit()
+    return commits.read_committed(spark, path, late.schema).select("doc_id", "wave")
 
 
 @query("registration_records", """

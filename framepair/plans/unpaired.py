@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framepair.functions import kernels
 from framepair.operators import pairing, split
 from framepair.operators.lookup import lookup
-from framepair.sources import sinks
+from framepair.sources import commits
 
 
 def prepare(rgb: DataFrame, ir: DataFrame, width: int = 0, skip: int = 0, channels: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -37,9 +37,10 @@ def prepare(rgb: DataFrame, ir: DataFrame, width: int = 0, skip: int = 0, channe
 
 
 def write_resumable(rgb: DataFrame, ir: DataFrame, path: str) -> None:
+    """Frames that are not committed yet; read them with ``commits.read_committed``."""
     keys = ["rec_id", "name"]
-    sinks.append_missing(rgb, f"{path}/rgb", keys)
-    sinks.append_missing(ir, f"{path}/thermal", keys)
+    commits.append_missing(rgb, f"{path}/rgb", keys)
+    commits.append_missing(ir, f"{path}/thermal", keys)
 
 
 def split_domains(frames: DataFrame, val_frac: float, chunk: int = 200, skip: int = 0) -> DataFrame:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framepair.functions.norm import ThermalNorm
-from framepair.operators import pairing
 
 
 def write_pairs(pairs: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -42,19 +40,6 @@ def with_16bit(predictions: DataFrame, norm: ThermalNorm, px: str = "px") -> Dat
     return predictions.select(*rest, F.inline(both))
 
 
-def append_missing(frames: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Resumable write: only rows whose keys are not there yet are appended."""
-    spark = frames.sparkSession
-    try:
-        done = spark.read.schema(frames.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        frames = pairing.not_yet_written(frames, done, keys)
-    frames.write.mode("append").parquet(path)
-
-
 def write_record(record: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A small report (calibration, metrics, configuration, split) as JSON lines."""
     record.write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -7,6 +7,7 @@ from framepair.functions.norm import ThermalNorm
 from framepair.operators import calibrate
 from framepair.plans import evaluate, manifest, register, samples, sessions, translate, unpaired
 from framepair.plans.translate import LinearModel
+from framepair.sources import commits
 
 REL8 = ThermalNorm()
 RNG = np.random.default_rng(9)
@@ -230,7 +231,7 @@ def test_unpaired_preparation(spark, tmp_path):
     assert small.where("name = '3.png'").first().px == [3] * 30 and kept.count() == 3
     for _ in range(2):
         unpaired.write_resumable(small, kept, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/rgb").count() == 3
+    assert commits.read_committed(spark, f"{tmp_path}/rgb", small.schema).count() == 3
 
 
 def test_manifest_rounds_half_to_even(spark):

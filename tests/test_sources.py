@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from framepair.functions.norm import ThermalNorm
-from framepair.sources import images, png, sinks, tables
+from framepair.sources import commits, images, png, sinks, tables
 
 
 def write_png(path, image, filters=(0, 1, 2, 3, 4)):
@@ -209,9 +209,22 @@ def test_reject_texts_are_kept_beside_the_report(spark, tmp_path):
 
 def test_resumable_append(spark, tmp_path):
     path = str(tmp_path / "out")
-    sinks.append_missing(spark.range(5), path, ["id"])
-    sinks.append_missing(spark.range(8), path, ["id"])
-    assert rows(spark.read.parquet(path)) == [(i,) for i in range(8)]
+    assert commits.append_missing(spark.range(5), path, ["id"]) == 0
+    assert commits.append_missing(spark.range(8), path, ["id"]) == 1
+    assert rows(commits.read_committed(spark, path, "id long")) == [(i,) for i in range(8)]
+
+
+def test_interleaved_and_lost_runs_leave_each_key_once(spark, tmp_path):
+    path = str(tmp_path / "out")
+    wave = lambda lo, hi, w: spark.range(lo, hi).selectExpr("id", f"{w} as wave")
+    assert commits.read_committed(spark, path, "id long").count() == 0
+    one, two, lost = commits.Append(wave(0, 6, 1), path, ["id"]), commits.Append(wave(3, 9, 2), path, ["id"]), commits.Append(wave(0, 99, 3), path, ["id"])
+    assert (two.commit(), one.commit()) == (0, 1)
+    # A run that never commits leaves no rows; one that runs again goes on from the list.
+    assert rows(commits.read_committed(spark, path, lost.schema)) == [*((i, 1) for i in range(3)), *((i, 2) for i in range(3, 9))]
+    assert commits.append_missing(wave(0, 10, 4), path, ["id"]) == 2
+    assert rows(commits.read_committed(spark, path, lost.schema).where("wave = 4")) == [(9, 4)]
+    assert sorted(p.name for p in (tmp_path / "out" / "_commits").iterdir() if not p.name.startswith(".")) == [f"{i:012d}" for i in range(3)]
 
 
 def test_sixteen_bit_copies(spark):
