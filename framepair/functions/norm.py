@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from framepair.functions.arrow import frame_udf
 
+# Names of the two modes, and below the constants of the radiometric camera.
 MODES = ("rel8", "abs16")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framepair.functions.arrow import Frames, dtype_of, frame_udf, groups, ints, kernel, lists, numbers
+from framepair.functions.arrow import Frames, dtype_of, frame_udf, groups, ints, kernel, lists, numbers, offsets32
 from framepair.functions.hashing import hash_uniform
 from framepair.functions.norm import clip
 
@@ -83,11 +83,15 @@ def window_origin(width, height, size: int, *seed, train: bool = True) -> tuple[
 
 
 # -- photometric jitter ---------------------------------------------------
+# Share of samples that are changed, and how far gain and bias go.
+JITTER_SHARE, JITTER_GAIN, JITTER_BIAS = 0.8, 0.15, 15.0
+
+
 def jitter_terms(*seed) -> tuple[Column, Column, Column]:
     """(apply?, gain, bias) of one sample: 80 % of samples, gain 1 +- 0.15, bias +- 15."""
-    apply = hash_uniform(*seed, F.lit("jitter")) < 0.8
-    gain = F.lit(1.0) + (hash_uniform(*seed, F.lit("gain")) * 2.0 - 1.0) * 0.15
-    bias = (hash_uniform(*seed, F.lit("bias")) * 2.0 - 1.0) * 15.0
+    apply = hash_uniform(*seed, F.lit("jitter")) < JITTER_SHARE
+    gain = F.lit(1.0) + (hash_uniform(*seed, F.lit("gain")) * 2.0 - 1.0) * JITTER_GAIN
+    bias = (hash_uniform(*seed, F.lit("bias")) * 2.0 - 1.0) * JITTER_BIAS
     return apply, gain, bias
 
 
@@ -102,7 +106,7 @@ def jitter(px, apply: Column, gain: Column, bias: Column) -> Column:
         bent = np.floor(np.clip(v * each(gain) + each(bias), 0, 255))
         out = np.where(each(on), bent, v).astype(np.int32)
         mask = px.is_null() if px.null_count else None
-        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(out), mask=mask)
+        return pa.ListArray.from_arrays(offsets32(offsets - offsets[0]), pa.array(out), mask=mask)
 
     return kernel(run, "array<int>")(_c(px), apply, gain, bias)
 
