@@ -37,3 +37,13 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert driver.entry(spark).columns == ["stem", "l1", "rmse", "psnr", "ssim"]
+
+
+def test_training_curves_reads_iterations_beyond_five_digits(spark, con, tmp_path):
+    con.sql(f"COPY (SELECT * REPLACE (o_orderkey + 60 * 150000 AS o_orderkey) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    cur = own.execute(driver.oracle_sql()["training_curves"])
+    want = canonical(cur.fetchall(), [d[0] for d in cur.description])
+    df = driver.queries()["training_curves"](spark, str(tmp_path))
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == want
