@@ -95,10 +95,15 @@ def registration_by_search(spark, sf):
     f = f.withColumns({"side": (zoom * SCENE).cast("int"), "dx": 24 * (F.col("label") % 3 - 1), "dy": 16 * (F.floor(F.col("label") / 3) % 4) - 24})
     middle = F.col("side") / 2
     view = lambda size, at: px_ops.crop(kernels.resize("px", 8, 8, size, size, precision="double"), size, size, *at, SEEN_W, SEEN_H)
-    rows = lambda px, m: f.select("label", "name", F.col("vec_id").alias("idx"), F.lit(SEEN_H).alias("height"), F.lit(SEEN_W).alias("width"), F.lit(1).alias("channels"), px.alias("px")).withColumnRenamed("label", "rec_id")
-    rgb = rows(view(F.lit(SCENE), (F.lit((SCENE - SEEN_W) // 2), F.lit((SCENE - SEEN_H) // 2))), "rgb")
-    ir = rows(view(F.col("side"), ((middle - SEEN_W // 2 - F.col("dx")).cast("int"), (middle - SEEN_H // 2 - F.col("dy")).cast("int"))), "ir")
-    placed = align.align_recordings(registration.calibration_pairs(_positions(rgb), _positions(ir), (0, 3, 10_000)), ["rec_id"])
+    rows = lambda f, px: f.select("label", "name", F.col("vec_id").alias("idx"), F.lit(SEEN_H).alias("height"), F.lit(SEEN_W).alias("width"), F.lit(1).alias("channels"), px.alias("px")).withColumnRenamed("label", "rec_id")
+    scene = view(F.lit(SCENE), (F.lit((SCENE - SEEN_W) // 2), F.lit((SCENE - SEEN_H) // 2)))
+    seen = view(F.col("side"), ((middle - SEEN_W // 2 - F.col("dx")).cast("int"), (middle - SEEN_H // 2 - F.col("dy")).cast("int")))
+    sides = lambda f: (rows(f, scene), rows(f, seen))
+    rgb, ir = sides(f)
+    # Views are 900 times as large as what they are made from: only those of calibration frames are made.
+    wanted = registration.wanted_frames(dense_index(f.select(F.col("label").alias("rec_id"), "name"), ["rec_id"], ["name"]), (0, 3, 10_000))
+    chosen = f.join(wanted, (F.col("label") == wanted.rec_id) & (f["name"] == wanted["name"]), "left_semi")
+    placed = align.align_recordings(registration.calibration_pairs(*sides(chosen), (0, 3, 10_000), wanted), ["rec_id"])
     rec = registration.calibration_records(rgb, ir, "search", placements=materialise(placed, "placements"))
     n = f.groupBy("label").agg(F.count(F.lit(1)).alias("frames")).withColumnRenamed("label", "rec_id")
     h = F.col("H")
@@ -111,11 +116,6 @@ def registration_by_search(spark, sf):
     )
 
 
-def _positions(f):
-    place = dense_index(f.select("rec_id", "name"), ["rec_id"], ["name"])
-    return f.drop("idx").join(place, ["rec_id", "name"])
-
-
 # -- session preparation --------------------------------------------------
 _PLAN = f"""{TREE.format(top=_NORTH)}, {FOLDERS},
 img AS (SELECT f.*, s.session, regexp_extract(path, '([^/]*)$', 1) AS file FROM fold f JOIN sess s USING (parent, suffix) WHERE path LIKE '%.png'),

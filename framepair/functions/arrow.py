@@ -12,7 +12,7 @@ element, which is quadratic in the frame size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def kernel(run: Callable, returns: str) -> Callable[..., Column]:
-    """An Arrow UDF that also takes column names and plain numbers."""
-    udf = F.arrow_udf(run, returns)
+PIECE, GROWN = 2 << 20, 8 << 20  # bytes of input that a kernel works on at once, and of output that leaves a growing one at once
+
+
+def _pieces(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch in runs of rows of about ``PIECE`` bytes: temporaries do not grow with the batch."""
+    n = len(columns[0])
+    rows = max(1, PIECE * n // max(1, sum(c.nbytes for c in columns)))
+    for at in range(0, n, rows):
+        yield tuple(c.slice(at, rows) for c in columns)
+
+
+def _whole(run: Callable) -> Callable:
+    def all_pieces(*columns: pa.Array) -> pa.Array:
+        out = [run(*piece) for piece in _pieces(columns)]
+        return out[0] if len(out) == 1 else pa.concat_arrays(out) if out else run(*columns)
+
+    return all_pieces
+
+
+def _growing(run: Callable) -> Callable:
+    def by_output(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        rows = 1
+        for columns in batches:
+            at, n = 0, len(columns[0])
+            while at < n:
+                out = run(*[c.slice(at, rows) for c in columns])
+                at += len(out)
+                # Twice as many rows at most: the next ones may be larger.
+                rows = max(1, min(2 * rows, GROWN * len(out) // max(1, out.nbytes)))
+                yield out
+
+    return by_output
+
+
+def kernel(run: Callable, returns: str, grows: bool = False) -> Callable[..., Column]:
+    """An Arrow UDF that also takes column names and plain numbers.
+
+    Spark bounds the bytes of a batch's input. ``run`` gets a batch piece by piece, so that its temporaries are
+    bounded as well. A kernel of two columns or more whose results may be larger than its input ``grows``: its results leave
+    as batches of bounded size, which costs a Python worker of its own.
+    """
+    udf = F.arrow_udf(_growing(run) if grows else _whole(run), returns)
     as_col = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
     return lambda *args: udf(*[as_col(a) for a in args])
 
@@ -40,8 +79,9 @@ class Frames:
 
     def __init__(self, px: pa.Array, h: pa.Array, w: pa.Array, channels: int = 1):
         ends = np.asarray(px.offsets)
-        self.offsets, length = ends[:-1], np.diff(ends)
-        values = px.values
+        self.offsets, length = ends[:-1] - ends[0], np.diff(ends)
+        # A piece of a batch shares the values of the whole batch.
+        values = px.values.slice(ends[0], ends[-1] - ends[0])
         self.values = (values.fill_null(np.nan) if values.null_count else values).to_numpy(zero_copy_only=False)
         self.h, self.w = ints(h), ints(w)
         area = self.h * self.w

@@ -178,7 +178,7 @@ def resize(px, h, w, new_h, new_w, method: str = "linear", channels: int = 1, pr
             parts.append((rows, out.reshape(len(rows), -1)))
         return lists(len(px), parts, dtype)
 
-    return kernel(run, f"array<{precision}>")(px, h, w, new_h, new_w)
+    return kernel(run, f"array<{precision}>", grows=True)(px, h, w, new_h, new_w)
 
 
 def warp(px, h, w, matrix, out_h, out_w, channels: int = 1, precision: str = "float") -> Column:
@@ -202,7 +202,7 @@ def warp(px, h, w, matrix, out_h, out_w, channels: int = 1, precision: str = "fl
             parts.append((rows, out.reshape(len(rows), -1)))
         return lists(len(px), parts, dtype)
 
-    return kernel(run, f"array<{precision}>")(px, h, w, matrix, out_h, out_w)
+    return kernel(run, f"array<{precision}>", grows=True)(px, h, w, matrix, out_h, out_w)
 
 
 def score_frames(pred, ph, pw, truth, gh, gw) -> Column:

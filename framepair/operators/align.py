@@ -50,7 +50,7 @@ def _pyramids(coarsest: int) -> Column:
         kind = pa.list_(pa.struct([("level", pa.int32()), ("top", pa.bool_()), *[(c, pa.int32()) for c in _LEVEL[:4]], *[(c, pa.binary()) for c in _LEVEL[4:]]]))
         return pa.array(out, kind)
 
-    return kernel(run, _LEVELS)("rgb_px", "rgb_h", "rgb_w", "ir_px", "ir_h", "ir_w")
+    return kernel(run, _LEVELS, grows=True)("rgb_px", "rgb_h", "rgb_w", "ir_px", "ir_h", "ir_w")
 
 
 def _each(columns: Sequence[pa.Array]):

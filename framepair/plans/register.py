@@ -72,18 +72,31 @@ def calibration_records(
     )
 
 
-def calibration_pairs(rgb: DataFrame, ir: DataFrame, frames: Sequence[int]) -> DataFrame:
-    """Grey frame pairs at the requested positions, clamped to each recording's last."""
-    last = rgb.groupBy("rec_id").agg(F.max("idx").alias("_last"))
-    asked = F.explode(F.array(*[F.lit(int(i)).cast("bigint") for i in frames]))
-    wanted = last.withColumn("_f", asked).select("rec_id", F.least("_f", "_last").alias("idx")).distinct()
+def calibration_pairs(rgb: DataFrame, ir: DataFrame, frames: Sequence[int], positions: DataFrame | None = None) -> DataFrame:
+    """Grey frame pairs at the requested positions, clamped to each recording's last.
+
+    ``positions`` (``rec_id, name, idx``) stands for the frames' own ``idx``. The names of the wanted frames are found first,
+    so that pixels of others are not shuffled.
+    """
+    keys = ["rec_id", "name"]
+    wanted = wanted_frames(rgb if positions is None else positions, frames).withColumnRenamed("idx", "frame")
     colour = F.when(F.col("channels") == 3, F.col("px"))
     grey = F.coalesce(luma(colour), F.col("px").cast("array<double>"))
     side = lambda df, m: df.select(
-        "rec_id", "name", "idx", grey.alias(f"{m}_px"), F.col("height").alias(f"{m}_h"), F.col("width").alias(f"{m}_w")
-    )
-    chosen = side(rgb, "rgb").join(wanted, ["rec_id", "idx"], "left_semi")
-    return chosen.withColumnRenamed("idx", "frame").join(side(ir, "ir").drop("idx"), ["rec_id", "name"])
+        *keys, grey.alias(f"{m}_px"), F.col("height").alias(f"{m}_h"), F.col("width").alias(f"{m}_w")
+    ).join(wanted, keys, "left_semi")
+    return side(rgb, "rgb").join(wanted, keys).join(side(ir, "ir"), keys).select(*keys, "frame", *[f"{m}_{c}" for m in ("rgb", "ir") for c in ("px", "h", "w")])
+
+
+def wanted_frames(positions: DataFrame, frames: Sequence[int]) -> DataFrame:
+    """``rec_id, name, idx`` of the requested positions, clamped to each recording's last.
+
+    Who computes pixels joins these first: Spark computes the pixels below a join for all frames.
+    """
+    last = positions.groupBy("rec_id").agg(F.max("idx").alias("_last"))
+    asked = F.explode(F.array(*[F.lit(int(i)).cast("bigint") for i in frames]))
+    wanted = last.withColumn("_f", asked).select("rec_id", F.least("_f", "_last").alias("idx")).distinct()
+    return materialise(positions.select("rec_id", "name", "idx").join(wanted, ["rec_id", "idx"]).select("rec_id", "name", "idx"), "wanted_frames")
 
 
 def register(
@@ -101,7 +114,7 @@ def register(
     placed = materialise(split.chunk_split(common, ["rec_id"], ["name"], val_frac, chunk), "placed")
     re_idx = lambda df: df.drop("idx").join(placed.select(*keys, "idx"), keys)
     if mode == "search" and not calibration.get("candidates"):
-        chosen = calibration_pairs(re_idx(rgb), re_idx(ir), calibration.get("calib_frames", (0,)))
+        chosen = calibration_pairs(rgb, ir, calibration.get("calib_frames", (0,)), placed)
         found = align.align_recordings(chosen, ["rec_id"], calibration.get("search", Search()))
         calibration["placements"] = materialise(found, "placements")
     records = calibration_records(re_idx(rgb), re_idx(ir), mode, **calibration)

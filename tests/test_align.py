@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from conftest import SF
 
+from framepair.catalog import QUERIES
 from framepair.functions import alignment
 from framepair.operators import align
 from framepair.plans import register
@@ -98,3 +100,17 @@ def test_samples_between_pixels_are_linear(back):
     got, inside = alignment.sampled((3 * u + 2 * v)[None], back, 12, 14)
     want = 3 * (u + back[0, 2]) + 2 * (v + back[1, 2])
     assert inside.sum() > 30 and np.allclose(got[0][inside], want[inside])
+
+
+def test_only_views_of_calibration_frames_are_made(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(align, "align_recordings", lambda pairs, *a: met.append(pairs) or _stop())
+    with pytest.raises(InterruptedError):
+        QUERIES["registration_by_search"](spark, SF)
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    # Below the last kernel the frames have met the names of calibration frames.
+    assert "LeftSemi" in plan.rsplit("ArrowEvalPython", 1)[1]
+
+
+def _stop():
+    raise InterruptedError
