@@ -1,9 +1,11 @@
 """Work done where batches are read: neighbours, histograms and moments."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from framepair.functions import kernels
+from framepair.functions import arrow, kernels, pixels
 from framepair.operators import neighbours, profile
 from framepair.plans import translate
 
@@ -90,3 +92,34 @@ def test_fits_by_moments(spark):
     planes = a.reshape(-1, 3, 8, 8)
     guess = base(planes, t)
     assert np.allclose((guess + detail(planes, guess)).reshape(b.shape), b, atol=1e-3)
+
+
+def test_kernels_work_on_pieces_of_a_batch(spark):
+    """Temporaries follow the piece, not the batch."""
+    seen = arrow.kernel(lambda px, n: pa.array([len(px)] * len(px), pa.int64()), "bigint")
+    f = spark.range(0, 3000, 1, 1).select("id", F.array_repeat(F.col("id").cast("double"), 2000).alias("px"))
+    most = f.select(seen("px", "id").alias("n")).agg(F.max("n")).first()[0]
+    assert 1 <= most <= arrow.PIECE // 16_000 + 1
+
+
+def test_growing_kernels_give_results_in_bounded_batches(spark):
+    sizes = arrow.kernel(lambda px, n: pa.array([b"x" * (1 << 20)] * len(px), pa.binary()), "binary", grows=True)
+    grown = arrow._growing(lambda px, n: pa.array([b"x" * (1 << 20)] * len(px), pa.binary()))
+    batch = pa.array([1] * 100), pa.array([2] * 100)
+    out = list(grown(iter([batch, batch])))
+    assert sum(map(len, out)) == 200 and max(o.nbytes for o in out) <= arrow.GROWN + (1 << 20)
+    f = spark.range(0, 60, 1, 1).select(F.length(sizes("id", "id")).alias("n"))
+    assert f.agg(F.sum("n")).first()[0] == 60 << 20
+
+
+def test_pieces_of_frames_with_gaps_equal_the_whole(spark):
+    f = spark.range(0, 900, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.when((i + F.col("id")) % 911 > 0, (i * F.col("id") % 251).cast("double")))).alias("px"))
+    f = f.withColumns({"h": F.lit(30), "w": F.lit(40)})
+    got = f.select("id", pixels.crop("px", "h", "w", 2, 3, 5, 4).alias("c"), kernels.resize("px", "h", "w", 60, 80, precision="double").alias("r")).collect()
+    for i, c, r in got:
+        if i % 7 == 0:
+            assert c is None and r is None
+            continue
+        x = np.array([float(k * i % 251) if (k + i) % 911 else np.nan for k in range(1, 1201)]).reshape(30, 40)
+        np.testing.assert_array_equal(np.array(c, float), x[3:7, 2:7].ravel())
+        assert len(r) == 4800
