@@ -1,6 +1,8 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from framepair.operators.sync import SyncSpec
 from framepair.plans.extract import extract_pairs
 from framepair.plans.translate import LinearModel
 from framepair.functions.norm import ThermalNorm
-from framepair.streaming import pairing, runs
+from framepair.streaming import inorder, pairing, runs
 
 from test_sync import streams
 
@@ -87,6 +89,25 @@ def test_equal_times_and_missing_levels(spark, tmp_path):
     assert rows(got, "id", "static") == [(1, False), (2, False), (3, False), (4, False), (5, True)]
 
 
+def test_recordings_of_a_bucket_are_folded_together(spark, tmp_path):
+    """One fold for many recordings, whose keys stay exact beside recordings without one."""
+    schema, big = "rec long, id long, t_us long", (1 << 60) + 1
+    data = [(None if r == 99 else big + r, i, (10 * i + r % 10 + 1) * SECOND) for i in range(6) for r in range(100)] + [(None, -1, 10**10 * SECOND // 1000)]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "in"))
+
+    def fold(found, rec, state):
+        n = state["n"].fillna(0).to_numpy(int)
+        first, last = inorder.ends(rec)
+        upto = np.arange(len(rec)) - np.flatnonzero(first)[rec] + 1 + n[rec]
+        return found.assign(at=upto, together=len(state)), pd.DataFrame({"n": upto[last]})
+
+    stream = inorder.with_watermark(runs.frame_stream(spark, str(tmp_path / "in"), schema), "t_us", "1 second")
+    got = runs.drain(inorder.fold_in_order(stream, ["rec"], ["t_us", "id"], fold, "n bigint", f"{schema}, at bigint, together bigint", 20 * SECOND, buckets=4))
+    kept = [r for r in got.collect() if r.id >= 0]
+    assert sorted(((r.rec or 0), r.id, r.at) for r in kept) == sorted((k or 0, i, i + 1) for k, i, _ in data if i >= 0)
+    assert max(r.together for r in kept) > 10
+
+
 def test_quota_names_and_static_filter_equal_batch(spark, sliced):
     root, schema, a, b = sliced
     spec = SyncSpec(period_us=40 * SECOND, tol_us=30 * SECOND, offset_us=2 * SECOND, max_pairs=7, static_below=0.5)
