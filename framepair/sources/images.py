@@ -17,18 +17,27 @@ EIGHT_BIT_FILES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
 _DECODED = "struct<height int, width int, channels int, depth int, px array<int>>"
 
 
+LEAST_TASKS, GATHERED = 4, 32  # tasks a core, and partitions that one task reads if there are more
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """``files`` with fewer partitions. Spark counts every file as 4 MB at least, which gives a folder of small ones a task for each few."""
+    n = files.rdd.getNumPartitions()
+    return files.coalesce(max(1, min(n, max(LEAST_TASKS * files.sparkSession.sparkContext.defaultParallelism, n // GATHERED))))
+
+
 def list_images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """``path, name, length, modificationTime`` of image files. File bytes are never read."""
     files = spark.read.format("binaryFile")
     if recursive:
         files = files.option("recursiveFileLookup", "true")
-    files = files.load(path).select("path", "length", "modificationTime")
+    files = gathered(files.load(path).select("path", "length", "modificationTime"))
     return files.withColumn("name", names.base_name("path")).where(names.is_image("name"))
 
 
 def read_rgb(spark: SparkSession, path: str) -> DataFrame:
     """Colour frames, always three BGR channels; undecodable files have NULL sizes."""
-    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    raw = gathered(spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*"))
     raw = raw.withColumn("name", names.base_name("origin")).where(names.is_image("name"))
     ok = F.col("height") > 0
     px = byte_values("data")
@@ -76,10 +85,10 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
     Formats of 8 bits only (JPG, BMP) go through Spark's own reader.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn("name", names.base_name("path"))
+    files = gathered(spark.read.format("binaryFile").load(path)).withColumn("name", names.base_name("path"))
     files = files.where(names.is_image("name") & ~F.lower("name").rlike(EIGHT_BIT)).select("name", decode_frames("content").alias("f"))
     plain = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", EIGHT_BIT_FILES).load(path)
-    plain = plain.select("image.*").withColumn("name", names.base_name("origin"))
+    plain = gathered(plain.select("image.*")).withColumn("name", names.base_name("origin"))
     ok = F.col("height") > 0
     known = lambda c: F.when(ok, c)
     plain = plain.select(

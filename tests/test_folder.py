@@ -88,3 +88,16 @@ def test_faulty_frames_are_not_written(spark, tmp_path):
         row = (name, 1, 1, [0]) if schema == FRAME else (name, 1, [0])
         with pytest.raises(Exception, match="not a file name|a frame needs"):
             spark.createDataFrame([row], schema).write.format("frames").mode("append").save(str(tmp_path / "bad"))
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    folder.register(spark)
+    path, n = str(tmp_path / "many"), 400
+    spark.createDataFrame([(f"{i:03d}.png", 1, 2, [i % 256, 7]) for i in range(n)], FRAME).coalesce(2).write.format("frames").mode("append").save(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        for f in (images.read_rgb(spark, path), images.list_images(spark, path)):
+            assert f.rdd.getNumPartitions() <= images.LEAST_TASKS * spark.sparkContext.defaultParallelism < n
+            assert rows(f, "name") == [(f"{i:03d}.png",) for i in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
