@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from framepair.catalog.base import ABS16, FRAMES, PIX, colour, frames, name_of, query, r6, table
 from framepair.functions import kernels
-from framepair.functions import pixels as px_ops
 from framepair.operators import calibrate, profile, scores, split
 from framepair.plans import manifest
 
@@ -158,7 +157,9 @@ def searched_alignment(spark, sf):
     f = frames(spark, sf)
     big = kernels.resize("px", 8, 8, 24, 24, "linear", precision="double")
     ox, oy = F.col("label") % 3 * 3, F.floor(F.col("label") / 3) % 3 * 3
-    f = f.withColumn("big", big).withColumn("ir", px_ops.crop("big", 24, 24, ox, oy, 18, 18))
+    # Slices of a list, so that no further Python worker reads the large frames.
+    window = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(17)), lambda r: F.slice("big", ((oy + r) * 24 + ox + 1).cast("int"), 18)))
+    f = f.withColumn("big", big).withColumn("ir", window)
     size = {"rgb_h": 24, "rgb_w": 24, "ir_h": 18, "ir_w": 18}
     pairs = f.select(
         F.col("label").alias("rec_id"), F.col("vec_id").alias("frame"), F.col("big").alias("rgb_px"), F.col("ir").alias("ir_px"),

@@ -256,25 +256,27 @@ def correlation(a, b) -> Column:
     return kernel(run, "double")(a, b)
 
 
-def alignment_scores(rgb_edges, rh, rw, ir_edges, ih, iw, candidates: list[tuple[float, float, float]]) -> Column:
-    """Correlation of IR edges with RGB edges under each candidate placement.
+def alignment_scores(rgb, rh, rw, ir, ih, iw, candidates: list[tuple[float, float, float]]) -> Column:
+    """Correlation of IR edges with RGB edges of grey frames under each candidate placement.
 
     A candidate is ``(scale, dx, dy)`` about the IR centre, applied after the
-    letterbox fit. Only pixels the warped frame covers are compared.
+    letterbox fit. Only pixels the warped frame covers are compared. Edge maps, of single precision, live as long as
+    their piece of a batch: they are no column that another Python worker would have to read.
     """
+    edges = lambda x: edge_stack(x).astype(np.float32).astype(np.float64)
 
     def run(a: pa.Array, ah: pa.Array, aw: pa.Array, b: pa.Array, bh: pa.Array, bw: pa.Array) -> pa.Array:
         x, y = Frames(a, ah, aw), Frames(b, bh, bw)
         parts = []
         for rows in groups(x.ok & y.ok, *x.shape, *y.shape):
-            src, dst = x.stack(rows), y.stack(rows)[..., 0]
+            src, dst = edges(x.stack(rows)), edges(y.stack(rows))[..., 0]
             scores = [_edge_agreement(src, dst, placement_matrix(src.shape[1:3], dst.shape[1:], *c)) for c in candidates]
             parts.append((rows, np.stack(scores, axis=1)))
         out = lists(len(a), parts, np.float64)
         flat = pa.array(out.values.to_numpy(zero_copy_only=False), from_pandas=True)
         return pa.ListArray.from_arrays(out.offsets, flat, mask=out.is_null() if out.null_count else None)
 
-    return kernel(run, "array<double>")(rgb_edges, rh, rw, ir_edges, ih, iw)
+    return kernel(run, "array<double>")(rgb, rh, rw, ir, ih, iw)
 
 
 def placement_matrix(src_hw, dst_hw, scale: float, dx: float, dy: float) -> np.ndarray:

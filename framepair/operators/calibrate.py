@@ -232,11 +232,9 @@ def search_alignment(pairs: DataFrame, by: Sequence[str], candidates: list[tuple
     ``pairs``: ``by, frame, rgb_px, rgb_h, rgb_w, ir_px, ir_h, ir_w`` with grey
     frames. A search over a fixed candidate list, not an iterative solver.
     """
-    edges = lambda m: kernels.edge_map(F.col(f"{m}_px"), F.col(f"{m}_h"), F.col(f"{m}_w"))
     sizes = ("rgb_h", "rgb_w", "ir_h", "ir_w")
-    e = pairs.select(*by, "frame", *sizes, edges("rgb").alias("_r"), edges("ir").alias("_i"))
-    cc = kernels.alignment_scores("_r", "rgb_h", "rgb_w", "_i", "ir_h", "ir_w", candidates)
-    tried = e.select(*by, "frame", *sizes, F.posexplode(cc).alias("_c", "cc"))
+    cc = kernels.alignment_scores("rgb_px", "rgb_h", "rgb_w", "ir_px", "ir_h", "ir_w", candidates)
+    tried = pairs.select(*by, "frame", *sizes, F.posexplode(cc).alias("_c", "cc"))
     table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in candidates])
     scored = tried.withColumn("H", placement(table[F.col("_c")]))
     # Frame first, then earlier candidate, breaks ties.

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from framepair.functions import kernels, pixels
 from framepair.functions.kernels import resize_stack
+from framepair.operators import calibrate
 
 RNG = np.random.default_rng(4)
 SHAPES = [(8, 8), (12, 9), (7, 15), (12, 9)]
@@ -195,3 +196,25 @@ def test_ssim_equals_its_definition():
                 at.append((2 * m * n + 1e-4) * (2 * cov + 9e-4) / ((m * m + n * n + 1e-4) * (vp + vq + 9e-4)))
         want.append(np.mean(at))
     assert np.allclose(kernels.ssim_stack(a, b), want)
+
+
+def test_alignment_scores_read_frames_in_one_worker(spark):
+    """Edge maps are no column between Python workers; those of single precision are what is compared."""
+    size = lambda m, h, w: {f"{m}_h": F.lit(h), f"{m}_w": F.lit(w)}
+    frame = lambda seed, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.pmod(F.xxhash64("frame", i, F.lit(seed)), F.lit(256))).cast("double"))
+    pairs = spark.range(0, 40, 1, 2).select((F.col("id") % 3).alias("rec"), F.col("id").alias("frame")).withColumns(size("rgb", 24, 20) | size("ir", 18, 16))
+    pairs = pairs.withColumns({"rgb_px": frame(1, 480), "ir_px": F.when(F.col("frame") != 5, frame(2, 288))})
+    grid = calibrate.candidate_grid([-3, 0, 3], [1.0, 24 / 18])
+    found = calibrate.search_alignment(pairs, ["rec"], grid)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    best = {}
+    for r in pairs.collect():
+        if r.ir_px is None:
+            continue
+        a, b = (kernels.edge_stack(np.reshape(p, (1, h, w, 1))).astype(np.float32).astype(float) for p, h, w in ((r.rgb_px, 24, 20), (r.ir_px, 18, 16)))
+        for n, c in enumerate(grid):
+            cc = kernels._edge_agreement(a, b[..., 0], kernels.placement_matrix((24, 20), (18, 16), *c))[0]
+            if not np.isnan(cc):
+                best[r.rec] = max(best.get(r.rec, (-2,)), (cc, -r.frame, -n))
+    got = {r.rec: (r.cc, -r.frame) for r in found.collect()}
+    assert got.keys() == best.keys() and all(got[k] == (pytest.approx(v[0]), v[1]) for k, v in best.items())
