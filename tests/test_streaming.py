@@ -148,3 +148,41 @@ def test_folder_translation_resumes(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert rows(out, "name") == [("a",), ("b",), ("c",)]
     assert out.first().px == [pytest.approx(30 / 127.5 - 1), pytest.approx(60 / 127.5 - 1)]
+
+
+@pytest.mark.parametrize("period, tol, cell, duration", [(7, 15, 20, None), (7, 15, 9, 200), (3, 20, 1000, None), (30, 4, 10, None)])
+def test_resampling_keeps_frames_and_equals_every_pair(spark, tmp_path, period, tol, cell, duration):
+    """Frames in any order, over several triggers, with equal times, distances and missing ids; cells shorter and longer than the tolerance."""
+    r = random.Random(period)
+    data = [(rec, (1000 + r.randrange(0, 300)) * SECOND + r.choice([0, 0, 1]), r.choice([i, i, None])) for i in range(60) for rec in (1, 2, None)]
+    data = list({(rec, t, i) for rec, t, i in data})
+    r.shuffle(data)
+    spec = SyncSpec(period_us=period * SECOND, tol_us=tol * SECOND, start_us=1010 * SECOND, duration_us=duration and duration * SECOND)
+    want = {}
+    for rec, t, i in data:
+        for k in range(400 // period):
+            gap = t - spec.start_us - k * spec.period_us
+            if abs(gap) <= spec.tolerance and (duration is None or k * period <= duration):
+                first = (-1 if i is None else i) * (1 if gap >= 0 else -1)
+                want.setdefault((rec, k), []).append((abs(gap), t, first, i))
+    schema, path = "rec long, t_us long, id long", str(tmp_path / "in")
+    write_in_slices(spark, path, [*data, (3, (1010 + 999_600) * SECOND, 0)], schema, 3)
+    got = runs.drain(pairing.resample(runs.frame_stream(spark, path, schema, 1), ["rec"], spec, "1000 seconds", cell * SECOND)).collect()
+    assert len(got) == len(want) > 20
+    assert {(x.rec, x.k): (x.frame_t, x.id) for x in got} == {at: (min(c)[1], min(c)[3]) for at, c in want.items()}
+    assert all(x.t == spec.start_us + x.k * spec.period_us for x in got)
+
+
+def test_a_frame_waits_once_in_a_cell_however_many_samples_it_serves(spark):
+    spec = SyncSpec(period_us=SECOND, tol_us=100 * SECOND)
+    frames = spark.range(5000).select(F.lit(1).alias("rec"), F.col("id"), (F.col("id") * SECOND).alias("t_us"))
+    assert pairing._in_cells(frames, ["rec"], spec, "1 second", 2000 * SECOND).count() < 1.2 * 5000
+
+
+def test_a_restarted_resampling_goes_on(spark, tmp_path):
+    schema, path = "rec long, t_us long, id long", {n: str(tmp_path / n) for n in ("in", "out", "ckpt")}
+    spec = SyncSpec(period_us=10 * SECOND, tol_us=25 * SECOND)
+    for lo, hi in ((0, 4), (4, 9), (9, 40), (5000, 5001)):
+        spark.createDataFrame([(int(t == 5000), 10 * t * SECOND, t) for t in range(lo, hi)], schema).coalesce(1).write.mode("append").parquet(path["in"])
+        runs.catch_up(pairing.resample(runs.frame_stream(spark, path["in"], schema), ["rec"], spec, "1 second", 30 * SECOND), path["out"], path["ckpt"])
+    assert rows(spark.read.parquet(path["out"]).where("rec = 0"), "k", "id") == [(k, min(k, 39)) for k in range(42)]
